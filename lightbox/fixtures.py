@@ -68,7 +68,7 @@ select event_id as seq, ts, user_id as media_id, value >= 10.0 as favorite from
 
 
 def _words(sql: str) -> set[str]:
-    return set(re.findall(r"[a-z_]+", sql))
+    return set(re.findall(r"[a-z_0-9]+", sql))
 
 
 def needed_views(sql: str, extra: dict[str, str] | None = None) -> list[str]:
