@@ -1,7 +1,7 @@
 """Every registered query, grouped like the operators."""
 
 from lightbox.workload import registry
-from lightbox.workload import catalog, changes, scalars, similarity, tagging  # noqa: F401  (registers queries)
+from lightbox.workload import catalog, changes, export, scalars, similarity, tagging  # noqa: F401  (registers queries)
 
 QUERIES = registry.QUERIES
 CHECKS = registry.CHECKS
