@@ -59,6 +59,24 @@ from embeddings e
 join (select min(vec_id) as vec_id from embeddings group by label) f on f.vec_id = e.vec_id
 join (select tag, count(*) as n from media_tags where not is_auto group by tag) c
   on c.tag = 'label_' || cast(e.label as string)""",
+    "feed": """
+select event_id as seq, ts, user_id, event_type,
+  case when event_id % 101 = 0 then 'not json'
+    when event_id % 103 = 0 then '{"type":"Unknown","data":{}}'
+    when event_id % 107 = 0 then '{"type":"MediaUpdated","data":{"name":"x"}}'
+    when event_type = 'signup' then '{"type":"MediaCreated","data":{"item":{"id":"' || cast(user_id as string) || '","size_bytes":' || cast(event_id as string)
+      || ',"media_type":"image","is_favorite":' || case when event_id % 2 = 0 then 'true' else 'false' end
+      || ',"tags":[{"name":"' || case when event_id % 3 = 0 then 'de' else 'en' end || '","is_auto":false}]}}}'
+    when event_type = 'view' then '{"type":"MediaUpdated","data":{"id":"' || cast(user_id as string) || '","item":{' || case when event_id % 4 = 0 then '"is_favorite":true'
+      else '"size_bytes":' || cast(event_id as string) end || '}}}'
+    when event_type = 'click' then '{"type":"MediaTagsUpdated","data":{"ids":["' || cast(user_id as string) || '","' || cast(user_id + 1 as string) || '"],"tags":["x"'
+      || case when event_id % 5 = 0 then '' else ',"en"' end || ']}}'
+    when event_type = 'purchase' then '{"type":"MediaAddedToFolder","data":{"folder_id":"src' || cast(user_id % 20 as string) || '","media_ids":["' || cast(user_id as string) || '"]}}'
+    when event_id % 3 = 0 then '{"type":"MediaDeleted","data":{"id":"' || cast(user_id as string) || '"}}'
+    when event_id % 3 = 1 then '{"type":"MediaBatchDeleted","data":{"ids":["' || cast(user_id as string) || '","' || cast(user_id + 2 as string) || '"]}}'
+    else '{"type":"MediaRemovedFromFolder","data":{"folder_id":"src' || cast(user_id % 20 as string) || '","media_ids":["' || cast(user_id as string) || '","' || cast(user_id + 1 as string) || '"]}}'
+  end as value
+from events""",
     "existing_media": "select * from media where id % 2 = 0",
     "incoming_media": "select * from media where id % 2 = 1",
     "requested": "select event_id as pos, user_id as media_id from events",

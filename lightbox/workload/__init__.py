@@ -1,7 +1,9 @@
 """Every registered query, grouped like the operators."""
 
 from lightbox.workload import registry
-from lightbox.workload import catalog, changes, export, scalars, similarity, tagging  # noqa: F401  (registers queries)
+from lightbox.workload import (  # noqa: F401  (registers queries)
+    catalog, changes, export, scalars, similarity, streams, tagging,
+)
 
 QUERIES = registry.QUERIES
 CHECKS = registry.CHECKS
