@@ -17,8 +17,12 @@ ATTEMPT_WINDOW = 300
 INACTIVE_AFTER = 60
 
 
-def _micros(ts: str):
-    return F.unix_micros(F.col(ts).cast("timestamp"))
+def _micros(rows: DataFrame, ts: str):
+    """Microseconds on the column's own clock, whatever the session's zone."""
+    instant = F.col(ts).cast("timestamp")
+    if dict(rows.dtypes)[ts] == "timestamp_ntz":
+        instant = F.from_utc_timestamp(instant, F.current_timezone())
+    return F.unix_micros(instant)
 
 
 def gap_sessions(
@@ -31,7 +35,7 @@ def gap_sessions(
     ordered. A key with very many slices is ordered over several tasks.
     """
     gap = gap_ms * 1000
-    us = rows.select(*by, _micros(ts).alias("_t"))
+    us = rows.select(*by, _micros(rows, ts).alias("_t"))
     slices = us.withColumn("_s", F.floor(F.col("_t") / F.lit(gap))).groupBy(*by, "_s").agg(
         F.min("_t").alias("_lo"), F.max("_t").alias("_hi"), F.count("*").alias("_n")
     )
@@ -96,7 +100,7 @@ def attempt_limiter(
     ``window_s`` whole seconds have passed. Refused attempts do not count, so
     exactly the first ``limit`` of a window are allowed.
     """
-    timed = attempts.withColumn("_at", _micros(ts))
+    timed = attempts.withColumn("_at", _micros(attempts, ts))
     cut = greedy_segments(
         timed, [by], ["_at", tie], (window_s + 1) * 1_000_000 - 1, at="_at", fold_rows=fold_rows
     )

@@ -2,7 +2,7 @@
 
 from lightbox.workload import registry
 from lightbox.workload import (  # noqa: F401  (registers queries)
-    catalog, changes, export, scalars, similarity, streams, tagging,
+    catalog, changes, export, files, scalars, similarity, streams, tagging,
 )
 
 QUERIES = registry.QUERIES
