@@ -58,7 +58,8 @@ def _(lib):
     lib.documents.select(F.col("text").alias("value"), "source").write.partitionBy("source").option(
         "maxRecordsPerFile", 1000
     ).option("lineSep", "\x00").text(root)
-    marks = F.length(F.regexp_replace(F.hex("content"), "(?:[^0].|0[^0])", "")) / 2
+    text = F.decode("content", "UTF-8")
+    marks = F.length(text) - F.length(F.replace(text, F.lit("\x00"), F.lit("")))
     return files.ingest_files(lib.spark, root, "part-*").groupBy(
         F.regexp_extract("path", "source=([^/]+)/", 1).alias("source")
     ).agg(
