@@ -50,14 +50,13 @@ def rejection_reason(ext: Column) -> Column:
     return F.when(~allowed_extension(ext), F.concat(F.lit("File type not allowed: ."), ext))
 
 
-def _timestamp_from(text: Column, pattern: str, with_time: bool) -> Column:
-    """Timestamp from the numbered groups of ``pattern``; null when invalid."""
-    fields = [
-        F.regexp_extract(text, pattern, i).try_cast("int") for i in range(1, 7 if with_time else 4)
-    ]
-    if not with_time:
-        fields += [F.lit(0)] * 3
-    return F.when(text.rlike(pattern), F.try_make_timestamp_ntz(*fields))
+def _timestamp_from(text: Column, pattern: str, spelled: str) -> Column:
+    """Timestamp spelled from the groups of ``pattern``; null when it does not fit.
+
+    Text outside the pattern turns into separators only, which no cast accepts,
+    so the text is looked at once.
+    """
+    return F.regexp_replace(text, rf"(?s)^(?:{pattern}|.*)$", spelled).try_cast("timestamp_ntz")
 
 
 def date_from_filename(name: Column) -> Column:
@@ -67,27 +66,19 @@ def date_from_filename(name: Column) -> Column:
     date; only years 1970 to 2100 count.
     """
     base = F.regexp_extract(name, r"(?s)([^/\\]*)$", 1)
-    stem = F.regexp_replace(base, r"(?s)\.[^.]*$", "")
-    digits = F.regexp_replace(stem, "[^0-9]", "")
-
-    def sane(ts: Column) -> Column:
-        return F.when(F.year(ts).between(1970, 2100), ts)
-
+    digits = F.regexp_replace(F.regexp_replace(base, r"(?s)\.[^.]*$", ""), "[^0-9]", "")
+    day = r"(19[7-9]\d|20\d\d|2100)(\d\d)(\d\d)"
     return F.coalesce(
-        sane(_timestamp_from(digits, r"^(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})", True)),
-        sane(_timestamp_from(digits, r"^(\d{4})(\d{2})(\d{2})", False)),
+        _timestamp_from(digits, day + r"(\d\d)(\d\d)(\d\d).*", "$1-$2-$3 $4:$5:$6"),
+        _timestamp_from(digits, day + ".*", "$1-$2-$3"),
     )
 
 
 def parse_exif_datetime(text: Column) -> Column:
     """Timestamp from the two EXIF separators, with or without time of day."""
     t = F.replace(_strip(text), F.lit("/"), F.lit("-"))
-    clock = r"\s*(\d{1,2}):(\d{1,2}):(\d{1,2})$"
-    return F.coalesce(
-        _timestamp_from(t, r"^(\d{1,4}):(\d{1,2}):(\d{1,2})" + clock, True),
-        _timestamp_from(t, r"^(\d{1,4})-(\d{1,2})-(\d{1,2})" + clock, True),
-        _timestamp_from(t, r"^(\d{1,4}):(\d{1,2}):(\d{1,2})$", False),
-        _timestamp_from(t, r"^(\d{1,4})-(\d{1,2})-(\d{1,2})$", False),
+    return _timestamp_from(
+        t, r"(\d{4})([:-])(\d{1,2})\2(\d{1,2})(?:\s*(\d{1,2}:\d{1,2}:\d{1,2}))?", "$1-$3-$4 $5"
     )
 
 
@@ -98,9 +89,8 @@ def exif_map(exif_json: Column) -> Column:
 
 def exif_original_date(exif_json: Column) -> Column:
     """First field, best first, whose text is a readable time."""
-    fields = exif_map(exif_json)
     return F.coalesce(
-        *[parse_exif_datetime(F.try_element_at(fields, F.lit(f))) for f in EXIF_DATE_FIELDS]
+        *[parse_exif_datetime(F.get_json_object(exif_json, f"$.{f}")) for f in EXIF_DATE_FIELDS]
     )
 
 

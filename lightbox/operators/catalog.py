@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lightbox.functions import scalars as S
+from lightbox.session import durable
 
 # Page size defaults and cap, and labels needed to train a tag.
 DEFAULT_PAGE = 20
@@ -127,17 +128,31 @@ def tags_for_media(media_tags: DataFrame) -> DataFrame:
     )
 
 
-def with_tags(items: DataFrame, media_tags: DataFrame, few: bool = False) -> DataFrame:
-    """Add each item's tags. ``few`` states that ``items`` is one page at most."""
-    ids = items.select(F.col("id").alias("media_id"))
-    ids = F.broadcast(ids) if few else ids
-    tagged = tags_for_media(media_tags.join(ids, "media_id", "left_semi"))
-    return items.join(tagged, "id", "left").withColumn(
-        "tags",
-        F.coalesce("tags", F.array().cast("array<struct<name:string,is_auto:boolean,confidence:double>>")),
+NO_TAGS = "array<struct<name:string,is_auto:boolean,confidence:double>>"
+
+
+def with_tags(items: DataFrame, media_tags: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Add each item's tags. With ``ids`` only tag rows of those ids are collected."""
+    rows = media_tags
+    if ids is not None:
+        rows = media_tags.join(ids.select(F.col("id").alias("media_id")), "media_id", "left_semi")
+    return items.join(tags_for_media(rows), "id", "left").withColumn(
+        "tags", F.coalesce("tags", F.array().cast(NO_TAGS))
     )
 
 
+def with_page_details(rows: DataFrame, favorites: DataFrame, media_tags: DataFrame) -> DataFrame:
+    """Favorite mark and tags for at most a page of rows.
+
+    The page is made durable first: it is tiny, and each of the joins below
+    would otherwise run the whole search again to find it.
+    """
+    rows = durable(rows)
+    few = F.broadcast(rows.select("id"))
+    marks = favorites.join(few.withColumnRenamed("id", "media_id"), "media_id", "left_semi")
+    return with_tags(with_favorites(rows, marks), media_tags, few)
+
+
 def tag_names(tags: Column) -> Column:
     """Tags as text, ``*`` marking automatic ones."""
     return F.array_join(
@@ -154,7 +169,7 @@ def find_by_ids(
 ) -> DataFrame:
     """Full records of the wanted ids; unknown ids give nothing."""
     found = media.join(ids.select("id"), "id", "left_semi")
-    return with_tags(with_favorites(found, favorites), media_tags)
+    return with_tags(with_favorites(found, favorites), media_tags, ids)
 
 
 def resolve_requested(requested: DataFrame, media: DataFrame) -> DataFrame:
@@ -343,7 +358,4 @@ def query_media(
         rows = filter_favorite(rows, favorites)
     rows = filter_tags_any(rows, media_tags, tags)
     rows = page(export_summary(rows), page_no, limit, sort_by, ascending)
-    marks = favorites.join(
-        F.broadcast(rows.select(F.col("id").alias("media_id"))), "media_id", "left_semi"
-    )
-    return with_tags(with_favorites(rows, marks), media_tags, few=True)
+    return with_page_details(rows, favorites, media_tags)

@@ -23,7 +23,8 @@ def dedup_ingest(new: DataFrame, existing: DataFrame, arrival: str = "uploaded_a
     rows = new.withColumn("reason", reason)
     hashed = rows.where(F.col("reason").isNull() & (F.col("phash") != S.NO_HASH))
     first = hashed.groupBy("phash").agg(F.min_by("id", F.struct(arrival, "id")).alias("id"))
-    known = existing.select("phash").distinct()
+    # A small batch is broadcast against the library's hashes; neither side moves whole.
+    known = existing.select("phash").join(first.select("phash"), "phash", "left_semi").distinct()
     accepted = first.join(known, "phash", "left_anti").select("id", F.lit(True).alias("_first"))
     return rows.join(accepted, "id", "left").withColumn(
         "status",

@@ -17,6 +17,7 @@ from lightbox.operators import catalog as C
 from lightbox.plans.cells import BLOCK_ROWS, nearest_within_cells, pairs_within
 from lightbox.plans.components import connected_components
 from lightbox.plans.ordered import positions
+from lightbox.session import durable
 
 # Search and grouping defaults.
 DEFAULT_GROUP_DISTANCE = 0.2
@@ -80,12 +81,9 @@ def with_details(
     found: DataFrame, media: DataFrame, favorites: DataFrame, media_tags: DataFrame
 ) -> DataFrame:
     """Item records, favorite mark and tags for the few rows a search returned."""
-    few = F.broadcast(found)
-    rows = media.join(few, "id")
-    marks = favorites.join(
-        F.broadcast(found.select(F.col("id").alias("media_id"))), "media_id", "left_semi"
-    )
-    return C.with_tags(C.with_favorites(rows, marks), media_tags, few=True)
+    hits = durable(found)
+    rows = media.join(F.broadcast(hits), "id")
+    return C.with_page_details(rows, favorites, media_tags)
 
 
 def knn_join(
@@ -138,15 +136,18 @@ def collapse_copies(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     A set of copies would be compared with itself pair by pair; here it is one
     row and a star, which holds the same information.
     """
-    keyed = vectors.where(~V.is_zero(F.col("embedding"))).select(
-        "id", V.fingerprint(F.col("embedding")).alias("_key")
-    )
-    first = keyed.groupBy("_key").agg(F.min("id").alias("_first"))
-    copies = keyed.join(first, "_key").where(F.col("id") != F.col("_first")).select(
-        F.col("id").alias("u"), F.col("_first").alias("v")
+    keyed = durable(
+        vectors.where(~V.is_zero(F.col("embedding"))).select(
+            "id", V.fingerprint(F.col("embedding")).alias("_key")
+        )
     )
-    distinct = vectors.join(first.select(F.col("_first").alias("id")), "id", "left_semi")
-    return distinct, copies
+    first = keyed.groupBy("_key").agg(F.min("id").alias("_first"), F.count("*").alias("_n"))
+    copies = keyed.join(first.where(F.col("_n") > 1), "_key").where(
+        F.col("id") != F.col("_first")
+    ).select(F.col("id").alias("u"), F.col("_first").alias("v"))
+    if copies.isEmpty():
+        return vectors, copies
+    return vectors.join(copies.select(F.col("u").alias("id")), "id", "left_anti"), copies
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -193,7 +194,10 @@ def group_similar(
     ``scope`` holds (id, original_date, embedding). The first item of a group is
     its least id; equal dates are settled by it.
     """
-    members = similarity_components(scope, threshold, block_rows)
+    # The scope is usually a join; the vectors are scanned several times below.
+    members = durable(
+        similarity_components(durable(scope.select("id", "embedding")), threshold, block_rows)
+    )
     heads = scope.select(F.col("id").alias("component"), "original_date").join(
         members.select("component").distinct(), "component"
     )

@@ -20,7 +20,7 @@ from lightbox.functions import vectors as V
 from lightbox.operators import catalog as C
 from lightbox.operators import changes as L
 from lightbox.operators import similarity as I
-from lightbox.plans.cells import BLOCK_ROWS
+from lightbox.plans.cells import BLOCK_ROWS, slices
 from lightbox.session import durable
 from lightbox.sources.tables import last_trained_count, save_models
 
@@ -36,6 +36,8 @@ RAW_THRESHOLD = 0.0
 FOLD_POSITIVES = 4000
 # A set of models up to this size may travel to every executor.
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Scores held in memory at once by a task.
+SCORES_AT_ONCE = 4_000_000
 
 MODEL_FIELDS = "weights array<double>, bias double, platt_a double, platt_b double"
 
@@ -106,7 +108,7 @@ def batch_predict(
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, w, bias = shared.value
             tags = pa.array(names, pa.string())
-            for batch in batches:
+            for batch in slices(batches, max(SCORES_AT_ONCE // max(len(names), 1), 1)):
                 yield pa.record_batch(
                     _score_batch(batch.column(0), batch.column(1), tags, w, bias, min_raw)
                 )
@@ -161,33 +163,32 @@ def stale_models(media_tags: DataFrame, models: DataFrame) -> DataFrame:
     return counts.join(known, "tag").where(F.col("n") != F.col("trained_at_count"))
 
 
-def training_set(
-    media_tags: DataFrame, vectors: DataFrame, seed: int = 42, tags: DataFrame | None = None,
+def training_rows(
+    media_tags: DataFrame, unit: DataFrame, seed: int = 42, tags: DataFrame | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """(tag, part, ord, id, embedding) for every tag that can be trained.
+    """(tag, part, ord, id) of every tag that can be trained; ``unit`` holds unit vectors.
 
     ``pos``: manually tagged items with a vector, outliers dropped. ``hard``: the
     items without the tag nearest to the centroid. ``rand``: items of a seeded
-    draw, those with the tag removed after the draw. Unit vectors throughout; an
-    item may be both hard and random.
+    draw, those with the tag removed after the draw. An item may be both hard
+    and random.
     """
-    unit = vectors.where(~V.is_zero(F.col("embedding"))).select(
-        "id", V.l2_normalize(F.col("embedding")).alias("embedding")
-    )
     manual = media_tags.where(~F.col("is_auto")).select("tag", F.col("media_id").alias("id"))
     if tags is not None:
         manual = manual.join(tags.select("tag"), "tag", "left_semi")
     labelled = manual.join(unit, "id")
-    centers = I.centroids(labelled, "tag").where(F.col("n") >= MIN_POSITIVES)
-    numbered = durable(
-        I.positions(centers.select("tag", "embedding"), [], [F.col("tag")], "tag_no")
+    centers = durable(
+        I.centroids(labelled, "tag").where(F.col("n") >= MIN_POSITIVES).select("tag", "embedding")
     )
-    kept = _without_outliers(labelled, numbered)
+    numbered = I.positions(centers, [], [F.col("tag")], "tag_no")
+    kept = durable(_without_outliers(labelled, centers))
     sizes = kept.groupBy("tag").agg(F.count("*").alias("n_pos"))
 
     names = numbered.select("tag", "tag_no")
-    tagged = media_tags.select("tag", F.col("media_id").alias("id")).join(names, "tag").distinct()
+    tagged = durable(
+        media_tags.select("tag", F.col("media_id").alias("id")).distinct().join(names, "tag")
+    )
     barred = tagged.groupBy("tag_no").agg(F.count("*").alias("barred"))
     # One item's tags: bounded by the dictionary, not by the data.
     own = tagged.groupBy("id").agg(F.collect_set("tag_no").alias("skip"))
@@ -205,7 +206,8 @@ def training_set(
     )
     # At most RANDOM_HIGH rows, the same draw for every tag.
     draw = C.random_sample_n(unit.select("id"), RANDOM_HIGH, seed)
-    draw = I.positions(draw, [], [F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), F.col("id")], "ord")
+    order = [F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), F.col("id")]
+    draw = I.positions(draw, [], order, "ord")
     wanted = F.least(
         F.greatest(RANDOM_PER_POSITIVE * F.col("n_pos"), F.lit(RANDOM_LOW)), F.lit(RANDOM_HIGH)
     )
@@ -216,11 +218,28 @@ def training_set(
         .select("tag", F.lit("rand").alias("part"), "ord", "id")
     )
     positives = kept.select("tag", F.lit("pos").alias("part"), F.lit(0).cast("long").alias("ord"), "id")
-    return positives.unionByName(hard).unionByName(rand).join(unit, "id").select(
-        "tag", "part", "ord", "id", "embedding"
+    return positives.unionByName(hard).unionByName(rand)
+
+
+def unit_vectors(vectors: DataFrame) -> DataFrame:
+    return vectors.where(~V.is_zero(F.col("embedding"))).select(
+        "id", V.l2_normalize(F.col("embedding")).alias("embedding")
     )
 
 
+def training_set(
+    media_tags: DataFrame, vectors: DataFrame, seed: int = 42, tags: DataFrame | None = None,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """:func:`training_rows` with the unit vector of each row.
+
+    The rows are narrow and made durable; each use then costs one join.
+    """
+    unit = unit_vectors(vectors)
+    rows = durable(training_rows(media_tags, unit, seed, tags, block_rows))
+    return rows.join(unit, "id").select("tag", "part", "ord", "id", "embedding")
+
+
 def _without_outliers(labelled: DataFrame, centers: DataFrame) -> DataFrame:
     scored = I.distances_to_centroid(labelled, centers, "tag").drop("embedding")
     stats = scored.groupBy("tag").agg(F.count("*").alias("_n"), F.avg("distance").alias("_avg"))
@@ -367,7 +386,7 @@ def train_crowded(rows: DataFrame, tag: str) -> DataFrame:
         array_to_vector("embedding").alias("features"), "part", "ord",
     )
     svm = LinearSVC(
-        weightCol="weight", standardization=False, regParam=1.0 / (2.0 * n["neg"]), maxIter=200
+        weightCol="weight", standardization=False, regParam=1.0 / (2.0 * n["neg"]), maxIter=100
     ).fit(data)
     scored = svm.transform(data).select(
         "label", F.element_at(vector_to_array("rawPrediction"), 2).alias("score"),

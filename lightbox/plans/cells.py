@@ -25,11 +25,19 @@ STRIP_ROWS = 512
 SLACK = 1e-6
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows: bounds what one product holds in memory."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 class Pivots:
     """Unit vectors that define the cells; at most ``MAX_PIVOTS``, so they fit a closure."""
 
     def __init__(self, points: np.ndarray):
         self.points = points
+        self.rows = 0
         self.apart = np.sqrt(np.maximum(2.0 - 2.0 * points @ points.T, 0.0))
 
     def distances(self, units: np.ndarray) -> np.ndarray:
@@ -46,7 +54,7 @@ class Pivots:
 
 def choose_pivots(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> Pivots:
     """A seeded sample of vectors, about one per block of rows."""
-    n = vectors.count()
+    n = vectors.select("id").count()
     wanted = int(min(max(n // block_rows, 1), MAX_PIVOTS))
     sample = (
         vectors.select("id", "embedding")
@@ -56,7 +64,9 @@ def choose_pivots(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> Pivots:
     )
     matrix, ok = to_matrix(sample.column("embedding"))
     points = np.unique(unit_rows(matrix[ok & matrix.any(axis=1)]), axis=0)
-    return Pivots(points if len(points) else np.zeros((1, max(matrix.shape[1], 1))))
+    pivots = Pivots(points if len(points) else np.zeros((1, max(matrix.shape[1], 1))))
+    pivots.rows = n
+    return pivots
 
 
 def _batch(ids, cell, home, units) -> pa.RecordBatch:
@@ -88,7 +98,7 @@ def place_for_radius(vectors: DataFrame, pivots: Pivots, radius: float) -> DataF
     hold a partner within ``radius``: a pair then meets in exactly one cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, STRIP_ROWS * 4):
             ids = batch.column(0).to_numpy()
             matrix, ok = to_matrix(batch.column(1), pivots.points.shape[1])
             ok &= matrix.any(axis=1)
@@ -104,8 +114,13 @@ def place_for_radius(vectors: DataFrame, pivots: Pivots, radius: float) -> DataF
     return vectors.select(F.col("id").cast("long"), "embedding").mapInArrow(run, CELL_ROW)
 
 
-def _cut(placed: DataFrame, block_rows: int) -> DataFrame:
+def _cut(placed: DataFrame, block_rows: int, fits_one: bool) -> DataFrame:
     """Assign blocks inside cells and copy each row to the block pairs it takes part in."""
+    if fits_one:
+        zero = F.lit(0)
+        return placed.select(
+            "cell", zero.alias("lo"), zero.alias("hi"), zero.alias("block"), "id", "home", "embedding"
+        )
     # One row per cell, at most MAX_PIVOTS of them.
     counts = placed.select("cell").groupBy("cell").agg(
         F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks")
@@ -149,7 +164,7 @@ def pairs_within(
     """
     pivots = choose_pivots(vectors, block_rows)
     radius = float(np.sqrt(max(2.0 * threshold, 0.0)))
-    cut = _cut(place_for_radius(vectors, pivots, radius), block_rows)
+    cut = _cut(place_for_radius(vectors, pivots, radius), block_rows, pivots.rows <= block_rows)
     min_dot = 1.0 - threshold
 
     def pairs(table: pa.Table) -> pa.Table:
@@ -191,7 +206,7 @@ def nearest_within_cells(
     extra = [] if skip is None else [F.col(skip).alias("skip")]
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, STRIP_ROWS * 4):
             matrix, ok = to_matrix(batch.column(1), dim)
             ok &= matrix.any(axis=1)
             units = unit_rows(matrix[ok])
@@ -222,7 +237,7 @@ def nearest_within_cells(
     need = k + 1 if skip_same_id else k
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, STRIP_ROWS * 4):
             matrix, ok = to_matrix(batch.column(1), dim)
             ok &= matrix.any(axis=1)
             ids, units = batch.column(0).to_numpy()[ok], unit_rows(matrix[ok])

@@ -77,11 +77,19 @@ def running(
 
 
 def positions(
-    rows: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "position"
+    rows: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "position",
+    fold_rows: int = FOLD_ROWS,
 ) -> DataFrame:
-    """Row numbers without a single-task window."""
-    out = running(rows, by, order).drop("sequence")
-    return out if name == "position" else out.withColumnRenamed("position", name)
+    """Row numbers in ``order`` inside each group.
+
+    Group sizes are checked first: a plain window serves while every group fits
+    one task, :func:`running` splits the groups otherwise.
+    """
+    largest = rows.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= fold_rows:
+        window = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+        return rows.withColumn(name, F.row_number().over(window.orderBy(*order)).cast("long"))
+    return running(rows, by, order).drop("sequence").withColumnRenamed("position", name)
 
 
 def _next_starts(q: np.ndarray, p: np.ndarray, span: int) -> np.ndarray:

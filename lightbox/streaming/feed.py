@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lightbox.session import durable
+
 # Event kinds and the field that must be there.
 REQUIRED = {
     "MediaCreated": "item.id",
@@ -137,7 +139,8 @@ def apply_changes(current: DataFrame, events: DataFrame, view: View = View()) ->
             & ~_rejected(view, missing_fails=False)
         )
     hides = (F.col("action") == "delete") | _rejected(view, missing_fails=False)
-    marked = events.withColumns({"_shows": shows & ~hides, "_hides": hides})
+    # Read by four aggregates below; parsed and exploded once.
+    marked = durable(events.withColumns({"_shows": shows & ~hides, "_hides": hides}))
 
     hidden = marked.where("_hides").groupBy("id").agg(F.max("seq").alias("_gone"))
     alive = marked.join(hidden, "id", "left").where(
@@ -146,8 +149,9 @@ def apply_changes(current: DataFrame, events: DataFrame, view: View = View()) ->
     kept = current.join(hidden.select("id"), "id", "left_anti")
     # A kept item takes every later event; any other starts at the first that shows it.
     births = alive.where("_shows").groupBy("id").agg(F.min("seq").alias("_born"))
-    births = births.join(kept.select("id"), "id", "left_anti")
-    starts = births.unionByName(kept.select("id", F.lit(None).cast("long").alias("_born")))
+    starts = births.join(kept.select("id", F.lit(True).alias("_kept")), "id", "full").select(
+        "id", F.when(F.col("_kept").isNull(), F.col("_born")).alias("_born")
+    )
     live = alive.drop("_gone").join(starts, "id").where(
         F.col("_born").isNull() | (F.col("seq") >= F.col("_born"))
     )
