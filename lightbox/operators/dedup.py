@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lightbox.functions import scalars as S
+from lightbox.session import durable
 
 
 def dedup_ingest(new: DataFrame, existing: DataFrame, arrival: str = "uploaded_at") -> DataFrame:
@@ -22,7 +23,8 @@ def dedup_ingest(new: DataFrame, existing: DataFrame, arrival: str = "uploaded_a
     reason = S.rejection_reason(S.file_extension(F.col("original_filename")))
     rows = new.withColumn("reason", reason)
     hashed = rows.where(F.col("reason").isNull() & (F.col("phash") != S.NO_HASH))
-    first = hashed.groupBy("phash").agg(F.min_by("id", F.struct(arrival, "id")).alias("id"))
+    # Hashes may come from expensive processing, and two joins follow: computed once.
+    first = durable(hashed.groupBy("phash").agg(F.min_by("id", F.struct(arrival, "id")).alias("id")))
     # A small batch is broadcast against the library's hashes; neither side moves whole.
     known = existing.select("phash").join(first.select("phash"), "phash", "left_semi").distinct()
     accepted = first.join(known, "phash", "left_anti").select("id", F.lit(True).alias("_first"))

@@ -203,95 +203,108 @@ def nearest_within_cells(
     """
     pivots = choose_pivots(corpus, block_rows)
     dim = pivots.points.shape[1]
-    extra = [] if skip is None else [F.col(skip).alias("skip")]
+    cells = len(pivots.points)
+
+    def settle(query_blocks: np.ndarray):
+        """Corpus rows in their home cell, with the number of query blocks they meet."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, STRIP_ROWS * 4):
+                matrix, ok = to_matrix(batch.column(1), dim)
+                ok &= matrix.any(axis=1)
+                units = unit_rows(matrix[ok])
+                if not len(units):
+                    continue
+                d = pivots.distances(units)
+                home = d.argmin(axis=1)
+                cols = {
+                    "id": pa.array(batch.column(0).to_numpy()[ok], pa.int64()),
+                    "cell": pa.array(home, pa.int32()),
+                    "reach": pa.array(d[np.arange(len(d)), home]),
+                    "others": pa.array(query_blocks[home], pa.int32()),
+                    "embedding": from_matrix(units),
+                }
+                if skip is not None:
+                    cols["skip"] = batch.column(2).filter(pa.array(ok))
+                yield pa.record_batch(cols)
+
+        extra = [] if skip is None else [F.col(skip).alias("skip")]
+        return corpus.select(F.col("id").cast("long"), "embedding", *extra).mapInArrow(
+            run, "id long, cell int, reach double, others int, embedding array<double>"
+            + ("" if skip is None else ", skip array<long>"),
+        )
 
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, STRIP_ROWS * 4):
-            matrix, ok = to_matrix(batch.column(1), dim)
-            ok &= matrix.any(axis=1)
-            units = unit_rows(matrix[ok])
-            if not len(units):
-                continue
-            d = pivots.distances(units)
-            home = d.argmin(axis=1)
-            cols = {
-                "id": pa.array(batch.column(0).to_numpy()[ok], pa.int64()),
-                "cell": pa.array(home, pa.int32()),
-                "reach": pa.array(d[np.arange(len(d)), home]),
-                "embedding": from_matrix(units),
-            }
-            if skip is not None:
-                cols["skip"] = batch.column(2).filter(pa.array(ok))
-            yield pa.record_batch(cols)
-
-    skip_ddl = "" if skip is None else ", skip array<long>"
-    settled = corpus.select(F.col("id").cast("long"), "embedding", *extra).mapInArrow(
-        settle, "id long, cell int, reach double, embedding array<double>" + skip_ddl
-    )
     # At most one row per pivot.
-    cells = settled.groupBy("cell").agg(F.count("*").alias("n"), F.max("reach").alias("reach")).toArrow()
-    at = cells.column("cell").to_numpy()
-    size = np.zeros(len(pivots.points), np.int64)
-    reach = np.zeros(len(pivots.points))
-    size[at], reach[at] = cells.column("n").to_numpy(), cells.column("reach").to_numpy()
+    found = settle(np.ones(cells, np.int64)).groupBy("cell").agg(
+        F.count("*").alias("n"), F.max("reach").alias("reach")
+    ).toArrow()
+    at = found.column("cell").to_numpy()
+    size, reach = np.zeros(cells, np.int64), np.zeros(cells)
+    size[at], reach[at] = found.column("n").to_numpy(), found.column("reach").to_numpy()
+    corpus_blocks = -(-size // block_rows)
     need = k + 1 if skip_same_id else k
 
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, STRIP_ROWS * 4):
-            matrix, ok = to_matrix(batch.column(1), dim)
-            ok &= matrix.any(axis=1)
-            ids, units = batch.column(0).to_numpy()[ok], unit_rows(matrix[ok])
-            if not len(ids):
-                continue
-            d = pivots.distances(units)
-            wanted = np.full(len(ids), need, np.int64)
-            if skip is not None:
-                wanted += batch.column(2).to_numpy()[ok]
-            far = np.where(size > 0, d + reach, np.inf)
-            order = far.argsort(axis=1)
-            seen = np.cumsum(size[order], axis=1)
-            enough = np.argmax(seen >= wanted[:, None], axis=1)
-            limit = np.where(
-                seen[:, -1] >= wanted,
-                np.take_along_axis(far, order, 1)[np.arange(len(ids)), enough], np.inf,
-            )
-            low = np.maximum(d - reach, pivots.bisector_gap(d, d.argmin(axis=1)))
-            go = (size > 0) & (low <= limit[:, None] + SLACK)
-            for start in range(0, len(ids), EMIT_ROWS // 8):
-                r, c = np.nonzero(go[start : start + EMIT_ROWS // 8])
-                for lo in range(0, len(r), EMIT_ROWS):
-                    rr = r[lo : lo + EMIT_ROWS] + start
+    def visit(query_blocks: np.ndarray):
+        """A copy of each query for every cell it has to look into."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, STRIP_ROWS * 2):
+                matrix, ok = to_matrix(batch.column(1), dim)
+                ok &= matrix.any(axis=1)
+                ids, units = batch.column(0).to_numpy()[ok], unit_rows(matrix[ok])
+                if not len(ids):
+                    continue
+                wanted = np.full(len(ids), need, np.int64)
+                if skip is not None:
+                    wanted += batch.column(2).to_numpy()[ok]
+                d = pivots.distances(units)
+                far = np.where(size > 0, d + reach, np.inf)
+                order = far.argsort(axis=1)
+                seen = np.cumsum(size[order], axis=1)
+                enough = np.argmax(seen >= wanted[:, None], axis=1)
+                limit = np.where(
+                    seen[:, -1] >= wanted,
+                    np.take_along_axis(far, order, 1)[np.arange(len(ids)), enough], np.inf,
+                )
+                low = np.maximum(d - reach, pivots.bisector_gap(d, d.argmin(axis=1)))
+                row, cell = np.nonzero((size > 0) & (low <= limit[:, None] + SLACK))
+                for start in range(0, len(row), EMIT_ROWS):
+                    r, c = row[start : start + EMIT_ROWS], cell[start : start + EMIT_ROWS]
                     yield pa.record_batch(
                         {
-                            "id": pa.array(ids[rr], pa.int64()),
-                            "cell": pa.array(c[lo : lo + EMIT_ROWS], pa.int32()),
-                            "embedding": from_matrix(units[rr]),
+                            "id": pa.array(ids[r], pa.int64()),
+                            "cell": pa.array(c, pa.int32()),
+                            "own": pa.array(query_blocks[c], pa.int32()),
+                            "others": pa.array(corpus_blocks[c], pa.int32()),
+                            "embedding": from_matrix(units[r]),
                         }
                     )
 
-    asked = [] if skip is None else [F.col("barred").cast("long")]
-    visits = queries.select(F.col("id").cast("long"), "embedding", *asked).mapInArrow(
-        visit, "id long, cell int, embedding array<double>"
-    )
-
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.select("cell").groupBy("cell").agg(
-            F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias(name)
+        asked = [] if skip is None else [F.col("barred").cast("long")]
+        return queries.select(F.col("id").cast("long"), "embedding", *asked).mapInArrow(
+            run, "id long, cell int, own int, others int, embedding array<double>"
         )
 
-    # One row per cell on either side, at most MAX_PIVOTS of them.
-    grid = blocks(settled, "cb").join(blocks(visits, "qb"), "cell")
-    grid = F.broadcast(grid)
-    left = visits.join(grid, "cell").withColumns(
+    visitors = np.zeros(cells, np.int64)
+    if cells == 1:
+        visitors[0] = queries.select("id").count()
+    else:
+        # At most one row per pivot.
+        counted = visit(np.ones(cells, np.int64)).groupBy("cell").agg(F.count("*").alias("n")).toArrow()
+        visitors[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
+    query_blocks = -(-visitors // block_rows)
+
+    left = visit(query_blocks).withColumns(
         {
-            "q": F.pmod(F.xxhash64("id"), F.col("qb")).cast("int"),
-            "c": F.explode(F.sequence(F.lit(0), F.col("cb") - 1)),
+            "q": F.pmod(F.xxhash64("id"), F.col("own")).cast("int"),
+            "c": F.explode(F.sequence(F.lit(0), F.col("others") - 1)),
         }
     )
-    right = settled.join(grid, "cell").withColumns(
+    # A cell nobody visits has no query blocks and drops out here.
+    right = settle(query_blocks).where(F.col("others") > 0).withColumns(
         {
-            "c": F.pmod(F.xxhash64("id"), F.col("cb")).cast("int"),
-            "q": F.explode(F.sequence(F.lit(0), F.col("qb") - 1)),
+            "c": F.pmod(F.xxhash64("id"), F.element_at(F.lit(corpus_blocks.tolist()), F.col("cell") + 1)).cast("int"),
+            "q": F.explode(F.sequence(F.lit(0), F.col("others") - 1)),
         }
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,10 +49,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder and cut its lineage.
+    """Write ``df`` below the checkpoint folder and read it back, cutting its lineage.
 
-    Written to shared storage, so a lost executor costs a re-read and never a
-    re-evaluation of anything whose layout is not reproducible.
+    On shared storage, so a lost executor costs a re-read and never a second
+    evaluation of anything whose layout is not reproducible. A written table
+    also keeps column pruning and tells its true size to the join planner.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/durable-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

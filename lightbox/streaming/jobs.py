@@ -74,7 +74,8 @@ MEDIA = (
 
 def ingest_batch(files: DataFrame, existing: DataFrame, processor: Processor) -> DataFrame:
     """Decided media rows of one batch of files; the id follows from path and time."""
-    done = process_files(files, processor)
+    # Each file is processed once, whatever the decisions below read.
+    done = durable(process_files(files, processor))
     ext = S.file_extension(F.col("original_filename"))
     rows = done.withColumns(
         {
