@@ -76,7 +76,7 @@ def date_from_filename(name: Column) -> Column:
 
 def parse_exif_datetime(text: Column) -> Column:
     """Timestamp from the two EXIF separators, with or without time of day."""
-    t = F.replace(_strip(text), F.lit("/"), F.lit("-"))
+    t = F.replace(strip(text), F.lit("/"), F.lit("-"))
     return _timestamp_from(
         t, r"(\d{4})([:-])(\d{1,2})\2(\d{1,2})(?:\s*(\d{1,2}:\d{1,2}:\d{1,2}))?", "$1-$3-$4 $5"
     )
@@ -111,12 +111,13 @@ def decode_allowed(width: Column, height: Column, bytes_per_pixel: int = 4) -> C
     return (width <= MAX_SIDE) & (height <= MAX_SIDE) & (need <= MAX_DECODE_BYTES)
 
 
-def _strip(text: Column) -> Column:
+def strip(text: Column) -> Column:
+    """Trim white space of every script, not only blanks."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def sanitize_filename(name: Column) -> Column:
-    clean = _strip(F.regexp_replace(name, r"[\p{Cc}/\\\"']", ""))
+    clean = strip(F.regexp_replace(name, r"[\p{Cc}/\\\"']", ""))
     return F.when(clean == "", "download").otherwise(clean)
 
 
@@ -134,7 +135,7 @@ def similarity_to_distance(similarity: Column, clamp: bool = True) -> Column:
 
 def parse_tag_list(text: Column) -> Column:
     """Trimmed, non-empty names of a comma list; null means no filter."""
-    names = F.filter(F.transform(F.split(text, ","), _strip), lambda t: t != "")
+    names = F.filter(F.transform(F.split(text, ","), strip), lambda t: t != "")
     return F.when(F.length(text) > 0, names)
 
 

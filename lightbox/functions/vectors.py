@@ -85,12 +85,25 @@ def is_zero(vector: Column) -> Column:
     return ~F.exists(vector, lambda x: x != 0)
 
 
+def paired(x: pa.Array, y: pa.Array, fn) -> pa.Array:
+    """``fn`` of two matrices for the rows whose lengths agree; null elsewhere and where it is nan."""
+    lx, ly = (pc.fill_null(pc.list_value_length(v), -1).to_numpy(zero_copy_only=False) for v in (x, y))
+    out = np.full(len(x), np.nan)
+    for size in np.unique(lx[(lx == ly) & (lx > 0)]):
+        at = np.flatnonzero((lx == size) & (ly == size))
+        take = pa.array(at)
+        out[at] = fn(to_matrix(x.take(take))[0], to_matrix(y.take(take))[0])
+    return pa.array(out, mask=np.isnan(out))
+
+
+def row_dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", x, y)
+
+
 def dot(a: Column, b: Column) -> Column:
     @F.arrow_udf("double")
     def product(x: pa.Array, y: pa.Array) -> pa.Array:
-        mx, ok_x = to_matrix(x)
-        my, ok_y = to_matrix(y, mx.shape[1])
-        return pa.array(np.einsum("ij,ij->i", mx, my), mask=~(ok_x & ok_y))
+        return paired(x, y, row_dots)
 
     return product(a, b)
 
@@ -98,13 +111,14 @@ def dot(a: Column, b: Column) -> Column:
 def cosine_distance(a: Column, b: Column) -> Column:
     """One minus the cosine; null when either vector is zero or lengths differ."""
 
+    def angle(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        directed = x.any(axis=1) & y.any(axis=1)
+        far = np.maximum(1.0 - row_dots(unit_rows(x), unit_rows(y)), 0.0)
+        return np.where(directed, far, np.nan)
+
     @F.arrow_udf("double")
     def distance(x: pa.Array, y: pa.Array) -> pa.Array:
-        mx, ok_x = to_matrix(x)
-        my, ok_y = to_matrix(y, mx.shape[1])
-        ok = ok_x & ok_y & mx.any(axis=1) & my.any(axis=1)
-        cosine = np.einsum("ij,ij->i", unit_rows(mx), unit_rows(my))
-        return pa.array(np.maximum(1.0 - cosine, 0.0), mask=~ok)
+        return paired(x, y, angle)
 
     return distance(a, b)
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lightbox.functions.scalars import NO_HASH
+from lightbox.functions.scalars import NO_HASH, strip
 from lightbox.operators import sets
 from lightbox.plans.ordered import positions
 
@@ -21,7 +21,7 @@ def set_favorites(favorites: DataFrame, changes: DataFrame) -> DataFrame:
 
 def add_tags(tags: DataFrame, names: DataFrame) -> DataFrame:
     """The tag dictionary with new names numbered on, in name order."""
-    trimmed = names.select(F.trim("tag").alias("tag")).where(F.col("tag") != "")
+    trimmed = names.select(strip(F.col("tag")).alias("tag")).where(F.col("tag") != "")
     new = trimmed.distinct().join(tags.select("tag"), "tag", "left_anti")
     numbered = positions(new, [], [F.col("tag")], "_n")
     top = tags.agg(F.coalesce(F.max("tag_id"), F.lit(0))).scalar()
@@ -43,7 +43,7 @@ def replace_tags(
     else:
         listed = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
         wanted = items.select("media_id").distinct().withColumn("tag", F.explode(listed))
-    wanted = wanted.select("media_id", F.trim("tag").alias("tag")).where(F.col("tag") != "").distinct()
+    wanted = wanted.select("media_id", strip(F.col("tag")).alias("tag")).where(F.col("tag") != "").distinct()
     return kept.unionByName(
         wanted.withColumns({"is_auto": F.lit(False), "confidence": F.lit(None).cast("double")})
     )
@@ -119,7 +119,7 @@ def delete_folder(
 
 def create_folders(folders: DataFrame, new: DataFrame) -> DataFrame:
     """Append folders after the last one, in ``pos`` order; blank names are refused."""
-    named = new.select("folder_id", F.trim("name").alias("name"), "pos").where(F.col("name") != "")
+    named = new.select("folder_id", strip(F.col("name")).alias("name"), "pos").where(F.col("name") != "")
     numbered = positions(named, [], [F.col("pos"), F.col("folder_id")], "_n")
     top = folders.agg(F.coalesce(F.max("sort_order"), F.lit(-1))).scalar()
     added = numbered.select(
@@ -136,7 +136,7 @@ def _overwrite(base: DataFrame, changes: DataFrame, key: str, column: str) -> Da
 
 def rename_folders(folders: DataFrame, names: DataFrame) -> DataFrame:
     """New names for known folders; blank names change nothing."""
-    named = names.select("folder_id", F.trim("name").alias("name")).where(F.col("name") != "")
+    named = names.select("folder_id", strip(F.col("name")).alias("name")).where(F.col("name") != "")
     return _overwrite(folders, named, "folder_id", "name")
 
 

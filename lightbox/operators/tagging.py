@@ -55,9 +55,7 @@ def predict_score(vector: Column, weights: Column, bias: Column) -> Column:
 
     @F.arrow_udf("double")
     def product(v: pa.Array, w: pa.Array) -> pa.Array:
-        mv, ok_v = V.to_matrix(v)
-        mw, ok_w = V.to_matrix(w, mv.shape[1])
-        return pa.array(np.einsum("ij,ij->i", V.unit_rows(mv), mw), mask=~(ok_v & ok_w))
+        return V.paired(v, w, lambda x, y: V.row_dots(V.unit_rows(x), y))
 
     return F.coalesce(product(vector, weights) - bias, F.lit(V.MISMATCH))
 
@@ -73,10 +71,9 @@ def platt_probability(score: Column, a: Column, b: Column) -> Column:
 
 
 def _score_batch(ids, col, tags, weights, bias, min_raw):
-    matrix, ok = V.to_matrix(col)
+    matrix, ok = V.to_matrix(col, weights.shape[1])
     raw = np.full((len(matrix), len(tags)), V.MISMATCH)
-    if matrix.shape[1] == weights.shape[1]:
-        raw[ok] = V.unit_rows(matrix[ok]) @ weights.T - bias
+    raw[ok] = V.unit_rows(matrix[ok]) @ weights.T - bias
     keep = np.ones(raw.shape, bool) if min_raw is None else raw > min_raw
     i, j = np.nonzero(keep)
     return {

@@ -212,13 +212,14 @@ def _(lib):
     return connected_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
-@sql_query(
+@query(
     "i11_group_similar",
     f"""with {REACH},
     member as (select id, least(id, min(other)) as component from reach group by id),
     head as (select component, row_number() over (order by c.original_date desc, component) - 1 as group_id
       from (select distinct component from member) join catalog c on c.id = component)
     select group_id, id from member join head using (component) /*recursive*/""",
+    {**VECTOR_VIEWS, "raw_vec": VECTOR_VIEWS["raw_vec"] + " where vec_id in (select id from media)"},
 )
 def _(lib):
     scope = I.embeddings_scope(C.derive_catalog(lib.media), vectors(lib))

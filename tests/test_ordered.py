@@ -68,8 +68,9 @@ def test_running_over_a_hot_group(spark):
 
 def test_positions_without_groups(spark):
     df = spark.range(100).repartition(4)
-    got = positions(df, [], [F.col("id").desc()], "n").collect()
-    assert all(r["n"] == 100 - r["id"] for r in got)
+    for fold_rows in (1000, 10):
+        got = positions(df, [], [F.col("id").desc()], "n", fold_rows).collect()
+        assert len(got) == 100 and all(r["n"] == 100 - r["id"] for r in got)
 
 
 def test_entry_names(spark, rows):

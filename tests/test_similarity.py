@@ -159,6 +159,12 @@ def test_vector_functions(spark):
     assert got == {1: [0.6, 0.8], 2: [0.0, 0.0], 3: [1.0], 4: None}
     pair = spark.createDataFrame([([1.0, 2.0, 3.0], [4.0, 5.0, 6.0])], "a array<double>, b array<double>")
     assert pair.select(V.dot(F.col("a"), F.col("b"))).first()[0] == 32.0
+    odd = spark.createDataFrame(
+        [(1, [1.0, 0.0], [0.0, 2.0]), (2, [1.0, 2.0, 3.0], [1.0]), (3, [2.0], [3.0]), (4, [0.0], [1.0]), (5, None, [1.0])],
+        "id long, a array<double>, b array<double>",
+    ).coalesce(1)
+    both = [V.dot(F.col("a"), F.col("b")), V.cosine_distance(F.col("a"), F.col("b"))]
+    assert [tuple(r) for r in odd.orderBy("id").select(*both).collect()] == [(0.0, 1.0), (None, None), (6.0, 0.0), (0.0, None), (None, None)]
 
 
 def test_search_edges(spark, rows):

@@ -102,6 +102,10 @@ def test_predict_paths_agree(spark):
     got = {(r["media_id"], r["tag"]): r["raw"] for r in blocked.collect()}
     assert len(want) == 350 and got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k]) for k in want)
+    odd = v.unionByName(spark.createDataFrame([(99, [1.0] * 9)], v.schema)).coalesce(1)
+    mixed = {(r["media_id"], r["tag"]): r for r in J.batch_predict(odd, m).collect()}
+    assert all(mixed[k]["raw"] == pytest.approx(want[k]) for k in want)
+    assert mixed[99, "t0"]["raw"] == -999.0 and mixed[99, "t0"]["confidence"] == 0.0
     kept = J.batch_predict(v, m, min_raw=0.0).collect()
     assert {(r["media_id"], r["tag"]) for r in kept} == {k for k, s in want.items() if s > 0}
 
