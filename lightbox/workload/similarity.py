@@ -190,10 +190,14 @@ def _(lib):
     return rounded(I.similar_pairs(vectors(lib), GROUP_DISTANCE))
 
 
-@query("i9_pair_guard")
+@sql_query(
+    "i9_pair_guard",
+    f"""select (select count(*) from embeddings) as items, count(*) as pairs from unit a join unit b on a.id < b.id
+    where list_inner_product(a.u, b.u) >= {1 - GROUP_DISTANCE}""",
+)
 def _(lib):
     items, pairs = I.pair_guard(vectors(lib), GROUP_DISTANCE, max_items=10**12)
-    return lib.spark.range(1).select(F.lit(items).alias("items"), F.lit(pairs).alias("pairs"))
+    return lib.spark.range(1).select(F.lit(items).cast("long").alias("items"), F.lit(pairs).cast("long").alias("pairs"))
 
 
 REACH = """
