@@ -106,10 +106,10 @@ def _masks(radius: int) -> list[list[tuple[np.uint64, int]]]:
     return out
 
 
-def within_chain(a: np.ndarray, b: np.ndarray, chain: list[tuple[np.uint64, int]]) -> np.ndarray:
+def within_chain(a: np.ndarray, b: np.ndarray | np.uint64, chain: list[tuple[np.uint64, int]]) -> np.ndarray:
     """Indices of the pairs that keep every prefix budget; the last budget is the Hamming bound."""
-    at = np.arange(max(len(a), len(b)))
     x = a ^ b
+    at = np.arange(len(x))
     for mask, budget in chain:
         ok = np.bitwise_count(x & mask) <= budget
         at, x = at[ok], x[ok]
