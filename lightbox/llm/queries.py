@@ -6,7 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lightbox.llm import decontamination, exact_dedup, mixing, quality, simhash, toxicity
+from lightbox.llm import (
+    decontamination, exact_dedup, line_dedup, mixing, quality, simhash, token_counts, toxicity, url_filter, warc,
+)
+
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+# Fixed values of the URL rules.
+URL_RULES = (
+    ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"),
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -78,6 +86,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("spans")
 
 
+@query("op3_token_counts")
+def op3(spark: SparkSession, sf_dir: str, model_file: str = TOKENIZER) -> DataFrame:
+    """Number of unigram pieces of every document."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), token_counts.load_vocabulary(model_file))
+
+
 @query("op4_quality_classifier")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quality score of every document, learnt from trusted and unlabelled ones."""
@@ -85,12 +99,42 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+@query("op5_url_filter")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on the URL of every page."""
+    return url_filter.url_verdicts(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 @query("op6_simhash_near_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_groups(table(spark, sf_dir, "documents"), shingle=3, radius=2)
 
 
+@query("op7_line_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that repeat an earlier line up to one word."""
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
+@query("op8_warc", """
+with p as (
+  select page_id, coalesce(html, '') as body, strlen(coalesce(html, '')) as n,
+    min(page_id) over (partition by coalesce(html, '')) as first_id
+  from pages
+)
+select page_id, n as payload_bytes, sha256(body) as payload_digest,
+  case when n >= 100 and first_id <> page_id then 'revisit' else 'response' end as record_type,
+  case when n >= 100 and first_id <> page_id then first_id end as refers_to
+from p
+""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all pages, read back from their archives."""
+    return warc.capture_history(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 @query("op9_toxicity")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score of every document, learnt from confirmed and unlabelled ones."""

@@ -71,6 +71,8 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, carry: t
 
 def segments(radius: int) -> list[tuple[int, int]]:
     """(shift, width) of the 2 * radius + 1 segments that make up the ring."""
+    if not 2 <= radius <= 15:
+        raise ValueError("the radius must be 2 to 15 bits")
     m = 2 * radius + 1
     cuts = [BITS * i // m for i in range(m + 1)]
     return [(a, b - a) for a, b in zip(cuts[:-1], cuts[1:])]
