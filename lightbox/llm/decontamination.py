@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index per shard of documents.
 
-A shard is one Arrow batch of documents. Words that no benchmark item uses end a
+A shard is a few megabytes of documents. Words that no benchmark item uses end a
 stretch; stretches shorter than every phrase cannot contain one and are not
 indexed. All phrases are searched backwards at once, their occurrences are located
 by sampled suffix positions, and overlapping ones are merged to removal spans. The
@@ -11,6 +11,7 @@ size, one pass over the documents per slice.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lightbox.llm.batches import pieces, whole_row
 from lightbox.llm.fm_index import FMIndex
 from lightbox.session import durable
 
@@ -134,7 +136,7 @@ def search_batch(texts: list[bytes | None], book: PhraseBook) -> tuple[list[int]
     for t in texts:
         words = words_of(t)
         counts.append(len(words))
-        parts.append(np.fromiter((number(w, 0) for w in words), np.int64, len(words)))
+        parts.append(np.fromiter(map(number, words, repeat(0)), np.int64, len(words)))
         parts.append(np.zeros(1, np.int64))
     ids = np.concatenate(parts) if parts else np.empty(0, np.int64)
     starts = np.concatenate([[0], np.cumsum(np.array(counts, np.int64) + 1)])
@@ -155,59 +157,60 @@ def search_batch(texts: list[bytes | None], book: PhraseBook) -> tuple[list[int]
     return counts, spans, items
 
 
-def _pass(rows: DataFrame, entries) -> DataFrame:
-    """Add what one slice of phrases finds to (text, ..., n_words, spans, items)."""
+def _pass(rows: DataFrame, text: str, entries) -> DataFrame:
+    """Add what one slice of phrases finds to (..., n_words, spans, items)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = PhraseBook(entries.value)
-        for batch in batches:
-            names = batch.schema.names
-            counts, spans, items = search_batch(batch.column("text").cast(pa.binary()).to_pylist(), book)
-            columns = {n: batch.column(n) for n in names}
+        kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+        for batch, texts in pieces(batches, text):
+            counts, spans, items = search_batch(texts, book)
+            columns = dict(zip(batch.schema.names, batch.columns))
             for d, old in enumerate(columns["spans"].to_pylist()):
                 if old:
                     spans[d] = _merged(spans[d] + [(s["begin"], s["end"]) for s in old])
             for d, old in enumerate(columns["items"].to_pylist()):
                 items[d].update(old or ())
-            kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
             columns["n_words"] = pa.array(counts, pa.int64())
             columns["spans"] = pa.array([[{"begin": a, "end": b} for a, b in s] for s in spans], kind)
             columns["items"] = pa.array([sorted(i) for i in items], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
+            yield pa.record_batch(columns)
 
     return rows.mapInArrow(run, rows.schema)
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, carry: dict[str, object], text: str = "text",
+    docs: DataFrame, benchmark: DataFrame, text: str = "text",
     benchmark_text: str = "text", item_id: str = "item_id", window: int = WINDOW, slice_words: int = SLICE_WORDS,
 ) -> DataFrame:
-    """(``carry``..., n_words, spans, items) of every row; spans are [begin, end) in words.
+    """The columns of ``docs``, n_words, spans and items of every row; spans are [begin, end) in words.
 
-    Null and empty texts have no words. An empty benchmark finds nothing.
+    ``text`` is a column, or a field ``row.name`` of a struct column ``row``. Null and empty texts have no words. An empty benchmark finds nothing.
     """
     spark = docs.sparkSession
     found = durable(phrases(benchmark, benchmark_text, item_id, window))
     n = found.count()
     slices = max(1, -(-n * window // slice_words))
     rows = docs.select(
-        F.col(text).alias("text"), *[c.alias(k) for k, c in carry.items()],
-        F.lit(0).cast("long").alias("n_words"), F.lit(None).cast(SPANS).alias("spans"),
+        "*", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast(SPANS).alias("spans"),
         F.lit(None).cast("array<string>").alias("items"),
     )
     for i in range(slices):
         mine = found if slices == 1 else found.where(F.pmod(F.xxhash64("phrase"), F.lit(slices)) == i)
         # Plain lists: a broadcast is unpickled without this package.
         entries = spark.sparkContext.broadcast([(r["phrase"], r["items"]) for r in mine.collect()])
-        rows = _pass(rows, entries)
+        rows = _pass(rows, text, entries)
         if slices > 1:
             rows = durable(rows)
-    return rows.drop("text")
+    return rows
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", **options) -> DataFrame:
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", **options
+) -> DataFrame:
     """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans."""
-    found = find_leaks(docs, benchmark, {"doc_id": F.col(id)}, **options)
+    named = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
+    found = find_leaks(named, benchmark, "text", **options)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
     return found.select(
         "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
@@ -217,8 +220,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", **o
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` in which no phrase of the benchmark occurs, with all their columns."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    found = find_leaks(docs, benchmark, {"row": row}, text=text, **options)
+    found = find_leaks(docs.select(whole_row(docs)), benchmark, f"row.{text}", **options)
     return found.where(F.size("spans") == 0).select("row.*")
 
 
@@ -228,8 +230,7 @@ def cut_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", **optio
     A cut runs from the first to the last byte of a span's words; what separates
     it from its neighbours stays.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    found = find_leaks(docs, benchmark, {"row": row}, text=text, **options)
+    found = find_leaks(docs.select(whole_row(docs)), benchmark, f"row.{text}", **options)
 
     @F.pandas_udf("string")
     def cut(texts, spans):

@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lightbox.llm.batches import pieces
 from lightbox.session import durable, ensure_checkpoint_dir
 
 MIN_WORDS = 5
@@ -120,12 +121,9 @@ def _split(docs: DataFrame, id: str, text: str) -> DataFrame:
     """Every line of every row, written once; zstd keeps the copy of the texts small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, texts in pieces(batches, "text"):
             out: list[list] = [[] for _ in range(7)]
-            size = 0
-            for doc, row, raw in zip(
-                batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()
-            ):
+            for doc, row, raw in zip(batch.column("doc_id").to_pylist(), batch.column("row_no").to_pylist(), texts):
                 for i, line in enumerate((raw or b"").split(b"\n")):
                     words = line.split()
                     sums = sums_of(words)
@@ -135,10 +133,6 @@ def _split(docs: DataFrame, id: str, text: str) -> DataFrame:
                     )
                     for column, value in zip(out, values):
                         column.append(value)
-                    size += len(line)
-                if size > 16_000_000:
-                    yield _lines(out)
-                    out, size = [[] for _ in range(7)], 0
             yield _lines(out)
 
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), F.col(text).alias("text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lightbox.llm.batches import pieces
 from lightbox.session import durable
 
 
@@ -129,8 +130,8 @@ def collect_features(sample: DataFrame, features: Callable[[list[bytes | None]],
     """(positive rows, unlabelled rows) of ``width`` features; bounded by the sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = features(batch.column(0).cast(pa.binary()).to_pylist())
+        for batch, texts in pieces(batches, "text"):
+            x = features(texts)
             yield pa.record_batch({
                 "positive": batch.column(1),
                 "x": pa.ListArray.from_arrays(np.arange(0, x.size + 1, width, dtype=np.int32), x.ravel()),
@@ -148,18 +149,16 @@ def _sorted(x: np.ndarray) -> np.ndarray:
 
 
 def score_documents(
-    docs: DataFrame, features: Callable[[list[bytes | None]], np.ndarray], scorer: LinearScorer,
-    carry: Sequence[Column], text: str = "text",
+    docs: DataFrame, features: Callable[[list[bytes | None]], np.ndarray], scorer: LinearScorer, text: str = "text"
 ) -> DataFrame:
-    """``carry`` columns and the score of every row, in one pass without a shuffle."""
-    rows = docs.select(F.col(text).alias("_text"), *carry)
+    """The columns of ``docs`` and the score of every row, in one pass without a shuffle.
+
+    ``text`` is a column, or a field ``row.name`` of a struct column ``row``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = features(batch.column(0).cast(pa.binary()).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(scorer.scores(x), pa.float64())], [*batch.schema.names[1:], "score"]
-            )
-
-    schema = T.StructType([*rows.schema.fields[1:], T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(run, schema)
+        for batch, texts in pieces(batches, text):
+            scores = pa.array(scorer.scores(features(texts)), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, "score"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))

@@ -69,7 +69,7 @@ def train(
 
 def quality(docs: DataFrame, model: LinearScorer, folds: int = FOLDS, fold: int = HELD_OUT_FOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row; null counts as an empty text."""
-    scored = score_documents(docs, features, model, [F.col("doc_id")])
+    scored = score_documents(docs.select("doc_id", "text"), features, model)
     return scored.select(
         "doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),

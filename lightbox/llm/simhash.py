@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lightbox.llm.batches import pieces, whole_row
 from lightbox.plans.components import connected_components, forest
 from lightbox.session import durable
 
@@ -55,18 +56,20 @@ def fingerprint(text: bytes | None, shingle: int) -> int:
     return int(np.packbits(2 * ones > n).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(``carry``, fp) of every row, in one pass without a shuffle."""
+def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
+    """The columns of ``docs`` but a plain ``text``, and fp, in one pass without a shuffle.
+
+    ``text`` is a column, or a field ``row.name`` of a struct column ``row``.
+    """
+    kept = [f for f in docs.schema.fields if f.name != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(0).cast(pa.binary())
-            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), np.int64, len(texts))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps)], [*batch.schema.names[1:], "fp"])
+        names = [f.name for f in kept]
+        for batch, texts in pieces(batches, text):
+            fps = np.fromiter((fingerprint(t, shingle) for t in texts), np.int64, len(texts))
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(fps)], [*names, "fp"])
 
-    rows = docs.select(F.col(text).alias("_text"), *carry)
-    schema = T.StructType([*rows.schema.fields[1:], T.StructField("fp", T.LongType())])
-    return rows.mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType([*kept, T.StructField("fp", T.LongType())]))
 
 
 def segments(radius: int) -> list[tuple[int, int]]:
@@ -232,11 +235,8 @@ def drop_near_copies(docs: DataFrame, text: str = "text", id: str = "doc_id", sh
     is then about 20 degrees, a similarity of 0.94. Rows without an id stay
     only if their group has no other row.
     """
-    marked = fingerprints(
-        docs.select(F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-                    F.col(id).cast("long").alias("doc_id")),
-        "text", shingle, ("row", "doc_id"),
-    ).withColumn("row_no", F.monotonically_increasing_id())
+    named = docs.select(whole_row(docs), F.col(id).cast("long").alias("doc_id"))
+    marked = fingerprints(named, f"row.{text}", shingle).withColumn("row_no", F.monotonically_increasing_id())
     rows = durable(marked)
     narrow = rows.select("row_no", "doc_id", "fp")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_no")).alias("best")

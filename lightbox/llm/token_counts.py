@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lightbox.llm.batches import pieces
+
 # Fixed values of the sentencepiece family: the word mark and the penalty of unknown characters.
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -115,8 +117,8 @@ def token_counts(docs: DataFrame, vocabulary: Vocabulary, id: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = UnigramCounter(Vocabulary(*shared.value))
-        for batch in batches:
-            counts = [counter.count(t) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch({"doc_id": batch.column(0), "n_tokens": pa.array(counts, pa.int64())})
+        for batch, texts in pieces(batches, "text"):
+            counts = [counter.count(t and t.decode()) for t in texts]
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_tokens": pa.array(counts, pa.int64())})
 
-    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, "doc_id long, n_tokens long")
+    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long")

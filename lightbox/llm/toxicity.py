@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lightbox.llm.batches import pieces, whole_row
 from lightbox.llm.pu_learning import (
     LinearScorer, collect_features, fit_nnpu, held_out, score_documents, training_sample,
 )
@@ -50,9 +51,8 @@ def lexicon(sample: DataFrame) -> dict[bytes, float]:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            marks = batch.column(1).to_pylist()
-            for text, mark in zip(batch.column(0).cast(pa.binary()).to_pylist(), marks):
+        for batch, texts in pieces(batches, "text"):
+            for text, mark in zip(texts, batch.column("positive").to_pylist()):
                 found = list(terms(text))
                 yield pa.record_batch({
                     "term": pa.array(found, pa.binary()), "p": pa.array([int(mark)] * len(found), pa.int64()),
@@ -77,8 +77,9 @@ def lexicon(sample: DataFrame) -> dict[bytes, float]:
 def feature_function(weights: dict[bytes, float]) -> Callable[[list[bytes | None]], np.ndarray]:
     """Features of a batch of texts: how many matches, their weight, the largest, their density."""
 
+    memory: dict[bytes, tuple[float, ...]] = {}
+
     def features(texts: list[bytes | None]) -> np.ndarray:
-        memory: dict[bytes, tuple[float, ...]] = {}
         get = weights.get
 
         def matches(word: bytes) -> tuple[float, ...]:
@@ -127,7 +128,7 @@ def train(
 
 def toxicity(docs: DataFrame, model: ToxicityModel, folds: int = FOLDS, fold: int = HELD_OUT_FOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row; null and empty texts have no match."""
-    scored = score_documents(docs, feature_function(model.weights), model.scorer, [F.col("doc_id")])
+    scored = score_documents(docs.select("doc_id", "text"), feature_function(model.weights), model.scorer)
     return scored.select(
         "doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
@@ -136,6 +137,6 @@ def toxicity(docs: DataFrame, model: ToxicityModel, folds: int = FOLDS, fold: in
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with all their columns."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    scored = score_documents(docs, feature_function(model.weights), model.scorer, [row])
+    rows = docs.select(whole_row(docs))
+    scored = score_documents(rows, feature_function(model.weights), model.scorer, "row.text")
     return scored.where(F.col("score") < threshold).select("row.*")
