@@ -22,6 +22,15 @@ from lightbox.session import durable
 FOLD_ROWS = 200_000
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys meet null keys; the key columns are those of ``left``."""
+    other = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
+    condition = F.lit(True)
+    for c in on:
+        condition = condition & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    return left.join(other, condition, how).drop(*[f"_r_{c}" for c in on])
+
+
 def running(
     rows: DataFrame, by: Sequence[str], order: Sequence[Column], value: Column | None = None
 ) -> DataFrame:
@@ -65,7 +74,7 @@ def running(
         group_offset.withColumn("_g0", F.coalesce(F.sum("_n").over(in_block), F.lit(0)))
         .join(block_offset, "_block").drop("_n")
     )
-    out = local.join(offsets, ["_block", *by]).withColumns(
+    out = _join_null_safe(local, offsets, ["_block", *by]).withColumns(
         {
             "position": (F.col("_n0") + F.col("_row")).cast("long"),
             "sequence": (F.col("_b0") + F.col("_g0") + F.col("_row")).cast("long"),
@@ -127,8 +136,8 @@ def greedy_segments(
     if stats["largest"] <= fold_rows:
         return _short_segments(rows, by, order, span, size, at, stats["all"], fold_rows)
     long_keys = sizes.where(F.col("_n") > fold_rows).select(*by)
-    short = rows.join(long_keys, list(by), "left_anti")
-    long = rows.join(long_keys, list(by), "left_semi")
+    short = _join_null_safe(rows, long_keys, by, "left_anti")
+    long = _join_null_safe(rows, long_keys, by, "left_semi")
     return _short_segments(short, by, order, span, size, at, stats["all"], fold_rows).unionByName(
         _long_segments(long, by, order, span, size, at, fold_rows)
     )
@@ -198,10 +207,14 @@ def _long_segments(rows, by, order, span, size, at, fold_rows) -> DataFrame:
         pdf = pdf.sort_values("sequence")
         first, n = int(pdf["sequence"].iloc[0]), len(pdf)
         to = pdf["_next"].to_numpy() - first
-        out = pdf["_next"].to_numpy().copy()
-        for i in range(n - 1, -1, -1):
-            if to[i] < n:
-                out[i] = out[to[i]]
+        # Pointer doubling: rows that leave the chunk point at themselves.
+        hop = np.where(to < n, to, np.arange(n))
+        while True:
+            further = hop[hop]
+            if (further == hop).all():
+                break
+            hop = further
+        out = pdf["_next"].to_numpy()[hop]
         heads = np.flatnonzero(pdf["_head"].to_numpy())
         known = np.zeros(n, bool)
         if len(heads):

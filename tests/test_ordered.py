@@ -120,3 +120,18 @@ def test_gap_sessions(spark, fold_rows):
             run.append(t)
     got = W.gap_sessions(df, ["k"], 2000, fold_rows=fold_rows).collect()
     assert sorted((r["k"], r["started_us"], r["last_us"], r["n"]) for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("fold_rows", [1000, 5])
+def test_null_keys_stay_on_every_path(spark, fold_rows):
+    rows = spark.range(40).select(
+        F.when(F.col("id") % 2 == 0, "a").alias("k"), F.col("id").alias("pos"), F.lit(3).cast("long").alias("size"),
+        F.timestamp_seconds(F.col("id") * 1000).alias("ts"),
+    )
+    got = positions(rows, ["k"], [F.col("pos")], fold_rows=fold_rows).collect()
+    assert sorted((str(r.k), r.position) for r in got) == sorted((k, i) for k in ("a", "None") for i in range(1, 21))
+    cut = greedy_segments(rows, ["k"], ["pos"], 10, size="size", fold_rows=fold_rows).collect()
+    assert sorted((str(r.k), r.segment, r.rank) for r in cut) == sorted(
+        (k, i // 3 + 1, i % 3 + 1) for k in ("a", "None") for i in range(20)
+    )
+    assert W.gap_sessions(rows, ["k"], 500, fold_rows=fold_rows).count() == 40
