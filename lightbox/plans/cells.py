@@ -10,6 +10,7 @@ that cannot succeed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,19 +53,29 @@ class Pivots:
         return gap
 
 
-def choose_pivots(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> Pivots:
-    """A seeded sample of vectors, about one per block of rows."""
-    n = vectors.select("id").count()
+def by_length(vectors: DataFrame) -> dict[int, tuple[DataFrame, int]]:
+    """The directed vectors of each length, with their number.
+
+    Null, empty and zero vectors have no direction and take no part. Vectors of
+    different lengths cannot be compared; each length is joined with its own kind.
+    """
+    embedding = F.col("embedding")
+    directed = vectors.where(embedding.isNotNull() & F.exists(embedding, lambda x: x != 0))
+    sizes = directed.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).collect()
+    return {r["dim"]: (directed.where(F.size("embedding") == r["dim"]), r["n"]) for r in sizes}
+
+
+def choose_pivots(vectors: DataFrame, n: int, dim: int, block_rows: int = BLOCK_ROWS) -> Pivots:
+    """A seeded sample of the ``n`` directed vectors of one length, about one per block of rows."""
     wanted = int(min(max(n // block_rows, 1), MAX_PIVOTS))
     sample = (
         vectors.select("id", "embedding")
-        .orderBy(F.md5(F.concat(F.lit("pivot:"), F.col("id").cast("string"))), "id")
+        .orderBy(F.md5(F.concat(F.lit("pivot:"), F.coalesce(F.col("id").cast("string"), F.lit("")))), "id")
         .limit(wanted)
         .toArrow()
     )
-    matrix, ok = to_matrix(sample.column("embedding"))
-    points = np.unique(unit_rows(matrix[ok & matrix.any(axis=1)]), axis=0)
-    pivots = Pivots(points if len(points) else np.zeros((1, max(matrix.shape[1], 1))))
+    matrix, _ = to_matrix(sample.column("embedding"), dim)
+    pivots = Pivots(np.unique(unit_rows(matrix), axis=0))
     pivots.rows = n
     return pivots
 
@@ -162,9 +173,7 @@ def pairs_within(
     ``emit`` is ``pairs`` (a, b, distance), ``forest`` (u, v: edges that connect
     the same items, never more than rows compared) or ``count`` (n).
     """
-    pivots = choose_pivots(vectors, block_rows)
     radius = float(np.sqrt(max(2.0 * threshold, 0.0)))
-    cut = _cut(place_for_radius(vectors, pivots, radius), block_rows, pivots.rows <= block_rows)
     min_dot = 1.0 - threshold
 
     def pairs(table: pa.Table) -> pa.Table:
@@ -186,12 +195,33 @@ def pairs_within(
         "forest": (spanning, "u long, v long"),
         "count": (count, "n long"),
     }[emit]
-    return cut.groupBy("cell", "lo", "hi").applyInArrow(fn, schema)
+    out = []
+    for dim, (mine, n) in by_length(vectors).items():
+        placed = place_for_radius(mine, choose_pivots(mine, n, dim, block_rows), radius)
+        out.append(_cut(placed, block_rows, n <= block_rows).groupBy("cell", "lo", "hi").applyInArrow(fn, schema))
+    if not out:
+        return vectors.sparkSession.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, out)
 
 
 def nearest_within_cells(
     queries: DataFrame, corpus: DataFrame, k: int, skip_same_id: bool,
     block_rows: int = BLOCK_ROWS, skip: str | None = None,
+) -> DataFrame:
+    """(query_id, id, distance): candidates that contain the exact k nearest of every query,
+    among the corpus vectors of the query's own length. See :func:`_nearest_of_length`."""
+    asked = queries.where(F.col("embedding").isNotNull())
+    out = [
+        _nearest_of_length(asked.where(F.size("embedding") == dim), mine, n, dim, k, skip_same_id, block_rows, skip)
+        for dim, (mine, n) in by_length(corpus).items()
+    ]
+    if not out:
+        return queries.sparkSession.createDataFrame([], "query_id long, id long, distance double")
+    return reduce(DataFrame.unionByName, out)
+
+
+def _nearest_of_length(
+    queries: DataFrame, corpus: DataFrame, n: int, dim: int, k: int, skip_same_id: bool, block_rows: int, skip: str | None,
 ) -> DataFrame:
     """(query_id, id, distance): candidates that contain the exact k nearest of every query.
 
@@ -201,8 +231,7 @@ def nearest_within_cells(
     it must not answer, and the queries a column ``barred``: how many corpus rows
     that concerns, so that enough vectors are known to remain.
     """
-    pivots = choose_pivots(corpus, block_rows)
-    dim = pivots.points.shape[1]
+    pivots = choose_pivots(corpus, n, dim, block_rows)
     cells = len(pivots.points)
 
     def settle(query_blocks: np.ndarray):
@@ -331,9 +360,9 @@ def nearest_within_cells(
             if skip_same_id:
                 dist[q[:, None] == cid[None, :]] = np.inf
             if barred is not None:
-                slot = {v: i for i, v in enumerate(q.tolist())}
-                rows = np.array([slot.get(v, -1) for v in barred[1].tolist()], np.int64)
-                hit = rows >= 0
+                by_id = q.argsort()
+                rows = by_id[np.minimum(np.searchsorted(q[by_id], barred[1]), len(q) - 1)]
+                hit = q[rows] == barred[1]
                 dist[rows[hit], barred[0][hit]] = np.inf
             # Rows are in id order, so a stable sort settles equal distances by id.
             top = np.argsort(dist, axis=1, kind="stable")[:, :k]

@@ -181,3 +181,19 @@ def test_outliers(spark, rows):
     assert len(rows(I.outlier_filter(df, "g").select("id"))) == 9
     few = df.where("id >= 5")
     assert I.outlier_filter(few, "g").count() == 5
+
+
+@pytest.mark.parametrize("block_rows", [4096, 15])
+def test_undirected_and_odd_vectors_take_nothing_away(spark, matrix, block_rows):
+    """Null, empty, zero and longer vectors, wherever the pivots are sampled, change no other pair."""
+    clean = frame(spark, matrix)
+    want = {(r["a"], r["b"]) for r in cells.pairs_within(clean, 0.2, block_rows=block_rows).collect()}
+    near = {tuple(r) for r in I.knn_join(clean, clean, 3, block_rows=block_rows).select("query_id", "id").collect()}
+    odd = [None, [], [0.0] * 12, [1.0] * 13, [1.0] * 13]
+    mixed = clean.unionByName(spark.createDataFrame([(i + 1000 * j, v) for j in range(1, 12) for i, v in enumerate(odd)], clean.schema))
+    got = {(r["a"], r["b"]) for r in cells.pairs_within(mixed, 0.2, block_rows=block_rows).collect()}
+    assert {p for p in got if p[1] < 1000} == want
+    assert len(got) - len(want) == 22 * 21 // 2
+    found = {tuple(r) for r in I.knn_join(mixed, mixed, 3, block_rows=block_rows).select("query_id", "id").collect()}
+    assert {p for p in found if p[0] < 1000} == near
+    assert len({p for p in found if p[0] >= 1000}) == 22 * 3
