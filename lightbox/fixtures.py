@@ -77,8 +77,8 @@ select event_id as seq, ts, user_id, event_type,
     else '{"type":"MediaRemovedFromFolder","data":{"folder_id":"src' || cast(user_id % 20 as string) || '","media_ids":["' || cast(user_id as string) || '","' || cast(user_id + 1 as string) || '"]}}'
   end as value
 from events""",
-    "existing_media": "select * from media where id % 2 = 0",
-    "incoming_media": "select * from media where id % 2 = 1",
+    "existing_media": "select * from media where id % 2 = 0 and id % 6 <> 4",
+    "incoming_media": "select * from media where id % 2 = 1 or id % 6 = 4",
     "requested": "select event_id as pos, user_id as media_id from events",
     "fav_changes": """
 select event_id as seq, ts, user_id as media_id, value >= 10.0 as favorite from events where event_type = 'click'""",

@@ -13,10 +13,17 @@ from lightbox.plans.ordered import positions
 
 
 def set_favorites(favorites: DataFrame, changes: DataFrame) -> DataFrame:
-    """Apply on/off changes in ``seq`` order; only the last per item counts."""
-    last = sets.last_per_key(changes.select("media_id", "seq", "favorite"), ["media_id"], ["seq"])
+    """Apply on/off changes in ``seq`` order; only the last per item counts.
+
+    Where favorites have a ``created_at``, a new one takes the time ``ts`` of its
+    change, or the current time if changes carry none.
+    """
+    timed = "created_at" in favorites.columns
+    at = F.col("ts") if "ts" in changes.columns else F.current_timestamp()
+    wanted = changes.select("media_id", "seq", "favorite", *([at.alias("created_at")] if timed else []))
+    last = sets.last_per_key(wanted, ["media_id"], ["seq"])
     kept = sets.delete_keys(favorites, last.where(~F.col("favorite")), ["media_id"])
-    return sets.insert_ignore(kept, last.where("favorite").select("media_id"), ["media_id"])
+    return sets.insert_ignore(kept, last.where("favorite").drop("seq", "favorite"), ["media_id"])
 
 
 def add_tags(tags: DataFrame, names: DataFrame) -> DataFrame:
@@ -57,8 +64,9 @@ def merge_auto_tags(
 
     Manual rows always stay and win over a prediction for the same item; an
     automatic row outside the scope that is predicted again takes the new
-    confidence.
+    confidence. Of an item predicted twice for a tag the higher confidence counts.
     """
+    predictions = sets.one_per_key(predictions.select("tag", "media_id", "confidence"), ["tag", "media_id"])
     auto = media_tags.where("is_auto")
     manual = media_tags.where(~F.col("is_auto"))
     touched = auto.join(processed.select("tag"), "tag", "left_semi")
@@ -117,8 +125,18 @@ def delete_folder(
     )
 
 
+def refused_names(names: DataFrame) -> DataFrame:
+    """(folder_id, name) that creating and renaming refuse: null and blank names."""
+    return names.select("folder_id", "name").where(F.coalesce(strip(F.col("name")), F.lit("")) == "")
+
+
 def create_folders(folders: DataFrame, new: DataFrame) -> DataFrame:
-    """Append folders after the last one, in ``pos`` order; blank names are refused."""
+    """Append folders after the last one, in ``pos`` order; see :func:`refused_names` for blank ones.
+
+    Known folders stay as they are; of a folder given twice the later place counts.
+    """
+    new = sets.one_per_key(new.select("folder_id", "name", "pos"), ["folder_id"], ["pos", "name"])
+    new = new.join(folders.select("folder_id"), "folder_id", "left_anti")
     named = new.select("folder_id", strip(F.col("name")).alias("name"), "pos").where(F.col("name") != "")
     numbered = positions(named, [], [F.col("pos"), F.col("folder_id")], "_n")
     top = folders.agg(F.coalesce(F.max("sort_order"), F.lit(-1))).scalar()
@@ -129,15 +147,19 @@ def create_folders(folders: DataFrame, new: DataFrame) -> DataFrame:
     return base.unionByName(added, allowMissingColumns=True)
 
 
-def _overwrite(base: DataFrame, changes: DataFrame, key: str, column: str) -> DataFrame:
-    new = changes.select(key, F.col(column).alias("_new"))
+def _overwrite(
+    base: DataFrame, changes: DataFrame, key: str, column: str, order: Sequence[str] = ()
+) -> DataFrame:
+    """Of a key changed twice the last by ``order`` counts, or the greatest value."""
+    last = sets.one_per_key(changes.select(key, column, *order), [key], order)
+    new = last.select(key, F.col(column).alias("_new"))
     return base.join(new, key, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
 
 
-def rename_folders(folders: DataFrame, names: DataFrame) -> DataFrame:
-    """New names for known folders; blank names change nothing."""
-    named = names.select("folder_id", strip(F.col("name")).alias("name")).where(F.col("name") != "")
-    return _overwrite(folders, named, "folder_id", "name")
+def rename_folders(folders: DataFrame, names: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """New names for known folders; see :func:`refused_names` for blank ones."""
+    named = names.select("folder_id", strip(F.col("name")).alias("name"), *order).where(F.col("name") != "")
+    return _overwrite(folders, named, "folder_id", "name", order)
 
 
 def reorder_folders(folders: DataFrame, order: DataFrame) -> DataFrame:
@@ -151,8 +173,8 @@ def update_media(
     media: DataFrame, vectors: DataFrame, changed: DataFrame, changed_vectors: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """Overwrite known items and replace, or drop, their vectors."""
-    known = changed.join(media.select("id"), "id", "left_semi")
-    new_vectors = changed_vectors.where(F.col("embedding").isNotNull()).join(
+    known = sets.one_per_key(changed, ["id"]).join(media.select("id"), "id", "left_semi")
+    new_vectors = sets.one_per_key(changed_vectors, ["id"]).where(F.col("embedding").isNotNull()).join(
         known.select("id"), "id", "left_semi"
     )
     return (
@@ -168,9 +190,10 @@ def repair_media(
 
     ``reprocessed`` holds (id, phash, width, height, exif_json, original_date)
     of the files that could be read. The capture time changes only when the new
-    metadata names one.
+    metadata names one. :func:`repair_vectors` takes the vectors of the repaired rows.
     """
-    fresh = reprocessed.select(
+    columns = ["id", "phash", "width", "height", "exif_json", "original_date"]
+    fresh = sets.one_per_key(reprocessed.select(*columns), ["id"]).select(
         "id", F.lit(True).alias("_ok"),
         *[F.col(c).alias(f"_{c}") for c in ("phash", "width", "height", "exif_json", "original_date")],
     )
@@ -186,3 +209,13 @@ def repair_media(
     ).otherwise(F.col("original_date"))
     out = joined.withColumns(fixed)
     return out.select(*media.columns), out.where("_fix").select(*media.columns)
+
+
+def repair_vectors(vectors: DataFrame, repaired: DataFrame, reprocessed: DataFrame) -> DataFrame:
+    """Vectors of the repaired items replaced by those found when they were read again.
+
+    ``reprocessed`` holds (id, embedding); a repaired item without a new vector keeps its old one.
+    """
+    found = sets.one_per_key(reprocessed.select("id", "embedding").where(F.col("embedding").isNotNull()), ["id"])
+    fresh = found.join(repaired.select("id"), "id", "left_semi")
+    return sets.delete_keys(vectors, fresh, ["id"]).unionByName(fresh, allowMissingColumns=True)

@@ -42,13 +42,13 @@ def ingest_report(decided: DataFrame, batch: str = "batch") -> DataFrame:
         F.count("*").alias("total"),
         F.count_if(F.col("status") == "created").alias("done"),
         F.count_if(F.col("status") == "duplicate").alias("skipped"),
-        F.count_if(F.col("status") == "rejected").alias("failed"),
+        F.count_if(F.col("status").isin("rejected", "failed")).alias("failed"),
     )
 
 
 def ingest_errors(decided: DataFrame, batch: str = "batch") -> DataFrame:
     """One row per failed file; rows, not a list, as a batch may fail whole."""
-    return decided.where(F.col("status") == "rejected").select(batch, "original_filename", "reason")
+    return decided.where(F.col("status").isin("rejected", "failed")).select(batch, "original_filename", "reason")
 
 
 def composite_fingerprint(items: DataFrame, frames: DataFrame) -> DataFrame:

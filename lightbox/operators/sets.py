@@ -29,6 +29,11 @@ def _pick(rows: DataFrame, key: Sequence[str], choose, order: Sequence[str]) ->
     ).select(*rows.columns)
 
 
+def one_per_key(rows: DataFrame, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """One row per key: the last by ``order``, or by all other columns where no order is given."""
+    return last_per_key(rows, key, list(order) or [c for c in rows.columns if c not in key])
+
+
 def additions(base: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows of ``new`` whose key ``base`` lacks, one per key."""
     return new.dropDuplicates(list(key)).join(base.select(*key), list(key), "left_anti")
@@ -38,8 +43,9 @@ def insert_ignore(base: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFr
     return base.unionByName(additions(base, new, key), allowMissingColumns=True)
 
 
-def upsert(base: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
-    """``base`` with the rows of ``new`` replacing or joining it; ``new`` has unique keys."""
+def upsert(base: DataFrame, new: DataFrame, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """``base`` with the rows of ``new`` replacing or joining it; of a key given twice the last by ``order``."""
+    new = one_per_key(new, key, order)
     kept = base.join(new.select(*key), list(key), "left_anti")
     return kept.unionByName(new, allowMissingColumns=True)
 

@@ -19,10 +19,8 @@ from lightbox.plans.components import connected_components
 from lightbox.plans.ordered import positions
 from lightbox.session import durable
 
-# Search and grouping defaults.
+# Fixed value: the default distance of grouping.
 DEFAULT_GROUP_DISTANCE = 0.2
-MAX_GROUP_ITEMS = 10_000
-MAX_GROUP_PAIRS = 5_000_000
 
 
 def embeddings_scope(
@@ -161,16 +159,16 @@ def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_
 
 
 def pair_guard(
-    vectors: DataFrame, threshold: float, max_items: int = MAX_GROUP_ITEMS,
-    max_pairs: int = MAX_GROUP_PAIRS, block_rows: int = BLOCK_ROWS,
+    vectors: DataFrame, threshold: float, max_items: int | None = None,
+    max_pairs: int | None = None, block_rows: int = BLOCK_ROWS,
 ) -> tuple[int, int]:
-    """(items, pairs), or an error when either passes its limit; pairs are counted
-    where they are found and never written."""
+    """(items, pairs), or an error when either passes a limit that the caller sets;
+    pairs are counted where they are found and never written."""
     items = vectors.count()
-    if items > max_items:
+    if max_items is not None and items > max_items:
         raise ValueError(f"too many items to group: {items} (max {max_items})")
     found = pairs_within(vectors, threshold, "count", block_rows).agg(F.sum("n")).first()[0] or 0
-    if found > max_pairs:
+    if max_pairs is not None and found > max_pairs:
         raise ValueError(f"too many similar pairs (>{max_pairs}): raise the similarity")
     return items, found
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -99,7 +100,11 @@ def batch_predict(
         F.count_distinct(F.size("weights")).alias("dims"),
     ).first()
     if size["dims"] > 1:
-        raise ValueError("models of different lengths; score them apart")
+        # A model scores vectors of another length as a mismatch; each length is one pass.
+        dims = [r[0] for r in models.select(F.size("weights")).distinct().collect()]
+        return reduce(DataFrame.unionByName, [
+            batch_predict(vectors, models.where(F.size("weights") == d), min_raw, broadcast_bytes, block_rows) for d in dims
+        ])
     if size["bytes"] <= broadcast_bytes:
         table = packed.toArrow()
         weights, _ = V.to_matrix(table.column("weights"))

@@ -11,10 +11,6 @@ from pyspark.sql import functions as F
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
-# Files taken per request and files processed at once.
-MAX_FILES = 1000
-FILES_AT_ONCE = 2
-
 
 def _named(files: DataFrame) -> DataFrame:
     return files.select(
@@ -40,13 +36,12 @@ def ingest_files(
     return _named(files)
 
 
-def file_stream(spark: SparkSession, path: str, per_trigger: int = FILES_AT_ONCE) -> DataFrame:
-    """The same rows as a stream of newly arriving files."""
-    files = (
-        spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
-        .option("recursiveFileLookup", True).option("maxFilesPerTrigger", per_trigger).load(path)
-    )
-    return _named(files)
+def file_stream(spark: SparkSession, path: str, per_trigger: int | None = None) -> DataFrame:
+    """The same rows as a stream of newly arriving files; all of them in a batch unless ``per_trigger`` is given."""
+    reader = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", True)
+    if per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", per_trigger)
+    return _named(reader.load(path))
 
 
 def open_uri(uri: str) -> bytes:

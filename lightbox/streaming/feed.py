@@ -179,6 +179,24 @@ def membership_changes(events: DataFrame) -> DataFrame:
     ).select("seq", "ts", "folder_id", F.explode("ids").alias("media_id"), delta.alias("delta"))
 
 
-def folder_deltas(changes: DataFrame) -> DataFrame:
-    """Net change per folder; on a stream a running total in update mode."""
-    return changes.groupBy("folder_id").agg(F.sum("delta").cast("long").alias("change"))
+def memberships_after(base: DataFrame, events: DataFrame) -> DataFrame:
+    """(folder_id, media_id) after all ``events`` (parsed, with ``seq``).
+
+    The last addition or removal of a pair decides, whatever was said before
+    it; a deleted item leaves all folders it was in by then. Aggregates per pair
+    and per item, so the hottest folder is no single group.
+    """
+    last = membership_changes(events).groupBy("folder_id", "media_id").agg(
+        F.max_by("delta", "seq").alias("_delta"), F.max("seq").alias("_seq")
+    )
+    gone = item_events(events).where("action = 'delete'").groupBy(F.col("id").alias("media_id")).agg(F.max("seq").alias("_gone"))
+    held = base.select("folder_id", F.col("media_id").cast("string").alias("media_id"), F.lit(True).alias("_held")).distinct()
+    pairs = held.join(last, ["folder_id", "media_id"], "full").join(gone, "media_id", "left")
+    added = (F.col("_delta") == 1) & (F.col("_gone").isNull() | (F.col("_seq") > F.col("_gone")))
+    stays = F.col("_delta").isNull() & F.col("_held") & F.col("_gone").isNull()
+    return pairs.where(F.coalesce(added, F.lit(False)) | F.coalesce(stays, F.lit(False))).select("folder_id", "media_id")
+
+
+def folder_counts_after(base: DataFrame, events: DataFrame) -> DataFrame:
+    """(folder_id, item_count) of the folders that hold items after all events."""
+    return memberships_after(base, events).groupBy("folder_id").agg(F.count("*").alias("item_count"))

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,34 +22,40 @@ from lightbox.sources.files import file_stream, open_uri, read_paths
 from lightbox.streaming import feed as N
 
 # What a processor tells about one file.
-PROCESSED = "phash string, width int, height int, exif_json string, original_date timestamp_ntz"
+PROCESSED = (
+    "phash string, width int, height int, exif_json string, original_date timestamp_ntz, "
+    "embedding array<float>, failure string"
+)
 _ARROW = pa.schema(
     [("phash", pa.string()), ("width", pa.int32()), ("height", pa.int32()),
-     ("exif_json", pa.string()), ("original_date", pa.timestamp("us"))]
+     ("exif_json", pa.string()), ("original_date", pa.timestamp("us")),
+     ("embedding", pa.list_(pa.float32())), ("failure", pa.string())]
 )
 
 Processor = Callable[[str, bytes], dict | None]
 
 
 def process_files(rows: DataFrame, processor: Processor) -> DataFrame:
-    """Replace ``content`` by the processor's findings; rows it fails on are dropped."""
+    """Replace ``content`` by the processor's findings; every row comes out.
+
+    A processor answers None for a picture or film that it cannot decode: the
+    row gets the sentinel hash and can be repaired later. A processor that raises, or
+    a file that cannot be read, leaves its text in ``failure``.
+    """
     rest = [f for f in rows.schema if f.name != "content"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, kept = [], []
-            for i, (name, item) in enumerate(
-                zip(batch.column("original_filename").to_pylist(), batch.column("content"))
-            ):
+            found = []
+            for name, item in zip(batch.column("original_filename").to_pylist(), batch.column("content")):
                 try:
-                    result = processor(name, item.as_py()) if item.is_valid else None
-                except Exception:  # noqa: BLE001  an unreadable file is skipped
-                    result = None
-                if result is not None:
-                    found.append({f.name: result.get(f.name) for f in _ARROW})
-                    kept.append(i)
-            head = batch.select([f.name for f in rest]).take(pa.array(kept, pa.int64()))
+                    result = processor(name, item.as_py()) if item.is_valid else {"failure": "unreadable"}
+                except Exception as error:  # noqa: BLE001  reported with its file
+                    result = {"failure": str(error) or type(error).__name__}
+                result = {"phash": S.NO_HASH} if result is None else result
+                found.append({f.name: result.get(f.name) for f in _ARROW})
+            head = batch.select([f.name for f in rest])
             tail = pa.RecordBatch.from_pylist(found, _ARROW)
             yield pa.record_batch({**dict(zip(head.schema.names, head.columns)),
                                    **dict(zip(tail.schema.names, tail.columns))})
@@ -59,27 +64,36 @@ def process_files(rows: DataFrame, processor: Processor) -> DataFrame:
 
 
 def _earlier(spark: SparkSession, root: str, batch_id: int, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema + ", batch bigint").parquet(root).where(F.col("batch") < batch_id)
-    except AnalysisException:
+    """What earlier batches wrote; nothing before the first of them. Any other failure is raised."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         return spark.createDataFrame([], schema + ", batch bigint")
+    return spark.read.schema(schema + ", batch bigint").parquet(root).where(F.col("batch") < batch_id)
 
 
 MEDIA = (
-    "id string, path string, original_filename string, media_type string, phash string, "
+    "id string, path string, filename string, original_filename string, media_type string, phash string, "
     "uploaded_at timestamp, original_date timestamp_ntz, width int, height int, size_bytes bigint, "
     "exif_json string"
 )
 
 
 def ingest_batch(files: DataFrame, existing: DataFrame, processor: Processor) -> DataFrame:
-    """Decided media rows of one batch of files; the id follows from path and time."""
-    # Each file is processed once, whatever the decisions below read.
-    done = durable(process_files(files, processor))
+    """Decided rows of one batch of files: created, duplicate, rejected or failed.
+
+    The id follows from path and time. Files outside the allowlist are rejected
+    without being processed; failed ones keep their text as ``reason``.
+    """
     ext = S.file_extension(F.col("original_filename"))
+    named = files.withColumn("id", F.md5(F.concat_ws("|", "path", F.col("uploaded_at").cast("string"))))
+    unread = named.where(~S.allowed_extension(ext)).drop("content").selectExpr(
+        "*", *[f"cast(null as {kind}) as {name}" for name, kind in (c.split() for c in PROCESSED.split(", "))]
+    )
+    # Each file is processed once, whatever the decisions below read.
+    done = durable(process_files(named.where(S.allowed_extension(ext)), processor).unionByName(unread))
     rows = done.withColumns(
         {
-            "id": F.md5(F.concat_ws("|", "path", F.col("uploaded_at").cast("string"))),
+            "filename": S.storage_path(F.col("id"), ext),
             "media_type": S.media_type(ext),
             "original_date": F.coalesce(
                 "original_date", S.date_from_filename(F.col("original_filename")),
@@ -87,14 +101,23 @@ def ingest_batch(files: DataFrame, existing: DataFrame, processor: Processor) ->
             ),
         }
     )
-    return K.dedup_ingest(rows, existing)
+    # A file without a hash joins no decision about copies.
+    decided = K.dedup_ingest(rows.withColumn("phash", F.coalesce("phash", F.lit(S.NO_HASH))), existing)
+    failed = F.col("failure").isNotNull()
+    return decided.withColumns({
+        "status": F.when(failed, "failed").otherwise(F.col("status")),
+        "reason": F.when(failed, F.col("failure")).otherwise(F.col("reason")),
+    })
 
 
 def streaming_ingest(
-    spark: SparkSession, incoming: str, root: str, processor: Processor, per_trigger: int = 2,
-    available_now: bool = True,
+    spark: SparkSession, incoming: str, root: str, processor: Processor, per_trigger: int | None = None,
+    available_now: bool = True, folder_id: str | None = None,
 ) -> StreamingQuery:
-    """Take arriving files into ``root/media`` and report each in ``root/report``."""
+    """Take arriving files into ``root/media`` and ``root/vectors``, and report each in ``root/report``.
+
+    With ``folder_id`` the created items also join that folder, in ``root/folder_media``.
+    """
 
     def take(batch: DataFrame, batch_id: int) -> None:
         known = _earlier(spark, f"{root}/media", batch_id, MEDIA)
@@ -102,6 +125,12 @@ def streaming_ingest(
         columns = [c.split()[0] for c in MEDIA.split(", ")]
         created = decided.where("status = 'created'").select(*columns)
         created.write.mode("overwrite").parquet(f"{root}/media/batch={batch_id}")
+        vectors = decided.where("status = 'created' and embedding is not null").select("id", "embedding")
+        vectors.write.mode("overwrite").parquet(f"{root}/vectors/batch={batch_id}")
+        if folder_id is not None:
+            created.select(F.lit(folder_id).alias("folder_id"), F.col("id").alias("media_id")).write.mode(
+                "overwrite"
+            ).parquet(f"{root}/folder_media/batch={batch_id}")
         decided.select("path", "original_filename", "status", "reason").write.mode(
             "overwrite"
         ).parquet(f"{root}/report/batch={batch_id}")
@@ -140,6 +169,28 @@ def maintain_view(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def maintain_folders(
+    events: DataFrame, root: str, base: DataFrame, available_now: bool = True
+) -> StreamingQuery:
+    """Keep ``root/members`` equal to the memberships after the events seen so far.
+
+    Counts per folder are counts of its rows. ``events`` is a stream of
+    (seq, value) texts, ``base`` holds (folder_id, media_id).
+    """
+    spark = base.sparkSession
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        seen = _earlier(spark, f"{root}/members", batch_id, "folder_id string, media_id string")
+        last = seen.agg(F.max("batch")).first()[0]
+        current = base if last is None else seen.where(F.col("batch") == last).drop("batch")
+        N.memberships_after(current, durable(N.parse_changes(batch))).write.mode("overwrite").parquet(
+            f"{root}/members/batch={batch_id}"
+        )
+
+    writer = events.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/_progress/folders")
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def repair_run(
     media: DataFrame, root_uri: str, processor: Processor, opener: Callable[[str], bytes] = open_uri
 ) -> tuple[DataFrame, DataFrame]:
@@ -152,7 +203,8 @@ def repair_run(
     wanted = C.unhashed_media(media).select(
         "id", "original_filename", F.concat(F.lit(root_uri.rstrip("/") + "/"), "filename").alias("path")
     )
-    fresh = durable(process_files(read_paths(wanted, "path", opener), processor))
+    read = durable(process_files(read_paths(wanted, "path", opener), processor))
+    fresh = read.where(F.col("failure").isNull() & (F.col("phash") != S.NO_HASH))
     catalog, fixed = L.repair_media(media, fresh.drop("original_filename", "path"))
     updated = fixed.select(
         F.lit("MediaUpdated").alias("type"), F.col("id").cast("string").alias("id"),

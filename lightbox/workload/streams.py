@@ -149,17 +149,20 @@ def _(lib):
     return W.inactive_sessions(lib.changes, "media_id", HALF_DAY)
 
 
+# Replayed: a deletion is an event of every pair of the item, and the last event of a pair decides.
 @query(
     "n8_folder_counts",
-    """select folder_id, cast(sum(d) as bigint) as item_count from (
-      select folder_id, 1 as d from folder_media
-      union all select json_extract_string(j, '$.data.folder_id'), case when kind = 'MediaAddedToFolder' then 1 else -1 end
-      from event_ids where kind in ('MediaAddedToFolder', 'MediaRemovedFromFolder')) group by folder_id""",
+    """with said as (
+      select -1 as seq, folder_id, cast(media_id as varchar) as media_id, 1 as member from folder_media
+      union all select seq, json_extract_string(j, '$.data.folder_id'), id, case when kind = 'MediaAddedToFolder' then 1 else 0 end
+      from event_ids where kind in ('MediaAddedToFolder', 'MediaRemovedFromFolder')),
+    all_said as (
+      select * from said
+      union all select e.seq, p.folder_id, p.media_id, 0 from (select distinct folder_id, media_id from said) p
+      join event_ids e on e.id = p.media_id and e.kind in ('MediaDeleted', 'MediaBatchDeleted')),
+    final as (select *, row_number() over (partition by folder_id, media_id order by seq desc) as back from all_said)
+    select folder_id, count(*) as item_count from final where back = 1 and member = 1 group by folder_id""",
     PARSED_VIEWS,
 )
 def _(lib):
-    deltas = N.folder_deltas(N.membership_changes(events(lib)))
-    counts = lib.folder_media.groupBy("folder_id").agg(F.count("*").alias("n"))
-    return counts.join(deltas, "folder_id", "full").select(
-        "folder_id", (F.coalesce("n", F.lit(0)) + F.coalesce("change", F.lit(0))).alias("item_count")
-    )
+    return N.folder_counts_after(lib.folder_media, events(lib))

@@ -205,3 +205,23 @@ def test_schema_and_models(spark, rows):
     stored = spark.createDataFrame([("a", [1.0], 0.0, -2.0, 0.0, 3, 4)], "tag string, weights array<double>, bias double, platt_a double, platt_b double, trained_at_count long, version long")
     fresh = stored.select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("tag"), F.array(F.lit(2.0)).alias("weights"), "bias", "platt_a", "platt_b", F.lit(9).cast("long").alias("trained_at_count"))
     assert rows(tables.save_models(stored, fresh), "tag", "trained_at_count", "version") == [("a", 9, 5), ("b", 9, 1)]
+
+
+def test_repeated_keys_in_changes(spark, rows):
+
+    folders = spark.createDataFrame([("a", "A", 0), ("b", "B", 1)], "folder_id string, name string, sort_order long")
+    names = spark.createDataFrame([("a", " X ", 1), ("a", "Y", 2), ("b", " ", 3), ("b", None, 4)], "folder_id string, name string, seq long")
+    assert rows(L.rename_folders(folders, names, ["seq"]), "folder_id", "name") == [("a", "Y"), ("b", "B")]
+    assert L.refused_names(names).count() == 2
+    new = spark.createDataFrame([("c", "C", 1), ("c", "CC", 2), ("a", "again", 3)], "folder_id string, name string, pos long")
+    assert rows(L.create_folders(folders, new), "folder_id", "name") == [("a", "A"), ("b", "B"), ("c", "CC")]
+    tags = spark.createDataFrame([(1, "t", True, 0.1)], "media_id long, tag string, is_auto boolean, confidence double")
+    guess = spark.createDataFrame([("t", 1, 0.5), ("t", 1, 0.9)], "tag string, media_id long, confidence double")
+    assert rows(L.merge_auto_tags(tags, guess, guess)) == [(1, "t", True, 0.9)]
+    base = spark.createDataFrame([(1, "old")], "id long, v string")
+    twice = spark.createDataFrame([(1, "m"), (1, "z"), (2, "q")], "id long, v string")
+    assert rows(sets.upsert(base, twice, ["id"])) == [(1, "z"), (2, "q")]
+    favorites = spark.createDataFrame([(1, None)], "media_id long, created_at timestamp")
+    on = spark.createDataFrame([(2, 1, True), (2, 2, True)], "media_id long, seq long, favorite boolean").withColumn("ts", F.timestamp_seconds("seq"))
+    got = {r.media_id: r.created_at for r in L.set_favorites(favorites, on).collect()}
+    assert set(got) == {1, 2} and got[2].second == 2

@@ -122,12 +122,19 @@ def test_limiter_stream(spark, tmp_path):
 
 def test_folder_count_stream(spark, tmp_path):
     path = str(tmp_path / "ev")
-    feed(spark, ev("MediaAddedToFolder", folder_id="f", media_ids=["1", "2"]), ev("MediaRemovedFromFolder", folder_id="f", media_ids=["1"])).withColumn(
+    feed(
+        spark, ev("MediaAddedToFolder", folder_id="f", media_ids=["1", "2"]), ev("MediaAddedToFolder", folder_id="f", media_ids=["2"]),
+        ev("MediaRemovedFromFolder", folder_id="f", media_ids=["1", "9"]), ev("MediaDeleted", id="7"),
+    ).withColumn(
         "ts", F.lit("2024-01-01").cast("timestamp")).write.json(path)
     stream = spark.readStream.schema("seq long, ts timestamp, value string").json(path)
-    q = N.folder_deltas(N.membership_changes(N.parse_changes(stream))).writeStream.format("memory").queryName("fold").outputMode("complete").start()
-    drain(q)
-    assert [tuple(r) for r in spark.table("fold").collect()] == [("f", 1)]
+    base = spark.createDataFrame([("f", 1), ("g", 7), ("g", 8)], "folder_id string, media_id long")
+    root = str(tmp_path / "out")
+    q = jobs.maintain_folders(stream, root, base)
+    q.awaitTermination(120)
+    assert q.exception() is None
+    # twice the same addition counts once, a removal of a stranger not at all
+    assert sorted((r.folder_id, r.media_id) for r in spark.read.parquet(f"{root}/members").collect()) == [("f", "2"), ("g", "8")]
 
 
 @pytest.fixture()
@@ -135,7 +142,9 @@ def processor():
     def process(name, raw):
         if raw.startswith(b"bad"):
             raise ValueError(name)
-        return {"phash": hashlib.md5(raw).hexdigest(), "width": 1, "height": len(raw)}
+        if raw.startswith(b"odd"):
+            return None
+        return {"phash": hashlib.md5(raw).hexdigest(), "width": 1, "height": len(raw), "embedding": [float(len(raw))]}
 
     return process
 
@@ -143,24 +152,29 @@ def processor():
 def test_streaming_ingest(spark, tmp_path, processor):
     incoming = tmp_path / "in"
     incoming.mkdir()
-    names = {"a_20240115.jpg": b"one", "b.jpg": b"two", "c.png": b"one", "d.txt": b"three", "e.mp4": b"bad"}
+    names = {"a_20240115.jpg": b"one", "b.jpg": b"two", "c.png": b"one", "d.txt": b"three", "e.mp4": b"bad", "g.gif": b"odd"}
     for i, (name, body) in enumerate(names.items()):
         (incoming / name).write_bytes(body)
         os.utime(incoming / name, (1_700_000_000 + i, 1_700_000_000 + i))
     root = str(tmp_path / "lib")
-    q = jobs.streaming_ingest(spark, str(incoming), root, processor)
+    q = jobs.streaming_ingest(spark, str(incoming), root, processor, folder_id="album")
     q.awaitTermination(120)
     assert q.exception() is None
     report = {r["original_filename"]: r["status"] for r in spark.read.parquet(f"{root}/report").collect()}
-    assert report == {"a_20240115.jpg": "created", "b.jpg": "created", "c.png": "duplicate", "d.txt": "rejected"}
+    assert report == {"a_20240115.jpg": "created", "b.jpg": "created", "c.png": "duplicate", "d.txt": "rejected", "e.mp4": "failed", "g.gif": "created"}
+    assert {r["original_filename"]: r["reason"] for r in spark.read.parquet(f"{root}/report").collect()}["e.mp4"] == "e.mp4"
     media = {r["original_filename"]: r for r in spark.read.parquet(f"{root}/media").collect()}
-    assert set(media) == {"a_20240115.jpg", "b.jpg"}
+    assert set(media) == {"a_20240115.jpg", "b.jpg", "g.gif"}
+    assert media["g.gif"]["phash"] == "no_hash" and media["b.jpg"]["filename"]
+    vectors = {r["id"]: r["embedding"] for r in spark.read.parquet(f"{root}/vectors").collect()}
+    assert vectors == {media["a_20240115.jpg"]["id"]: [3.0], media["b.jpg"]["id"]: [3.0]}
+    assert spark.read.parquet(f"{root}/folder_media").count() == 3
     assert str(media["a_20240115.jpg"]["original_date"]) == "2024-01-15 00:00:00"
     # a later run sees only new files, and knows the old hashes
     (incoming / "f.jpg").write_bytes(b"two")
     jobs.streaming_ingest(spark, str(incoming), root, processor).awaitTermination(120)
     report = {r["original_filename"]: r["status"] for r in spark.read.parquet(f"{root}/report").collect()}
-    assert report["f.jpg"] == "duplicate" and len(report) == 5
+    assert report["f.jpg"] == "duplicate" and len(report) == 7
 
 
 def test_repair(spark, tmp_path, processor):
