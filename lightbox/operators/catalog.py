@@ -357,5 +357,10 @@ def query_media(
     if favorite:
         rows = filter_favorite(rows, favorites)
     rows = filter_tags_any(rows, media_tags, tags)
-    rows = page(export_summary(rows), page_no, limit, sort_by, ascending)
-    return with_page_details(rows, favorites, media_tags)
+    found = page(export_summary(rows), page_no, limit, sort_by, ascending)
+    # At most MAX_PAGE rows: they come to the driver once, and their ids reach the scans as filters.
+    rows = found.collect()
+    shown = found.sparkSession.createDataFrame(rows, found.schema)
+    ids = [r["id"] for r in rows]
+    marks = favorites.where(F.col("media_id").isin(ids))
+    return with_tags(with_favorites(shown, marks), media_tags.where(F.col("media_id").isin(ids)))

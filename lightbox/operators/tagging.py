@@ -12,9 +12,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,12 +31,8 @@ RANDOM_LOW, RANDOM_HIGH, RANDOM_PER_POSITIVE = 30, 100, 3
 SOLVER_TOLERANCE = 1e-2
 RAW_THRESHOLD = 0.0
 
-# Tags with more positives than this are trained by the distributed solver.
-FOLD_POSITIVES = 4000
-CROWDED_AT_ONCE = 32
-CROWDED_ROUNDS = 300
-CROWDED_TOLERANCE = 2e-3
-BIAS_FEATURE = 3.0
+# Labelled positives, and negatives, that one tag is fitted on at most, in seeded hash order.
+MAX_FIT_ROWS = 4000
 # A set of models up to this size may travel to every executor.
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Scores held in memory at once by a task.
@@ -283,6 +276,8 @@ def solve_dual(x: np.ndarray, y: np.ndarray, cost: np.ndarray, eps: float = SOLV
         alpha[i] += y[i] * step
         alpha[j] -= y[j] * step
         grad += y * step * (kernel[i] - kernel[j])
+    else:
+        raise RuntimeError("the solver did not converge")
     signed = y * grad
     free = (alpha > 0) & (alpha < cost)
     if free.any():
@@ -340,14 +335,21 @@ def train_one(positives: np.ndarray, negatives: np.ndarray):
     return weights, bias, a, b
 
 
-def train_models(training: DataFrame, fold_positives: int = FOLD_POSITIVES) -> DataFrame:
+def fit_sample(training: DataFrame, max_rows: int = MAX_FIT_ROWS) -> DataFrame:
+    """At most ``max_rows`` positives and ``max_rows`` negatives of each tag, in seeded hash order.
+
+    The rank filter is a window limit: tasks cut their rows before the shuffle.
+    """
+    order = Window.partitionBy("tag", F.col("part") == "pos").orderBy(F.xxhash64("id", F.lit(29)), "id", "part", "ord")
+    return training.withColumn("_row", F.row_number().over(order)).where(F.col("_row") <= max_rows).drop("_row")
+
+
+def train_models(training: DataFrame, max_rows: int = MAX_FIT_ROWS) -> DataFrame:
     """(tag, weights, bias, platt_a, platt_b) for every tag with both kinds of rows.
 
-    Tags train in parallel, one to a task, while their rows fit one. The counts
-    are checked first: tags with more positives use the distributed solver.
+    Tags train in parallel, one to a task, all by the same solver; the rows of a
+    task are bounded by :func:`fit_sample`.
     """
-    counts = training.groupBy("tag").agg(F.count_if(F.col("part") == "pos").alias("n_pos"))
-    crowded = counts.where(F.col("n_pos") > fold_positives).select("tag")
     schema = f"tag string, {MODEL_FIELDS}"
 
     def fit(table: pa.Table) -> pa.Table:
@@ -370,164 +372,7 @@ def train_models(training: DataFrame, fold_positives: int = FOLD_POSITIVES) -> D
             ("platt_a", pa.float64()), ("platt_b", pa.float64()),
         ]))
 
-    small = training.join(crowded, "tag", "left_anti")
-    models = small.groupBy("tag").applyInArrow(fit, schema)
-    # Only names come here, one for every few thousand labels.
-    names = [row["tag"] for row in crowded.toLocalIterator()]
-    for start in range(0, len(names), CROWDED_AT_ONCE):
-        few = names[start : start + CROWDED_AT_ONCE]
-        models = models.unionByName(train_crowded(training.where(F.col("tag").isin(few))))
-    return models
-
-
-class CuttingPlanes:
-    """Lower bounds collected for one tag, and the point to look at next.
-
-    The loss is a maximum of planes; their maximum plus the quadratic term is a
-    small problem with one multiplier per plane.
-    """
-
-    def __init__(self, width: int):
-        self.planes = [np.zeros(width)]
-        self.offsets = [0.0]
-        self.share = np.ones(1)
-        self.point = self.best = np.zeros(width)
-        self.upper = np.inf
-        self.rounds = 0
-
-    def add(self, gradient: np.ndarray, risk: float, offset: float, tolerance: float) -> bool:
-        """Take the loss at the current point; true when the best point is good enough."""
-        value = 0.5 * self.point @ self.point + risk
-        if value < self.upper:
-            self.upper, self.best = value, self.point
-        self.planes.append(gradient)
-        self.offsets.append(offset)
-        self.share = np.append(self.share, 0.0)
-        planes, offsets = np.array(self.planes), np.array(self.offsets)
-        gram = planes @ planes.T
-        for _ in range(20_000):
-            slope = offsets - gram @ self.share
-            i = int(slope.argmax())
-            j = int(np.where(self.share > 0, slope, np.inf).argmin())
-            if slope[i] - slope[j] < 1e-6 * max(self.upper, 1.0):
-                break
-            curve = max(gram[i, i] + gram[j, j] - 2 * gram[i, j], 1e-12)
-            step = min(self.share[j], (slope[i] - slope[j]) / curve)
-            self.share[i] += step
-            self.share[j] -= step
-        lower = offsets @ self.share - 0.5 * self.share @ gram @ self.share
-        target = -self.share @ planes
-        self.rounds += 1
-        # Every other look stays near the best point, which settles the zigzag.
-        self.point = target if self.rounds % 2 else self.best + 0.3 * (target - self.best)
-        return self.upper - lower <= tolerance * self.upper
-
-
-def _loss_sums(data: DataFrame, points: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Per tag (gradient, risk, offset) of the weighted hinge loss, one pass for all tags."""
-    shared = data.sparkSession.sparkContext.broadcast(points)
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
-        for batch in batches:
-            x, _ = V.to_matrix(batch.column(3))
-            x = np.hstack([x, np.full((len(x), 1), BIAS_FEATURE)])
-            y, cost = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            tags = np.asarray(batch.column(0).to_pylist(), dtype=object)
-            for tag in set(tags.tolist()) & shared.value.keys():
-                at = tags == tag
-                margin = y[at] * (x[at] @ shared.value[tag])
-                c = np.where(margin < 1, cost[at], 0.0)
-                part = np.concatenate([-(c * y[at]) @ x[at], [c @ (1 - margin), c.sum()]])
-                total[tag] = total.get(tag, 0.0) + part
-        yield pa.record_batch(
-            {"tag": pa.array(list(total), pa.string()),
-             "sums": pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))}
-        )
-
-    partial = data.select("tag", "y", "cost", "embedding").mapInArrow(sums, "tag string, sums array<double>")
-    merged = partial.groupBy("tag").agg(
-        vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums")
-    )
-    return {r["tag"]: np.asarray(r["sums"]) for r in merged.collect()}
-
-
-def train_crowded(training: DataFrame, tolerance: float = CROWDED_TOLERANCE) -> DataFrame:
-    """Up to ``CROWDED_AT_ONCE`` tags whose rows stay spread over the cluster.
-
-    Same objective as :func:`train_one`, by cutting planes: each round is one
-    pass over the rows that sums the loss and its slope per tag, and the driver
-    sees one vector per tag. The bias takes part as a weight of a constant
-    feature large enough for its penalty to vanish in the tolerance.
-    """
-    counts = training.groupBy("tag").agg(
-        F.count_if(F.col("part") == "pos").alias("n_pos"), F.count_if(F.col("part") != "pos").alias("n_neg")
-    ).where((F.col("n_pos") > 0) & (F.col("n_neg") > 0))
-    positive = F.col("part") == "pos"
-    data = durable(
-        training.join(F.broadcast(counts), "tag").select(
-            "tag", F.when(positive, 1.0).otherwise(-1.0).alias("y"),
-            F.when(positive, F.col("n_neg") / F.col("n_pos")).otherwise(1.0).alias("cost"),
-            "embedding", "part", "ord", "id", "n_pos", "n_neg",
-        )
-    )
-    sizes = {r["tag"]: r for r in data.groupBy("tag").agg(
-        F.first("n_pos").alias("n_pos"), F.first("n_neg").alias("n_neg"),
-        F.first(F.size("embedding")).alias("dim"),
-    ).collect()}
-    solvers = {tag: CuttingPlanes(r["dim"] + 1) for tag, r in sizes.items()}
-    todo = dict(solvers)
-    for _ in range(CROWDED_ROUNDS):
-        if not todo:
-            break
-        for tag, sums in _loss_sums(data, {t: s.point for t, s in todo.items()}).items():
-            if todo[tag].add(sums[:-2], float(sums[-2]), float(sums[-1]), tolerance):
-                del todo[tag]
-    schema = f"tag string, {MODEL_FIELDS}"
-    spark = training.sparkSession
-    plain = spark.createDataFrame(
-        [(t, s.best[:-1].tolist(), float(-BIAS_FEATURE * s.best[-1]), 0.0, 0.0) for t, s in solvers.items()],
-        schema,
-    )
-    # A tag has at most HARD_NEGATIVES + RANDOM_HIGH negatives, so this window is bounded.
-    first = Window.partitionBy("tag", "part").orderBy("ord", "id")
-    hard = F.count_if(F.col("part") == "hard").over(Window.partitionBy("tag"))
-    negatives = data.where(F.col("part") != "pos").withColumn(
-        "_nth", F.row_number().over(first) + F.when(F.col("part") == "rand", hard).otherwise(0)
-    ).where(F.col("_nth") <= F.col("n_pos")).drop("_nth")
-    scored = durable(
-        data.where(positive).unionByName(negatives).join(F.broadcast(plain), "tag").select(
-            "tag", "y", predict_score(F.col("embedding"), F.col("weights"), F.col("bias")).alias("score")
-        )
-    )
-    models = []
-    for tag, solver in solvers.items():
-        a, b = _fit_platt_spread(scored.where(F.col("tag") == tag))
-        models.append((tag, solver.best[:-1].tolist(), float(-BIAS_FEATURE * solver.best[-1]), a, b))
-    return spark.createDataFrame(models, schema)
-
-
-def _fit_platt_spread(scored: DataFrame) -> tuple[float, float]:
-    """:func:`fit_platt` by Spark's logistic regression: a soft target becomes a
-    weighted pair of hard labels."""
-    n = scored.agg(
-        F.count_if(F.col("y") > 0).alias("pos"), F.count_if(F.col("y") < 0).alias("neg")
-    ).first()
-    target = F.when(F.col("y") > 0, (n["pos"] + 1.0) / (n["pos"] + 2.0)).otherwise(1.0 / (n["neg"] + 2.0))
-    pairs = scored.select(
-        array_to_vector(F.array("score")).alias("features"),
-        F.explode(
-            F.array(
-                F.struct(F.lit(1.0).alias("label"), target.alias("weight")),
-                F.struct(F.lit(0.0).alias("label"), (1.0 - target).alias("weight")),
-            )
-        ).alias("s"),
-    ).select("features", "s.*")
-    fit = LogisticRegression(weightCol="weight", standardization=False).fit(pairs)
-    return -float(fit.coefficients[0]), -float(fit.intercept)
-
-
-# --- jobs --------------------------------------------------------------------
+    return fit_sample(training, max_rows).groupBy("tag").applyInArrow(fit, schema)
 
 
 @dataclass
