@@ -64,6 +64,13 @@ select event_id as seq, ts, user_id, event_type,
   case when event_id % 101 = 0 then 'not json'
     when event_id % 103 = 0 then '{"type":"Unknown","data":{}}'
     when event_id % 107 = 0 then '{"type":"MediaUpdated","data":{"name":"x"}}'
+    when event_id % 13 = 5 then case event_id % 9
+      when 0 then '{"type":"FullRefresh","data":{}}' when 1 then '{"type":"UploadComplete","data":{}}'
+      when 2 then '{"type":"TagLearningComplete","data":{"tag_name":"en"}}' when 3 then '{"type":"ThumbnailFixStarted","data":{}}'
+      when 4 then '{"type":"ThumbnailFixCompleted","data":{"count":3}}' when 5 then '{"type":"FolderCreated","data":{"folder":"f"}}'
+      when 6 then '{"type":"FolderDeleted","data":{"id":"' || cast(user_id as string) || '"}}'
+      when 7 then '{"type":"FolderRenamed","data":{"id":"' || cast(user_id as string) || '","name":"n"}}'
+      else '{"type":"FoldersReordered","data":{"ids":["' || cast(user_id as string) || '"]}}' end
     when event_type = 'signup' then '{"type":"MediaCreated","data":{"item":{"id":"' || cast(user_id as string) || '","size_bytes":' || cast(event_id as string)
       || ',"media_type":"image","is_favorite":' || case when event_id % 2 = 0 then 'true' else 'false' end
       || ',"tags":[{"name":"' || case when event_id % 3 = 0 then 'de' else 'en' end || '","is_auto":false}]}}}'

@@ -158,6 +158,35 @@ def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_
     return pairs_within(distinct, threshold, "pairs", block_rows).unionByName(stars)
 
 
+def weighted_distinct(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(distinct vectors with ``weight``, (id, rep) of every directed vector)."""
+    directed = vectors.where(F.col("embedding").isNotNull() & ~V.is_zero(F.col("embedding")))
+    keyed = durable(directed.select("id", V.fingerprint(F.col("embedding")).alias("_key")))
+    first = durable(keyed.groupBy("_key").agg(F.min("id").alias("rep"), F.count("*").alias("weight")))
+    members = keyed.join(first, "_key").select("id", "rep")
+    distinct = directed.join(first.select(F.col("rep").alias("id"), "weight"), "id").select("id", "embedding", "weight")
+    return distinct, members
+
+
+def similar_items(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(id, neighbours, nearest): how many other items lie within ``threshold``, copies
+    included, and the distance of the nearest; items without neighbours are left out.
+
+    One row per item, however crowded it is: pairs are counted where they are found.
+    """
+    distinct, members = weighted_distinct(vectors)
+    near = pairs_within(distinct, threshold, "degree", block_rows).groupBy("id").agg(
+        F.sum("n").alias("n"), F.min("nearest").alias("nearest")
+    )
+    reps = distinct.select(F.col("id").cast("long").alias("rep"), "weight").join(
+        near.withColumnRenamed("id", "rep"), "rep", "left"
+    )
+    return members.join(reps, "rep").select(
+        "id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("neighbours"),
+        F.when(F.col("weight") > 1, 0.0).otherwise(F.col("nearest")).alias("nearest"),
+    ).where("neighbours > 0")
+
+
 def pair_guard(
     vectors: DataFrame, threshold: float, max_items: int | None = None,
     max_pairs: int | None = None, block_rows: int = BLOCK_ROWS,
@@ -167,7 +196,9 @@ def pair_guard(
     items = vectors.count()
     if max_items is not None and items > max_items:
         raise ValueError(f"too many items to group: {items} (max {max_items})")
-    found = pairs_within(vectors, threshold, "count", block_rows).agg(F.sum("n")).first()[0] or 0
+    distinct, _ = weighted_distinct(vectors)
+    copies = distinct.agg(F.sum(F.expr("weight * (weight - 1) div 2"))).first()[0] or 0
+    found = copies + (pairs_within(distinct, threshold, "count", block_rows).agg(F.sum("n")).first()[0] or 0)
     if max_pairs is not None and found > max_pairs:
         raise ValueError(f"too many similar pairs (>{max_pairs}): raise the similarity")
     return items, found

@@ -80,10 +80,11 @@ def choose_pivots(vectors: DataFrame, n: int, dim: int, block_rows: int = BLOCK_
     return pivots
 
 
-def _batch(ids, cell, home, units) -> pa.RecordBatch:
+def _batch(ids, weight, cell, home, units) -> pa.RecordBatch:
     return pa.record_batch(
         {
             "id": pa.array(ids, pa.int64()),
+            "weight": pa.array(weight, pa.int64()),
             "cell": pa.array(cell, pa.int32()),
             "home": pa.array(home, pa.bool_()),
             "embedding": from_matrix(units),
@@ -91,17 +92,19 @@ def _batch(ids, cell, home, units) -> pa.RecordBatch:
     )
 
 
-CELL_ROW = "id long, cell int, home boolean, embedding array<double>"
+CELL_ROW = "id long, weight long, cell int, home boolean, embedding array<double>"
 # Rows sent to other cells leave in slices of this size, so a batch never multiplies in memory.
 EMIT_ROWS = 8192
 
 
-def _place(ids: np.ndarray, units: np.ndarray, home: np.ndarray, guest: np.ndarray) -> Iterator[pa.RecordBatch]:
-    yield _batch(ids, home, np.ones(len(ids), bool), units)
+def _place(
+    ids: np.ndarray, weight: np.ndarray, units: np.ndarray, home: np.ndarray, guest: np.ndarray
+) -> Iterator[pa.RecordBatch]:
+    yield _batch(ids, weight, home, np.ones(len(ids), bool), units)
     row, cell = np.nonzero(guest)
     for lo in range(0, len(row), EMIT_ROWS):
         r = row[lo : lo + EMIT_ROWS]
-        yield _batch(ids[r], cell[lo : lo + EMIT_ROWS], np.zeros(len(r), bool), units[r])
+        yield _batch(ids[r], weight[r], cell[lo : lo + EMIT_ROWS], np.zeros(len(r), bool), units[r])
 
 
 def place_for_radius(vectors: DataFrame, pivots: Pivots, radius: float) -> DataFrame:
@@ -113,16 +116,17 @@ def place_for_radius(vectors: DataFrame, pivots: Pivots, radius: float) -> DataF
             ids = batch.column(0).to_numpy()
             matrix, ok = to_matrix(batch.column(1), pivots.points.shape[1])
             ok &= matrix.any(axis=1)
-            ids, units = ids[ok], unit_rows(matrix[ok])
+            ids, weight, units = ids[ok], batch.column(2).to_numpy()[ok], unit_rows(matrix[ok])
             if not len(ids):
                 continue
             d = pivots.distances(units)
             home = d.argmin(axis=1)
             near = pivots.bisector_gap(d, home) <= radius + SLACK
             guest = near & (np.arange(d.shape[1])[None, :] < home[:, None])
-            yield from _place(ids, units, home, guest)
+            yield from _place(ids, weight, units, home, guest)
 
-    return vectors.select(F.col("id").cast("long"), "embedding").mapInArrow(run, CELL_ROW)
+    weight = F.col("weight").cast("long") if "weight" in vectors.columns else F.lit(1).cast("long").alias("weight")
+    return vectors.select(F.col("id").cast("long"), "embedding", weight).mapInArrow(run, CELL_ROW)
 
 
 def _cut(placed: DataFrame, block_rows: int, fits_one: bool) -> DataFrame:
@@ -130,7 +134,7 @@ def _cut(placed: DataFrame, block_rows: int, fits_one: bool) -> DataFrame:
     if fits_one:
         zero = F.lit(0)
         return placed.select(
-            "cell", zero.alias("lo"), zero.alias("hi"), zero.alias("block"), "id", "home", "embedding"
+            "cell", zero.alias("lo"), zero.alias("hi"), zero.alias("block"), "id", "weight", "home", "embedding"
         )
     # One row per cell, at most MAX_PIVOTS of them.
     counts = placed.select("cell").groupBy("cell").agg(
@@ -142,13 +146,14 @@ def _cut(placed: DataFrame, block_rows: int, fits_one: bool) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     return cut.withColumn("_o", other).select(
         "cell", F.least("block", "_o").alias("lo"), F.greatest("block", "_o").alias("hi"),
-        "block", "id", "home", "embedding",
+        "block", "id", "weight", "home", "embedding",
     )
 
 
 def _matches(table: pa.Table, min_dot: float):
-    """Yield (ids a, ids b, dots) of qualifying pairs of one block pair, in strips."""
+    """Yield (ids a, ids b, dots, weights a, weights b) of qualifying pairs of one block pair, in strips."""
     ids = table.column("id").to_numpy()
+    weight = table.column("weight").to_numpy()
     units, _ = to_matrix(table.column("embedding"))
     home = table.column("home").to_numpy()
     block = table.column("block").to_numpy()
@@ -162,7 +167,7 @@ def _matches(table: pa.Table, min_dot: float):
             hit &= ids[rows][:, None] < ids[b][None, :]
         i, j = np.nonzero(hit)
         if len(i):
-            yield ids[rows[i]], ids[b[j]], dots[i, j]
+            yield ids[rows[i]], ids[b[j]], dots[i, j], weight[rows[i]], weight[b[j]]
 
 
 def pairs_within(
@@ -171,29 +176,43 @@ def pairs_within(
     """Pairs whose cosine distance is at most ``threshold``.
 
     ``emit`` is ``pairs`` (a, b, distance), ``forest`` (u, v: edges that connect
-    the same items, never more than rows compared) or ``count`` (n).
+    the same items, never more than rows compared), ``count`` (n) or ``degree``
+    (id, n, nearest: one row per item and block). With a column ``weight``, how many
+    equal vectors a row stands for, the last two count those.
     """
     radius = float(np.sqrt(max(2.0 * threshold, 0.0)))
     min_dot = 1.0 - threshold
 
     def pairs(table: pa.Table) -> pa.Table:
-        found = list(_matches(table, min_dot)) or [(np.empty(0, np.int64),) * 2 + (np.empty(0),)]
+        found = [m[:3] for m in _matches(table, min_dot)] or [(np.empty(0, np.int64),) * 2 + (np.empty(0),)]
         x, y, s = (np.concatenate(c) for c in zip(*found))
         return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "distance": np.maximum(1.0 - s, 0.0)})
 
     def spanning(table: pa.Table) -> pa.Table:
         u = v = np.empty(0, np.int64)
-        for x, y, _ in _matches(table, min_dot):
+        for x, y, *_ in _matches(table, min_dot):
             u, v = forest(np.concatenate([u, x]), np.concatenate([v, y]))
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     def count(table: pa.Table) -> pa.Table:
-        return pa.table({"n": pa.array([sum(len(x) for x, _, _ in _matches(table, min_dot))], pa.int64())})
+        return pa.table({"n": pa.array([sum(int(v @ w) for *_, v, w in _matches(table, min_dot))], pa.int64())})
+
+    def degree(table: pa.Table) -> pa.Table:
+        ids, n, near = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for x, y, s, v, w in _matches(table, min_dot):
+            far = np.maximum(1.0 - s, 0.0)
+            ids, at = np.unique(np.concatenate([ids, x, y]), return_inverse=True)
+            total, least = np.zeros(len(ids), np.int64), np.full(len(ids), np.inf)
+            np.add.at(total, at, np.concatenate([n, w, v]))
+            np.minimum.at(least, at, np.concatenate([near, far, far]))
+            n, near = total, least
+        return pa.table({"id": pa.array(ids), "n": pa.array(n), "nearest": pa.array(near)})
 
     fn, schema = {
         "pairs": (pairs, "a long, b long, distance double"),
         "forest": (spanning, "u long, v long"),
         "count": (count, "n long"),
+        "degree": (degree, "id long, n long, nearest double"),
     }[emit]
     out = []
     for dim, (mine, n) in by_length(vectors).items():

@@ -185,9 +185,14 @@ def _(lib):
     )
 
 
-@sql_query("i8_similar_pairs", "select a, b, round(distance, 6) as distance from alike")
+# One row per item, over all items, copies included.
+@sql_query(
+    "i8_similar_pairs",
+    f"""select a.id, count(*) as neighbours, round(min(greatest(1 - list_inner_product(a.u, b.u), 0.0)), 6) as nearest
+    from unit a join unit b on a.id <> b.id where list_inner_product(a.u, b.u) >= {1 - GROUP_DISTANCE} group by a.id""",
+)
 def _(lib):
-    return rounded(I.similar_pairs(vectors(lib), GROUP_DISTANCE))
+    return rounded(I.similar_items(vectors(lib), GROUP_DISTANCE), "nearest")
 
 
 @sql_query(
@@ -196,7 +201,7 @@ def _(lib):
     where list_inner_product(a.u, b.u) >= {1 - GROUP_DISTANCE}""",
 )
 def _(lib):
-    items, pairs = I.pair_guard(vectors(lib), GROUP_DISTANCE, max_items=10**12)
+    items, pairs = I.pair_guard(vectors(lib), GROUP_DISTANCE)
     return lib.spark.range(1).select(F.lit(items).cast("long").alias("items"), F.lit(pairs).cast("long").alias("pairs"))
 
 

@@ -15,8 +15,8 @@ select seq, ts, j, json_extract_string(j, '$.type') as kind from
 (select seq, ts, case when json_valid(value) then cast(value as json) end as j from feed)""",
     "event_ids": r"""
 select seq, ts, j, kind, unnest(case when kind = 'MediaCreated' then [json_extract_string(j, '$.data.item.id')]
-  when kind in ('MediaUpdated', 'MediaDeleted') then [json_extract_string(j, '$.data.id')]
-  when kind in ('MediaBatchDeleted', 'MediaTagsUpdated') then from_json(json_extract(j, '$.data.ids'), '["VARCHAR"]')
+  when kind in ('MediaUpdated', 'MediaDeleted', 'FolderDeleted', 'FolderRenamed') then [json_extract_string(j, '$.data.id')]
+  when kind in ('MediaBatchDeleted', 'MediaTagsUpdated', 'FoldersReordered') then from_json(json_extract(j, '$.data.ids'), '["VARCHAR"]')
   else from_json(json_extract(j, '$.data.media_ids'), '["VARCHAR"]') end) as id
 from parsed where kind is not null and kind <> 'Unknown'
   and not (kind = 'MediaUpdated' and json_extract_string(j, '$.data.id') is null)""",
@@ -31,7 +31,7 @@ def events(lib):
     "n1_parse_changes",
     r"""select p.seq, coalesce(p.kind, '') as type,
       case when p.kind is null then 'unreadable' when p.kind = 'Unknown' then 'unknown type'
-        when not exists (select 1 from event_ids e where e.seq = p.seq) then 'missing id' else '' end as reason,
+        when p.kind = 'MediaUpdated' and not exists (select 1 from event_ids e where e.seq = p.seq) then 'missing id' else '' end as reason,
       coalesce((select string_agg(id, ',' order by cast(id as bigint)) from event_ids e where e.seq = p.seq), '') as ids,
       coalesce(json_extract_string(p.j, '$.data.folder_id'), '') as folder_id,
       coalesce(array_to_string(from_json(json_extract(p.j, '$.data.tags'), '["VARCHAR"]'), ','), '') as tags,
@@ -115,11 +115,22 @@ HALF_DAY = 12 * 3600
 
 @query(
     "n3_debounced_refresh",
-    session_sql("", "(select * from changes where type = 'MediaCreated')", str(TWO_HOURS * 1000))
+    session_sql("", "(select * from parsed where kind in ('TagLearningComplete', 'FullRefresh', 'UploadComplete'))", str(N.REFRESH_QUIET_MS * 1000))
+    + f" select hi + {N.REFRESH_QUIET_MS * 1000} as due_us, n as requests from g",
+    PARSED_VIEWS,
+)
+def _(lib):
+    return W.debounced_refresh(N.refresh_requests(events(lib)), N.REFRESH_QUIET_MS)
+
+
+@query(
+    "n3_debounced_refresh_hours",
+    session_sql("", "(select * from parsed where kind in ('TagLearningComplete', 'FullRefresh', 'UploadComplete'))", str(TWO_HOURS * 1000))
     + f" select hi + {TWO_HOURS * 1000} as due_us, n as requests from g",
+    PARSED_VIEWS,
 )
 def _(lib):
-    return W.debounced_refresh(lib.changes.where("type = 'MediaCreated'"), TWO_HOURS)
+    return W.debounced_refresh(N.refresh_requests(events(lib)), TWO_HOURS)
 
 
 @query(

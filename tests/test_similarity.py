@@ -105,6 +105,17 @@ def test_similar_pairs_fold_copies_into_stars(spark, rows):
     assert rows(I.similarity_components(df, 0.1)) == [(0, 0), (1, 0), (2, 0), (3, 0)]
 
 
+@pytest.mark.parametrize("block_rows", [4096, 15])
+def test_similar_items_count_copies(spark, matrix, block_rows):
+    dots, ok = cosine(matrix)
+    link = (dots >= 1 - 0.1) & ok[:, None] & ok[None, :] & ~np.eye(len(matrix), dtype=bool)
+    out = I.similar_items(frame(spark, matrix), 0.1, block_rows).collect()
+    assert {r["id"]: r["neighbours"] for r in out} == {i: n for i, n in enumerate(link.sum(axis=1).tolist()) if n}
+    for r in out:
+        assert r["nearest"] == pytest.approx(1 - dots[r["id"]][link[r["id"]]].max(), abs=1e-9)
+    assert I.pair_guard(frame(spark, matrix), 0.1, block_rows=block_rows) == (len(matrix), int(link.sum()) // 2)
+
+
 def test_groups_are_numbered_by_first_date(spark, rows):
     scope = spark.createDataFrame(
         [(1, "2020", [1.0, 0.0]), (5, "2024", [1.0, 0.0]), (2, "2021", [0.0, 1.0]), (3, "2019", [0.0, 1.0]), (4, "2022", [1.0, 1.0])],
