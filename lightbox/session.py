@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,9 +50,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def durable(df: DataFrame) -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that :func:`durable` writes inside go when the block ends.
+
+    Results that read them must be written by then, like a job's output.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def durable(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write ``df`` below the checkpoint folder and read it back, cutting its lineage.
 
+    With ``keep`` the table outlives a surrounding :func:`temporary_tables`.
+
     On shared storage, so a lost executor costs a re-read and never a second
     evaluation of anything whose layout is not reproducible. A written table
     also keeps column pruning and tells its true size to the join planner.
@@ -58,4 +80,6 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/durable-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scopes and not keep:
+        _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -111,9 +112,15 @@ def attempt_limiter(
 
 def attempt_limiter_stream(
     attempts: DataFrame, by: str, limit: int = MAX_ATTEMPTS, window_s: int = ATTEMPT_WINDOW,
-    ts: str = "ts",
+    ts: str = "ts", tie: str | None = None, late: str = "10 minutes",
 ) -> DataFrame:
-    """The streaming form: state per key is the window's start and its count."""
+    """The streaming form: state per key is the window's start and its count.
+
+    Windows and their expiry run on event time, so a pause in delivery resets
+    nothing; attempts more than ``late`` behind are dropped. A key's rows of one
+    micro-batch are taken together in the order of time and ``tie``.
+    """
+    extra = [tie] if tie else []
     kinds = dict(attempts.dtypes)
     out = f"{by} {kinds[by]}, {ts} {kinds[ts]}, allowed boolean"
 
@@ -122,21 +129,25 @@ def attempt_limiter_stream(
             state.remove()
             return
         start, used = state.get if state.exists else (None, 0)
-        for pdf in batches:
-            pdf = pdf.sort_values(ts, kind="stable")
-            verdicts = []
-            for at in pdf[ts].astype("int64").to_numpy() // _unit(pdf[ts]):
-                if start is None or (at - start) // 1_000_000 > window_s:
-                    start, used = int(at), 0
-                verdicts.append(used < limit)
-                used += verdicts[-1]
-            yield pd.DataFrame({by: [key[0]] * len(pdf), ts: pdf[ts].to_numpy(), "allowed": verdicts})
-        if start is not None:
-            state.update((start, int(used)))
-            state.setTimeoutDuration((window_s + 1) * 1000)
-
-    return attempts.select(by, ts).groupBy(by).applyInPandasWithState(
-        step, out, "start long, used int", "append", GroupStateTimeout.ProcessingTimeTimeout
+        pdf = pd.concat(list(batches)).sort_values([ts, *extra], kind="stable")
+        at = pdf[ts].astype("int64").to_numpy() // _unit(pdf[ts])
+        allowed = np.zeros(len(at), bool)
+        i = 0
+        # One step per window: its end is found by bisection.
+        while i < len(at):
+            if start is None or (at[i] - start) // 1_000_000 > window_s:
+                start, used = int(at[i]), 0
+            end = int(np.searchsorted(at, start + (window_s + 1) * 1_000_000, side="left"))
+            allowed[i : min(end, i + limit - used)] = True
+            used = min(limit, used + end - i)
+            i = end
+        yield pd.DataFrame({by: [key[0]] * len(pdf), ts: pdf[ts].to_numpy(), "allowed": allowed})
+        state.update((start, int(used)))
+        over = start // 1000 + (window_s + 1) * 1000
+        state.setTimeoutTimestamp(max(over, state.getCurrentWatermarkMs() + 1))
+
+    return attempts.select(by, ts, *extra).withWatermark(ts, late).groupBy(by).applyInPandasWithState(
+        step, out, "start long, used int", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
