@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lightbox.llm import decontamination, exact_dedup, mixing, simhash, toxicity
-from lightbox.session import durable
+from lightbox.session import durable, temporary_tables
 
 # No SQL: the toxicity scores come from a fitted model. Tests compare with brute force.
 ORACLE_SQL = None
@@ -54,7 +54,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written before the next stage reads it."""
     docs = _table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = durable(docs)
+        if i == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        # What a stage wrote on its way is removed once its result is written.
+        with temporary_tables(spark):
+            docs = durable(stage(spark, docs, sf_dir), keep=True)
     return docs
