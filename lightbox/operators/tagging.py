@@ -77,13 +77,13 @@ def _score_batch(ids, col, tags, weights, bias, min_raw):
 
 def batch_predict(
     vectors: DataFrame, models: DataFrame, min_raw: float | None = None,
-    broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """(media_id, tag, raw, confidence) of every item under every model.
 
-    Models whose checked size is small go to the executors and the vectors are
-    scored where they lie; otherwise blocks of models meet blocks of vectors.
-    With ``min_raw`` lower scores never leave the task.
+    Models go to the executors in slices of at most about ``broadcast_bytes`` and the
+    vectors are scored where they lie, in one map-only pass per slice. With
+    ``min_raw`` lower scores never leave the task.
     """
     spark = vectors.sparkSession
     out_schema = f"media_id {vectors.schema['id'].dataType.simpleString()}, tag string, raw double"
@@ -96,10 +96,13 @@ def batch_predict(
         # A model scores vectors of another length as a mismatch; each length is one pass.
         dims = [r[0] for r in models.select(F.size("weights")).distinct().collect()]
         return reduce(DataFrame.unionByName, [
-            batch_predict(vectors, models.where(F.size("weights") == d), min_raw, broadcast_bytes, block_rows) for d in dims
+            batch_predict(vectors, models.where(F.size("weights") == d), min_raw, broadcast_bytes) for d in dims
         ])
-    if size["bytes"] <= broadcast_bytes:
-        table = packed.toArrow()
+    slices_of_models = max(1, -(-size["bytes"] // broadcast_bytes))
+
+    def one_pass(i: int) -> DataFrame:
+        mine = packed.where(F.pmod(F.xxhash64("tag"), F.lit(slices_of_models)) == i) if slices_of_models > 1 else packed
+        table = mine.toArrow()
         weights, _ = V.to_matrix(table.column("weights"))
         shared = spark.sparkContext.broadcast(
             (table.column("tag").to_pylist(), weights, table.column("bias").to_numpy())
@@ -113,39 +116,9 @@ def batch_predict(
                     _score_batch(batch.column(0), batch.column(1), tags, w, bias, min_raw)
                 )
 
-        scored = vectors.select("id", "embedding").mapInArrow(score, out_schema)
-    else:
-        per_block = max(int(broadcast_bytes // max(size["bytes"] // size["n"], 1)), 1)
-        mb = int(size["n"] // per_block + 1)
-        vb = int(vectors.count() // block_rows + 1)
-        keys = ["m", "v"]
-        left = vectors.select("id", "embedding").withColumns(
-            {
-                "v": F.pmod(F.xxhash64("id"), F.lit(vb)).cast("int"),
-                "m": F.explode(F.sequence(F.lit(0), F.lit(mb - 1))),
-            }
-        )
-        right = packed.withColumns(
-            {
-                "m": F.pmod(F.xxhash64("tag"), F.lit(mb)).cast("int"),
-                "v": F.explode(F.sequence(F.lit(0), F.lit(vb - 1))),
-            }
-        )
-
-        def meet(lt: pa.Table, rt: pa.Table) -> pa.Table:
-            if not lt.num_rows or not rt.num_rows:
-                return pa.table(
-                    {"media_id": lt.column("id").slice(0, 0), "tag": rt.column("tag").slice(0, 0), "raw": pa.array([], pa.float64())}
-                )
-            w, _ = V.to_matrix(rt.column("weights"))
-            return pa.table(
-                _score_batch(
-                    lt.column("id").combine_chunks(), lt.column("embedding"),
-                    rt.column("tag").combine_chunks(), w, rt.column("bias").to_numpy(), min_raw,
-                )
-            )
+        return vectors.select("id", "embedding").mapInArrow(score, out_schema)
 
-        scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, out_schema)
+    scored = reduce(DataFrame.unionByName, [one_pass(i) for i in range(slices_of_models)])
     calibration = models.select("tag", "platt_a", "platt_b")
     return scored.join(calibration, "tag").select(
         "media_id", "tag", "raw",
@@ -235,7 +208,8 @@ def training_set(
 
     The rows are narrow and made durable; each use then costs one join.
     """
-    unit = unit_vectors(vectors)
+    # Scaled once; the cell joins, centroids and draws below all read it.
+    unit = durable(unit_vectors(vectors))
     rows = durable(training_rows(media_tags, unit, seed, tags, block_rows))
     return rows.join(unit, "id").select("tag", "part", "ord", "id", "embedding")
 

@@ -98,7 +98,7 @@ def test_predict_paths_agree(spark):
     m = spark.createDataFrame([(f"t{i}", [float(x) for x in r], 0.1, -2.0, 0.0) for i, r in enumerate(rng.normal(size=(7, 6)))],
                               "tag string, weights array<double>, bias double, platt_a double, platt_b double")
     want = {(r["media_id"], r["tag"]): r["raw"] for r in J.batch_predict(v, m).collect()}
-    blocked = J.batch_predict(v, m, broadcast_bytes=250, block_rows=20)
+    blocked = J.batch_predict(v, m, broadcast_bytes=250)
     got = {(r["media_id"], r["tag"]): r["raw"] for r in blocked.collect()}
     assert len(want) == 350 and got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k]) for k in want)
@@ -149,3 +149,14 @@ def test_fit_rows_of_a_tag_are_bounded(spark):
     assert J.fit_sample(training).count() == training.count()
     again = [J.train_models(training.repartition(n), max_rows=5).first() for n in (1, 4)]
     assert again[0] == again[1]
+
+
+def test_models_score_in_slices_and_by_length(spark):
+    rng = np.random.default_rng(11)
+    v = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(30)], "id long, embedding array<double>")
+    fields = "tag string, weights array<double>, bias double, platt_a double, platt_b double"
+    m = spark.createDataFrame([(f"t{i}", rng.normal(size=4).tolist(), 0.1, -1.0, 0.0) for i in range(9)] + [("odd", [1.0] * 5, 0.0, -1.0, 0.0)], fields)
+    rows = [sorted(map(tuple, J.batch_predict(v, m, broadcast_bytes=n).collect())) for n in (1 << 20, 200)]
+    assert len(rows[0]) == len(rows[1]) == 300
+    assert all(a[:2] == b[:2] and a[2:] == pytest.approx(b[2:]) for a, b in zip(*rows))
+    assert {(r[2], round(r[3], 6)) for r in rows[0] if r[1] == "odd"} == {(-999.0, 0.0)}
