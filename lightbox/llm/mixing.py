@@ -17,7 +17,7 @@ BLOCK_WORDS = 256
 # Blocks of one source at most, so that positions times blocks fit 64 bits up to 7e13 words.
 MAX_BLOCKS = 131_072
 PASSES = 3
-CHUNK = 4_096
+CHUNK = 1_024
 # Fixed value: the fractional part of the golden ratio.
 GOLDEN = 0.6180339887498949
 
