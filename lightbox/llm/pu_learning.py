@@ -121,9 +121,10 @@ def training_sample(
         least(everyone, max_unlabelled, False)
     )
     # At most max_positives + max_unlabelled ids of eight bytes.
-    rows = named.join(F.broadcast(chosen), "doc_id").select("text", "positive")
-    # Ids may repeat in ``docs``; the bound holds for rows all the same.
-    return durable(rows.limit(max_positives + max_unlabelled)), prior
+    rows = named.join(F.broadcast(chosen), "doc_id")
+    # Ids may repeat in ``docs``: one row of each is used, the one with the least text.
+    single = rows.groupBy("doc_id", "positive").agg(F.min("text").alias("text"))
+    return durable(single.select("text", "positive")), prior
 
 
 def collect_features(sample: DataFrame, features: Callable[[list[bytes | None]], np.ndarray], width: int):
