@@ -55,16 +55,22 @@ def _scramble(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sums_of(words: list[bytes]) -> np.ndarray:
-    """Prefix sums of the polynomial: sums[i] covers the first i words."""
-    with np.errstate(over="ignore"):
-        terms = np.zeros(len(words) + 1, np.uint64)
-        terms[1:] = _hashes(words) * _powers(len(words))
-        return np.cumsum(terms, dtype=np.uint64)
+def sums_of(words: list[bytes], powers: np.ndarray | None = None) -> np.ndarray:
+    """Prefix sums of the polynomial: sums[i] covers the first i words.
+
+    ``powers`` are those of :func:`_powers`, made once for many lines.
+    """
+    n = len(words)
+    terms = np.zeros(n + 1, np.uint64)
+    known = powers is not None and n <= len(powers)
+    np.multiply(_hashes(words), powers[:n] if known else _powers(n), out=terms[1:])
+    return np.cumsum(terms, out=terms)
 
 
 def _range_hash(sums: np.ndarray, begin: int, end: int) -> int:
     """Hash of words[begin:end], the same wherever they stand."""
+    if not begin:
+        return int(sums[end])
     return (int(sums[end]) - int(sums[begin])) * pow(INVERSE, begin, 1 << 64) % (1 << 64)
 
 
@@ -85,10 +91,10 @@ def half_keys(sums: np.ndarray) -> list[int]:
     return out
 
 
-def variant_keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def variant_keys(words: list[bytes], powers: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(kind, key): 0 a replacement at some place, 1 the whole line, 2 the line without one word."""
     n = len(words)
-    sums = sums_of(words)
+    sums = sums_of(words, powers)
     with np.errstate(over="ignore"):
         without = sums[:-1] + (sums[-1] - sums[1:]) * np.uint64(INVERSE)
         place = np.arange(n, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
@@ -121,14 +127,15 @@ def _split(docs: DataFrame, id: str, text: str) -> DataFrame:
     """Every line of every row, written once; zstd keeps the copy of the texts small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = _powers(1 << 12)
         for batch, texts in pieces(batches, "text"):
             out: list[list] = [[] for _ in range(7)]
             for doc, row, raw in zip(batch.column("doc_id").to_pylist(), batch.column("row_no").to_pylist(), texts):
                 for i, line in enumerate((raw or b"").split(b"\n")):
                     words = line.split()
-                    sums = sums_of(words)
+                    sums = sums_of(words, powers)
                     values = (
-                        doc, row, i, len(words), _signed(int(_scramble(sums[-1:], len(words))[0])),
+                        doc, row, i, len(words), _signed(xxhash.xxh64_intdigest(f"{len(words)}={int(sums[-1])}")),
                         half_keys(sums) if len(words) >= MIN_WORDS else [], line,
                     )
                     for column, value in zip(out, values):
@@ -169,15 +176,17 @@ def _partners(lines: DataFrame) -> DataFrame:
     with_text = durable(placed.join(texts, ["row_no", "line_no"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, line in enumerate(batch.column(0).cast(pa.binary()).to_pylist()):
-                kinds, keys = variant_keys(line.split())
-                n = len(keys)
-                at = pa.array([i] * n, pa.int64())
-                yield pa.record_batch({
-                    "kind": pa.array(kinds), "key": pa.array(keys), "hash": batch.column(1).take(at),
-                    "n_words": batch.column(2).take(at), "first": batch.column(3).take(at),
-                })
+        powers = _powers(1 << 12)
+        # Small pieces: a line of n words has 2n + 1 variants.
+        for batch, texts in pieces(batches, "line", 500_000):
+            found = [variant_keys(line.split(), powers) for line in texts]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(keys) for _, keys in found]))
+            yield pa.record_batch({
+                "kind": pa.array(np.concatenate([kinds for kinds, _ in found])),
+                "key": pa.array(np.concatenate([keys for _, keys in found])),
+                "hash": batch.column("hash").take(at), "n_words": batch.column("n_words").take(at),
+                "first": batch.column("first").take(at),
+            })
 
     first = with_text.schema["first"].dataType.simpleString()
     variants = with_text.select("line", "hash", "n_words", "first").mapInArrow(
