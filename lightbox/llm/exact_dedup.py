@@ -1,10 +1,11 @@
 """Exact dedup by a content sort.
 
-Sampled splitters range-partition the normalised texts together with the order
-in which copies are preferred, so a text with any number of copies spreads over
-as many tasks as it needs. Each task sorts its range externally; equal texts are
-then neighbours and are found by comparing each text with the one before it. A
-group that runs over a border of ranges is stitched from one row per range.
+Sampled splitters range-partition the normalised texts, by leading characters and
+a hash of the whole, together with the order in which copies are preferred, so a
+text with any number of copies spreads over as many tasks as it needs. Each task
+sorts its range externally; equal texts are then neighbours and are found by
+comparing each text with the one before it. A group that runs over a border of
+ranges is stitched from one row per range.
 """
 
 from __future__ import annotations
@@ -26,13 +27,24 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", "")
 
 
+# Characters of a text that order it; a 128-bit hash of the whole text settles equal beginnings.
+LEADING = 32
+
+
 def _sorted_ranges(rows: DataFrame, norm: Column, carry: str, ranges: int) -> DataFrame:
-    """(part, norm, ``carry``) in global order of (norm, most characters, least id)."""
-    preference = [F.desc("n_chars"), F.asc_nulls_last("id")]
+    """(part, norm, ``carry``) in global order of (text, most characters, least id).
+
+    Texts are ordered by their leading characters, then by a hash of the whole,
+    so equal texts are neighbours and the splitters sampled on the driver stay
+    small however long texts are.
+    """
+    keys = {"lead": F.substring(norm, 1, LEADING), "h1": F.xxhash64(norm), "h2": F.xxhash64(F.lit(1), norm)}
+    order = ["lead", "h1", "h2", F.desc("n_chars"), F.asc_nulls_last("id")]
     return (
-        rows.repartitionByRange(ranges, norm, *preference)
+        rows.withColumns(keys)
+        .repartitionByRange(ranges, *order)
         .withColumn("norm", norm)
-        .sortWithinPartitions("norm", *preference)
+        .sortWithinPartitions(*order)
         .select(F.spark_partition_id().alias("part"), "norm", carry)
     )
 
