@@ -240,5 +240,6 @@ def drop_copies(docs: DataFrame, text: str = "text", id: str = "doc_id", ranges:
     edges = out.where("edge is not null").select(
         "part", "edge", "edge_norm", "group", F.lit(None).cast("long").alias("leader"), F.lit(1).cast("long").alias("members")
     )
-    again = _stitched(edges).where("continues").select("part", F.lit(True).alias("head"))
+    # At most one row per range, so the rows themselves need not move again.
+    again = F.broadcast(_stitched(edges).where("continues").select("part", F.lit(True).alias("head")))
     return out.where("edge is null").join(again, ["part", "head"], "left_anti").select("row.*")
