@@ -27,7 +27,7 @@ def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, 7 of 64 bits)."""
+    """One document of each group of near copies (five-word shingles, Jaccard similarity of 0.8 or more)."""
     return simhash.drop_near_copies(docs)
 
 

@@ -228,23 +228,110 @@ def near_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", shingle
     )
 
 
-def drop_near_copies(docs: DataFrame, text: str = "text", id: str = "doc_id", shingle: int = 5, radius: int = 7) -> DataFrame:
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
+    """Sorted distinct XXH64 hashes of the word shingles that :func:`fingerprint` counts; empty without words."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    n = max(1, len(words) - shingle + 1)
+    starts = np.concatenate([[0], ends[: n - 1]]).tolist()
+    stops = (ends[min(shingle, len(words)) - 1 :][:n] - 1).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops)), np.uint64, n))
+
+
+def shingle_nodes(docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """The columns of ``docs`` but a plain ``text``, and ``node``: a hash of the shingle set, equal for equal sets."""
+    kept = [f for f in docs.schema.fields if f.name != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.name for f in kept]
+        for batch, texts in pieces(batches, text):
+            nodes = [xxhash.xxh64_intdigest(shingle_set(t, shingle).tobytes()) for t in texts]
+            columns = [pa.array(np.array(nodes, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *columns], [*names, "node"])
+
+    return docs.mapInArrow(run, T.StructType([*kept, T.StructField("node", T.LongType())]))
+
+
+def shingle_sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """(node, shingles) of docs with node and ``text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in pieces(batches, text):
+            sets = [shingle_set(t, shingle).view(np.int64) for t in texts]
+            ends = np.cumsum([0, *map(len, sets)])
+            values = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(sets)))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), values.cast(pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return docs.mapInArrow(run, "node long, shingles array<long>")
+
+
+def similar_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose shingle sets have a Jaccard similarity of ``similarity`` or more."""
+    one = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
+    other = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    return pairs.join(one, "u").join(other, "v").where(
+        F.least(F.size("a"), F.size("b")) / F.greatest(F.size("a"), F.size("b")) >= similarity
+    ).where(both / (F.size("a") + F.size("b") - both) >= similarity).select("u", "v")
+
+
+def verified_components(keys: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(id, component) over the nodes that share a key and have similar sets, by chains.
+
+    ``keys`` has (key, node, least), least being the key's least node. Every node is
+    compared with that one first, so the members of a large group of true copies
+    meet in a number of pairs linear in its size. Nodes of one key that are not
+    connected by then are all compared with each other.
+    """
+    first = durable(keys.where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct())
+    links = durable(similar_links(first, sets, similarity))
+    labels = connected_components(links)
+    known = durable(
+        keys.join(labels.withColumnRenamed("id", "node"), "node", "left").select(
+            "key", "node", F.coalesce("component", "node").alias("label")
+        )
+    )
+    open_keys = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    known = durable(known.join(open_keys, "key", "left_semi"))
+    other = known.select("key", F.col("node").alias("v"), F.col("label").alias("v_label"))
+    rest = known.join(other, "key").where("label > v_label").select(
+        F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")
+    ).distinct().join(first, ["u", "v"], "left_anti")
+    return connected_components(durable(links.unionByName(similar_links(durable(rest), sets, similarity))))
+
+
+def drop_near_copies(
+    docs: DataFrame, text: str = "text", id: str = "doc_id", shingle: int = 5, radius: int = 7, similarity: float = 0.8
+) -> DataFrame:
     """One row of each group stays, whole: the one with the least id, then any one of equal ids.
 
-    Five-word shingles and 7 of 64 bits: the angle between the shingle vectors
-    is then about 20 degrees, a similarity of 0.94. Rows without an id stay
-    only if their group has no other row.
+    Documents are linked if the sets of their five-word shingles have a Jaccard
+    similarity of ``similarity`` or more. Fingerprints name the candidates only:
+    whatever chains of at most ``radius`` bits connect is compared on the sets.
+    Rows without an id stay only if their group has no other row.
     """
     named = docs.select(whole_row(docs), F.col(id).cast("long").alias("doc_id"))
-    marked = fingerprints(named, f"row.{text}", shingle).withColumn("row_no", F.monotonically_increasing_id())
-    rows = durable(marked)
-    narrow = rows.select("row_no", "doc_id", "fp")
+    marked = shingle_nodes(fingerprints(named, f"row.{text}", shingle), f"row.{text}", shingle)
+    rows = durable(marked.withColumn("row_no", F.monotonically_increasing_id()))
+    narrow = rows.select("row_no", "doc_id", "fp", "node")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_no")).alias("best")
-    distinct = durable(narrow.groupBy("fp").agg(best))
-    nodes = connected_components(fingerprint_links(distinct.select("fp"), radius))
+    distinct = durable(narrow.groupBy("node").agg(best))
+    near = connected_components(fingerprint_links(narrow.select("fp").distinct(), radius)).withColumnRenamed("id", "fp")
+    named_nodes = narrow.select("node", "fp").distinct()
+    keys = named_nodes.join(near, "fp", "left").select(F.coalesce("component", "fp").alias("key"), "node").distinct()
+    shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    keys = durable(keys.join(shared, "key"))
+    wanted = keys.select("node").distinct().join(distinct, "node").select("node", F.col("best.row_no").alias("row_no"))
+    texts = rows.select("row_no", F.col(f"row.`{text}`").alias("text")).join(durable(wanted), "row_no")
+    sets = durable(shingle_sets(texts, "text", shingle))
+    nodes = verified_components(keys, sets, similarity)
     winners = (
-        distinct.join(nodes.withColumnRenamed("id", "fp"), "fp", "left")
-        .groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("best").alias("best"))
+        distinct.join(nodes.withColumnRenamed("id", "node"), "node", "left")
+        .groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("best").alias("best"))
         .select(F.col("best.row_no").alias("row_no"))
     )
     # The rows that go are few in a corpus without exact copies; their written size

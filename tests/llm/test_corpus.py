@@ -199,6 +199,38 @@ def test_simhash_groups(spark, docs, clashing):
     assert kept.count() == len(set(min_labels(a, b)[1].tolist()))
 
 
+def brute_shingles(text):
+    w = re.sub(r"[A-Z]", lambda m: m[0].lower(), text).split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def edited(base, rng, changes):
+    """``base`` with some words replaced by new ones."""
+    out = list(base)
+    for i in rng.choice(len(out), changes, replace=False):
+        out[i] = f"new{rng.integers(1 << 40)}"
+    return " ".join(out)
+
+
+def test_near_copies_below_the_similarity_stay(spark):
+    """Pairs within 7 bits whose shingle sets are not similar are candidates, no copies."""
+    rng, pairs = np.random.default_rng(5), []
+    while len(pairs) < 6:
+        base = [f"b{rng.integers(1 << 40)}" for _ in range(150)]
+        a, b = " ".join(base), edited(base, rng, 6)
+        fps = np.array([brute_fingerprint(t, 5) for t in (a, b)], np.uint64)
+        if np.bitwise_count(fps[0] ^ fps[1]) <= 7 and jaccard(brute_shingles(a), brute_shingles(b)) < 0.8:
+            pairs.append((a, b))
+    texts = [t for p in pairs for t in p] + [pairs[0][0].upper()]
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)]
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, DOCS))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(12))
+
+
 def test_crowded_keys_are_compared_in_blocks(spark):
     rng = np.random.default_rng(2)
     base = int(rng.integers(0, 2**62))
