@@ -231,6 +231,21 @@ def test_near_copies_below_the_similarity_stay(spark):
     assert sorted(r.doc_id for r in kept.collect()) == list(range(12))
 
 
+def test_near_copies_are_found_at_the_similarity(spark):
+    """Families with one to five words changed, against brute-force Jaccard 0.8."""
+    rng, texts = np.random.default_rng(6), []
+    for n in (60, 100, 100, 150, 150, 200, 200, 300, 300, 400):
+        base = [f"b{rng.integers(1 << 40)}" for _ in range(n)]
+        texts += [" ".join(base), *(edited(base, rng, int(rng.integers(1, 1 + max(1, n // 50)))) for _ in range(8))]
+    kept = simhash.drop_near_copies(
+        spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], DOCS)
+    )
+    sets = [brute_shingles(t) for t in texts]
+    u, v = zip(*((i, j) for i in range(len(sets)) for j in range(i + 1) if jaccard(sets[i], sets[j]) >= 0.8))
+    ids, least = min_labels(np.array(u), np.array(v))
+    assert sorted(r.doc_id for r in kept.collect()) == ids[ids == least].tolist()
+
+
 def test_crowded_keys_are_compared_in_blocks(spark):
     rng = np.random.default_rng(2)
     base = int(rng.integers(0, 2**62))
