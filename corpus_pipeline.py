@@ -37,8 +37,11 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every remaining document with the number of its words that the mix takes."""
-    return mixing.mix(docs, carry=("lang",))
+    """Every remaining document, whole, with the slices that the mix takes of it and their slots.
+
+    ``mixing.stream`` lays this out as the mixed stream, one row per slot and slice.
+    """
+    return mixing.mix(docs, carry=("lang", "text"), slices=True)
 
 
 STAGES = [

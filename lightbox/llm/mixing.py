@@ -142,13 +142,38 @@ def _stream(rows: DataFrame) -> DataFrame:
     return joined.withColumn("start", F.col("inner") + F.col("offset")).drop("inner", "offset", "o_source", "o_bucket")
 
 
+def _slices(placed: DataFrame, slots: DataFrame) -> DataFrame:
+    """(row_no, slot, rank, offset, begin, end): the words [begin, end) of a document that a slot takes.
+
+    ``offset`` counts the words of the slot's block before the slice.
+    """
+    # The blocks that a document reaches into.
+    covered = placed.where("size > 0").select(
+        "row_no", "source_no", "start", (F.col("start") + F.col("size")).alias("stop"), "source_size", "blocks", "slots", "rest", "rest_block",
+        F.explode(F.expr("sequence((start * blocks) div source_size, ((start + size - 1) * blocks) div source_size)")).alias("block"),
+    )
+    used = covered.join(slots.select("source_no", "block", "slot", "rank"), ["source_no", "block"]).withColumns({
+        "block_begin": F.expr("(block * source_size + blocks - 1) div blocks"),
+        "block_end": F.expr("((block + 1) * source_size + blocks - 1) div blocks"),
+        # The last slot of a source may take only the beginning of its block.
+        "partial": (F.col("rank") == F.col("slots")) & F.coalesce(F.col("block") == F.col("rest_block"), F.lit(False)),
+    })
+    lo = F.greatest("start", "block_begin")
+    hi = F.least("stop", "block_end", F.when(F.col("partial"), F.col("rest")))
+    return used.where(hi > lo).select(
+        "row_no", "slot", "rank", (lo - F.col("block_begin")).alias("offset"), (lo - F.col("start")).alias("begin"), (hi - F.col("start")).alias("end")
+    )
+
+
 def mix(
     docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source",
-    weights: tuple[int, ...] = (1, 2, 3), block_words: int = BLOCK_WORDS, carry: tuple[str, ...] = (),
+    weights: tuple[int, ...] = (1, 2, 3), block_words: int = BLOCK_WORDS, carry: tuple[str, ...] = (), slices: bool = False,
 ) -> DataFrame:
-    """Per row: doc_id, ``carry``, source, size, source_size, target, taken.
+    """Per row: doc_id, ``carry``, source, size, source_size, target, taken and, if asked for, slices.
 
-    ``taken`` is the number of words the schedule takes of the document, repeats
+    ``slices`` holds a (slot, rank, offset, begin, end) for every time the schedule takes words
+    [begin, end) of the document, in the order of slots; :func:`stream` lays them out as rows.
+    ``taken`` is their number of words, repeats
     counted: each source's sum is its target rounded to whole words, and no
     document is taken more than three times. Null texts have size 0 and, like
     sources without words, nothing is taken of them. Equal inputs give equal results;
@@ -157,37 +182,45 @@ def mix(
     shuffle = F.md5(F.concat_ws("|", F.coalesce(F.col(id).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
     rows = durable(
         docs.select(
-            F.col(id).alias("doc_id"), *carry, F.col(source).alias("source"), word_count(F.col(text)).alias("size"), shuffle.alias("shuffle"),
+            F.monotonically_increasing_id().alias("row_no"), F.col(id).alias("doc_id"), F.struct(*carry).alias("carried") if carry else F.lit(0).alias("carried"),
+            F.col(source).alias("source"), word_count(F.col(text)).alias("size"), shuffle.alias("shuffle"),
         )
     )
-    n = rows.count()
+    narrow = rows.drop("carried")
+    n = narrow.count()
     # Hexadecimal digits that cut the rows into buckets of some thousands.
     digits = max(1, len(f"{max(1, n // 2_000):x}"))
-    rows = rows.withColumn("bucket", F.substring("shuffle", 1, digits))
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    narrow = narrow.withColumn("bucket", F.substring("shuffle", 1, digits))
+    sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = durable(_plan(source_targets(sizes, weights), block_words))
     slots = durable(schedule(plan))
-    uses = slots.groupBy("source_no", "block").agg(F.count("*").alias("uses"), F.max("rank").alias("last"))
 
     per_source = plan.select(
         F.col("source").alias("p_source"), "source_no", "source_size", "target", "blocks", "slots", "rest", "rest_block"
     )
-    placed = _stream(rows).join(per_source, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
-    placed = durable(placed.withColumn("row_no", F.monotonically_increasing_id()))
-    # The blocks that a document reaches into.
-    covered = placed.where("size > 0").select(
-        "row_no", "source_no", "start", (F.col("start") + F.col("size")).alias("end"), "source_size", "blocks", "slots", "rest", "rest_block",
-        F.explode(F.expr("sequence((start * blocks) div source_size, ((start + size - 1) * blocks) div source_size)")).alias("block"),
-    )
-    begins = F.expr("(block * source_size + blocks - 1) div blocks")
-    ends = F.expr("((block + 1) * source_size + blocks - 1) div blocks")
-    used = covered.join(uses, ["source_no", "block"])
-    overlap = F.least("end", ends) - F.greatest("start", begins)
-    # The last slot of a source may take only the beginning of its block.
-    partial = (F.col("last") == F.col("slots")) & F.coalesce(F.col("block") == F.col("rest_block"), F.lit(False))
-    beginning = F.greatest(F.lit(0), F.least(F.col("end"), F.col("rest")) - F.greatest("start", begins))
-    words = overlap * (F.col("uses") - partial.cast("long")) + F.when(partial, beginning).otherwise(0)
-    taken = used.groupBy("row_no").agg(F.sum(words).cast("long").alias("taken"))
-    return placed.join(taken, "row_no", "left").select(
-        "doc_id", *carry, "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+    placed = durable(_stream(narrow).join(per_source, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source"))
+    found = [F.sum(F.col("end") - F.col("begin")).cast("long").alias("taken")]
+    if slices:
+        found.append(F.array_sort(F.collect_list(F.struct("slot", "rank", "offset", "begin", "end"))).alias("slices"))
+    out = placed.join(_slices(placed, slots).groupBy("row_no").agg(*found), "row_no", "left")
+    if carry:
+        out = out.join(rows.select("row_no", "carried"), "row_no")
+    kept = ["slices"] if slices else []
+    return out.withColumns({"taken": F.coalesce("taken", F.lit(0)).cast("long")} | {c: F.coalesce(c, F.array()) for c in kept}).select(
+        "doc_id", *[F.col(f"carried.`{c}`") for c in carry], "source", "size", "source_size", "target", "taken", *kept
     )
+
+
+def stream(mixed: DataFrame, text: str = "text") -> DataFrame:
+    """The mixed stream itself: one row per slot and document slice, from a :func:`mix` that carries ``text``, with slices.
+
+    Columns are slot, rank, offset, begin and end, the other columns of ``mixed`` but its counts, and
+    ``text``, the slice with the white space after its words. The order of the stream is
+    (slot, source, rank, offset); only slots after the last drawn one may name several ranks.
+    """
+    words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), 0)
+    counts = {text, "slices", "size", "source_size", "target", "taken"}
+    others = [F.col(f"`{c}`") for c in mixed.columns if c not in counts]
+    rows = mixed.where(F.size("slices") > 0).select(*others, words.alias("words"), F.explode("slices").alias("s"))
+    cut = F.array_join(F.slice("words", (F.col("s.begin") + 1).cast("int"), (F.col("s.end") - F.col("s.begin")).cast("int")), "")
+    return rows.select("s.*", *others, cut.alias(text))

@@ -365,6 +365,39 @@ def test_mixing(spark, docs):
     assert mixing.mix(docs.where("text is null")).first().taken == 0
 
 
+def test_mixed_stream(spark):
+    """Slots in golden-ratio order; every source's slices, by rank, run through its shuffled stream again and again."""
+    rng = np.random.default_rng(3)
+    size = {"a": 40, "b": 15, None: 25}
+    rows = [
+        (i, "".join(f" w{i}_{j}" + "\t\n"[: j % 3] for j in range(rng.integers(0, 90))), "en", s, 1)
+        for i, s in enumerate(s for s, n in size.items() for _ in range(n))
+    ]
+    mixed = mixing.mix(spark.createDataFrame(rows, DOCS), carry=("text",), block_words=16, slices=True)
+    taken = {r.doc_id: r.taken for r in mixed.collect()}
+    got = sorted(mixing.stream(mixed).collect(), key=lambda r: (r.slot, str(r.source), r.rank, r.offset))
+    text = {r[0]: r[1] for r in rows}
+    for r in got:
+        assert r.text.split() == text[r.doc_id].split()[r.begin : r.end] and r.text in text[r.doc_id]
+    assert all(n == sum(r.end - r.begin for r in got if r.doc_id == d) for d, n in taken.items())
+    for s in size:
+        mine = sorted((r for r in got if r.source == s), key=lambda r: (r.rank, r.offset))
+        assert [r.slot for r in mine] == sorted(r.slot for r in mine)
+        order = sorted((d for d, _, _, t, _ in rows if t == s), key=lambda d: hashlib.md5(f"{d}|{text[d]}".encode()).hexdigest())
+        whole = [w for d in order for w in text[d].split()]
+        words = [w for r in mine for w in r.text.split()]
+        assert words == (whole * 4)[: len(words)]
+    # Which source a slot falls to, by the sequence alone.
+    slots = {s: max(r.rank for r in got if r.source == s) for s in size}
+    total, used = sum(slots.values()), {s: 0 for s in size}
+    for i in range(total):
+        at = int((i + 0.5) * mixing.GOLDEN % 1.0 * total)
+        here = "a" if at < slots["a"] else "b" if at < slots["a"] + slots["b"] else None
+        used[here] += 1
+        if used[here] <= slots[here]:
+            assert {(r.source, r.rank) for r in got if r.slot == i} == {(here, used[here])}
+
+
 def test_schedule_is_evenly_spread(spark):
     rows = [(i, "x " * 500, "en", f"s{i % 4}", 1) for i in range(800)]
     frame = spark.createDataFrame(rows, DOCS)
