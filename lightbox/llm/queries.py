@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lightbox.llm import (
-    decontamination, exact_dedup, line_dedup, mixing, quality, simhash, token_counts, toxicity, url_filter, warc,
+    conversation_repair, decontamination, exact_dedup, line_dedup, mixing, quality, simhash, token_counts, toxicity, url_filter, warc,
 )
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -176,3 +176,84 @@ from streams s join goals g on s.source is not distinct from g.source
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that a mix of all sources takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
+# CRC-32 of an ASCII string, bit by bit, and the three ways on from each state of a repair.
+CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(k) + 1), lambda i: ascii(k[i])::bigint)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]),
+    lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+STEP = "{{'cost': {q}.cost + {cost}, 'audit': '{edit}' || {q}.audit, 'lines': {line}}}"
+
+
+def _ways(state: int) -> str:
+    """SQL: the cheapest way on at turn ``i`` from a state, without insertions."""
+    speak, to = ("assistant", 3) if state == 2 else ("user", 2)
+    rest = lambda role, q: f"concat({role}, ':', text, case when {q}.lines = '' then '' else chr(10) end, {q}.lines)"
+    ways = [STEP.format(q=f"q{state}", cost=4, edit="D", line=f"q{state}.lines")]
+    reroled = STEP.format(q=f"q{to}", cost="3 + extra", edit="R", line=rest(f"'{speak}'", f"q{to}"))
+    ways.append(f"case when not gone then {reroled} end")
+    for initial, onward in {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}[state].items():
+        kept = STEP.format(q=f"q{onward}", cost="extra", edit="K", line=rest("role", f"q{onward}"))
+        ways.append(f"case when not gone and role[1:1] = '{initial}' then {kept} end")
+    return f"list_min([{', '.join(ways)}])"
+
+
+def _inserted(own: str, role: str, other: str) -> str:
+    line = f"concat('{role}:', case when {other}.lines = '' then '' else chr(10) end, {other}.lines)"
+    return f"list_min([{own}, {STEP.format(q=other, cost=3, edit='I', line=line)}])"
+
+
+@query("op11_conversation_repair", f"""
+with recursive hit as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {CRC} % 20 as h
+  from (select *, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations)
+),
+damaged as (
+  select conv_id, turn, case when h = 4 then 'user' else role end as role,
+    case when h = 1 then '' when h = 2 then translate(text, '.!?', '') else text end as text,
+    unnest(case when h = 3 then [1, 2] else [1] end) as copy
+  from hit where h <> 0
+),
+placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as body
+  from damaged
+),
+marked as (
+  select *, body = '' as blank, row_number() over (partition by conv_id, role, text order by i) > 1 and body <> '' as dup,
+    body[-1:] not in ('.', '!', '?') as cut, lag(role) over (partition by conv_id order by i) as r0
+  from placed
+),
+faults as (
+  select *, blank or dup as gone, case when cut and not blank and not dup then 3 else 0 end as extra from marked
+),
+walk as (
+  select conv_id, max(i) as i, {{'cost': 0, 'audit': '', 'lines': ''}} as q0, {{'cost': 6, 'audit': 'II', 'lines': 'user:' || chr(10) || 'assistant:'}} as q1,
+    {{'cost': 3, 'audit': 'I', 'lines': 'assistant:'}} as q2, {{'cost': 0, 'audit': '', 'lines': ''}} as q3
+  from faults group by conv_id
+  union all
+  select conv_id, i - 1, {_inserted("p0", "user", "p2")}, {_inserted("p1", "user", "p2")}, p2, p3
+  from (
+    select conv_id, i, p0, p1, {_inserted("p2", "assistant", "p3")} as p2, {_inserted("p3", "user", "p2")} as p3
+    from (
+      select w.conv_id, w.i, {", ".join(f"{_ways(q)} as p{q}" for q in range(4))}
+      from walk w join faults f on w.i = f.i and w.conv_id is not distinct from f.conv_id
+    )
+  )
+),
+counts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count_if(blank) as blank,
+    count_if(dup) as duplicate, count_if(extra > 0) as truncated,
+    count_if(r0 is not null and r0[1:1] || role[1:1] not in ('su', 'ua', 'au')) as illegal
+  from faults group by conv_id
+)
+select o.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+  coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(q0.cost, 0)::bigint as cost,
+  coalesce(q0.audit, '') as audit, sha256(coalesce(q0.lines, '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join counts c on o.conv_id is not distinct from c.conv_id
+  left join (select * from walk where i = 0) w on o.conv_id is not distinct from w.conv_id
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text of every conversation after damage."""
+    turns = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_report(conversation_repair.damaged(turns), turns)
