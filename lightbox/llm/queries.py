@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lightbox.llm import (
     conversation_repair, decontamination, exact_dedup, line_dedup, mixing, quality, simhash, token_counts, toxicity, url_filter, warc,
+    whitening,
 )
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -257,3 +258,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, cheapest edits and repaired text of every conversation after damage."""
     turns = table(spark, sf_dir, "conversations")
     return conversation_repair.repair_report(conversation_repair.damaged(turns), turns)
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whitened components of every vector, with exact deviations and the fit's own error."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whitened(vectors, whitening.train(vectors))
