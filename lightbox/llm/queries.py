@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lightbox.llm import (
-    conversation_repair, decontamination, exact_dedup, line_dedup, mixing, quality, simhash, token_counts, toxicity, url_filter, warc,
+    conversation_repair, decontamination, exact_dedup, line_dedup, mixing, pii, quality, simhash, token_counts, toxicity, url_filter, warc,
     whitening,
 )
 
@@ -260,6 +260,12 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_report(conversation_repair.damaged(turns), turns)
 
 
+@query("op12_personal_data")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: the base patterns, and what a classifier trained on weak votes adds."""
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 @query("op13_embedding_whitening")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whitened components of every vector, with exact deviations and the fit's own error."""
