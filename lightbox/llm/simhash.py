@@ -29,34 +29,54 @@ BITS = 64
 # Keys with more distinct fingerprints than this are compared block by block.
 BLOCK = 16_384
 SHINGLES_AT_ONCE = 65_536
-# Min-hash bands: a pair of Jaccard similarity s shares one with probability 1 - (1 - s ** 5) ** 16.
-BANDS, BAND_ROWS = 16, 5
-_SEEDS = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), np.uint64)
+# Crowds of one key are compared in blocks of so many nodes, and one node meets so many in a task.
+CROWD = 4_096
+BINS = 256  # of the signatures that prune the pairs of a crowded key
+RECALL = 0.998  # of the bands, at the similarity asked for
 
 
-def fingerprint(text: bytes | None, shingle: int) -> int:
-    """Majority of the XXH64 bits over all word shingles, as a signed 64-bit number.
+def band_plan(similarity: float, recall: float = RECALL) -> tuple[int, int]:
+    """(bands, rows): a pair of Jaccard similarity s shares a band of r min-hashes with probability
+    1 - (1 - s ** r) ** bands. The longest rows, five at most, that reach ``recall`` in 32 bands."""
+    if not 0 < similarity <= 1:
+        raise ValueError("the similarity must be above 0 and at most 1")
+    for rows in (5, 4, 3, 2, 1):
+        hit = min(similarity**rows, 1 - 1e-9)
+        bands = int(np.ceil(np.log(1 - recall) / np.log(1 - hit)))
+        if bands <= 32 or rows == 1:
+            return bands, rows
+
+
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """XXH64 of every word shingle in order, repeats included; empty without words.
 
     A-Z are lower-cased and words are split at ASCII white space. A text of
-    fewer words is one shingle; one without words has fingerprint 0.
+    fewer words is one shingle.
     """
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     n = max(1, len(words) - shingle + 1)
     starts = np.concatenate([[0], ends[: n - 1]]).tolist()
     stops = (ends[min(shingle, len(words)) - 1 :][:n] - 1).tolist()
     digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as a signed 64-bit number; 0 without any."""
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, n, SHINGLES_AT_ONCE):
-        hashes = np.array(
-            [digest(joined[a:b], 42) for a, b in zip(starts[at : at + SHINGLES_AT_ONCE], stops[at : at + SHINGLES_AT_ONCE])],
-            dtype=">u8",
-        )
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n).view(">i8")[0])
+    for at in range(0, len(hashes), SHINGLES_AT_ONCE):
+        part = hashes[at : at + SHINGLES_AT_ONCE].astype(">u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
+
+
+def fingerprint(text: bytes | None, shingle: int) -> int:
+    """Majority of the XXH64 bits over all word shingles; a text without words has fingerprint 0."""
+    return majority(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
@@ -231,53 +251,42 @@ def near_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", shingle
     )
 
 
-def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
-    """Sorted distinct XXH64 hashes of the word shingles that :func:`fingerprint` counts; empty without words."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    n = max(1, len(words) - shingle + 1)
-    starts = np.concatenate([[0], ends[: n - 1]]).tolist()
-    stops = (ends[min(shingle, len(words)) - 1 :][:n] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops)), np.uint64, n))
-
-
-def min_hash_bands(shingles: np.ndarray) -> np.ndarray:
-    """One key per band: a hash of its number and of the least values of five seeded orders; none without shingles."""
+def min_hash_bands(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One key per band: a hash of its number and of the least values of ``rows`` seeded orders; none without shingles."""
     if not len(shingles):
         return np.empty(0, np.int64)
-    xor, odd = _SEEDS[0], _SEEDS[1] | np.uint64(1)
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    xor, odd = np.random.default_rng(42).integers(0, 1 << 64, (2, bands * rows, 1), np.uint64)
+    odd |= np.uint64(1)
+    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), 2_048):
         values = (shingles[None, at : at + 2_048] ^ xor) * odd
         values ^= values >> np.uint64(29)
         values *= odd
         np.minimum(least, values.min(axis=1), out=least)
-    keys = [xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, BAND_ROWS))]
+    keys = [xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(bands, rows))]
     return np.array(keys, np.uint64).view(np.int64)
 
 
-def shingle_nodes(docs: DataFrame, text: str, shingle: int) -> DataFrame:
-    """The columns of ``docs`` but a plain ``text``, and ``node``, a hash of the shingle set, equal
-    for equal sets, and ``bands``, its min-hash keys."""
-    kept = [f for f in docs.schema.fields if f.name != text]
+def sketches(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(row_no, doc_id, fp, node, bands) of (row_no, doc_id, text): fingerprint, a hash of the shingle set,
+    equal for equal sets, and its min-hash keys, all from one hashing of the text."""
+    bands, rows = band_plan(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.name for f in kept]
-        for batch, texts in pieces(batches, text):
-            nodes, bands = np.empty(len(texts), np.uint64), []
+        for batch, texts in pieces(batches, "text"):
+            fps, nodes, keys = np.empty(len(texts), np.int64), np.empty(len(texts), np.uint64), []
             for i, t in enumerate(texts):
-                shingles = shingle_set(t, shingle)
+                hashes = shingle_hashes(t, shingle)
+                fps[i] = majority(hashes)
+                shingles = np.unique(hashes)
                 nodes[i] = xxhash.xxh64_intdigest(shingles.tobytes())
-                bands.append(min_hash_bands(shingles))
-            columns = [pa.array(nodes.view(np.int64)), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *columns], [*names, "node", "bands"])
+                keys.append(min_hash_bands(shingles, bands, rows))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row_no"), batch.column("doc_id"), pa.array(fps), pa.array(nodes.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
+                ["row_no", "doc_id", "fp", "node", "bands"],
+            )
 
-    added = [T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
-    return docs.mapInArrow(run, T.StructType([*kept, *added]))
+    return docs.mapInArrow(run, "row_no long, doc_id long, fp long, node long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
@@ -285,7 +294,7 @@ def shingle_sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, text):
-            sets = [shingle_set(t, shingle).view(np.int64) for t in texts]
+            sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts]
             ends = np.cumsum([0, *map(len, sets)])
             values = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(sets)))
             yield pa.RecordBatch.from_arrays([batch.column("node"), values.cast(pa.list_(pa.int64()))], ["node", "shingles"])
@@ -294,71 +303,149 @@ def shingle_sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
 
 
 def similar_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose shingle sets have a Jaccard similarity of ``similarity`` or more."""
+    """The pairs (u, v, meets) whose shingle sets have a Jaccard similarity of ``similarity`` or more.
+
+    ``meets`` bounds how many partners v has: from ``CROWD`` on its set is copied, so no
+    task compares one node with more than about that many others.
+    """
+    parts = F.ceil(F.col("meets") / CROWD).cast("int")
+    salted = pairs.select("u", "v", F.pmod(F.xxhash64("u"), parts).cast("int").alias("part"))
+    hubs = pairs.where(F.col("meets") > CROWD).groupBy("v").agg(F.max(parts).alias("parts"))
     one = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
     other = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
+    copies = other.join(hubs, "v", "left").select(
+        "v", "b", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+    )
     both = F.size(F.array_intersect("a", "b"))
-    return pairs.join(one, "u").join(other, "v").where(
+    return salted.join(one, "u").join(copies, ["v", "part"]).where(
         F.least(F.size("a"), F.size("b")) / F.greatest(F.size("a"), F.size("b")) >= similarity
     ).where(both / (F.size("a") + F.size("b") - both) >= similarity).select("u", "v")
 
 
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """16 bits of the least shingle hash in each of ``BINS`` bins, 0 for an empty bin."""
+    bins = (shingles % np.uint64(BINS)).astype(np.int64)
+    # Sorted hashes: the first one of a bin is its least.
+    at, first = np.unique(bins, return_index=True)
+    out = np.zeros(BINS, np.uint16)
+    out[at] = np.maximum((shingles[first] >> np.uint64(20)).astype(np.uint16), 1)
+    return out
+
+
+def alike(one: np.ndarray, others: np.ndarray, similarity: float) -> np.ndarray:
+    """Which signatures may belong to sets of ``similarity`` with ``one``: their share of equal bins lies at most
+    four standard errors below it (3 in 100,000 of the pairs at the similarity lie lower, fewer above)."""
+    filled = ((one != 0) | (others != 0)).sum(axis=1)
+    equal = ((one == others) & (one != 0)).sum(axis=1)
+    return equal >= filled * similarity - 4 * np.sqrt(filled * similarity * (1 - similarity)) - 1e-9
+
+
+def signatures(sets: DataFrame) -> DataFrame:
+    """(node, sig) of shingle sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("shingles")
+            made = [signature(np.sort(lists[i].values.to_numpy().view(np.uint64))).tobytes() for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made, pa.binary())], ["node", "sig"])
+
+    return sets.mapInArrow(run, "node long, sig binary")
+
+
+def _crowd_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) of the nodes of one key whose labels differ and whose signatures are alike. No pair is
+    made of others. ``rows`` has (key, label, node, sig, n); a key of more than ``CROWD`` nodes is cut into blocks,
+    whose pairs are compared in tasks of their own."""
+    blocks = F.ceil(F.col("n") / CROWD).cast("int")
+    placed = rows.withColumns({"mine": F.pmod(F.xxhash64("node"), blocks).cast("int"), "blocks": blocks})
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "mine",
+        (F.col("mine") == F.col("other")).alias("own"), "label", "node", "sig",
+    )
+
+    def pairs(group: list[tuple]) -> tuple[list[int], list[int]]:
+        mine, own, label, node = (np.array([g[i] for g in group]) for i in range(4))
+        sig = np.frombuffer(b"".join(g[4] for g in group), np.uint16).reshape(len(group), BINS)
+        u, v = [], []
+        for i in range(len(group) - 1):
+            rest = np.flatnonzero((label[i + 1 :] != label[i]) & (own[i] | (mine[i + 1 :] != mine[i]))) + i + 1
+            hit = rest[alike(sig[i], sig[rest], similarity)]
+            u += np.maximum(node[hit], node[i]).tolist()
+            v += np.minimum(node[hit], node[i]).tolist()
+        return u, v
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, group = None, []
+        for batch in batches:
+            for row in zip(*[batch.column(i).to_pylist() for i in range(6)]):
+                if row[0] != cell and group:
+                    u, v = pairs(group)
+                    yield pa.record_batch({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+                    group = []
+                cell = row[0]
+                group.append(row[1:])
+        if group:
+            u, v = pairs(group)
+            yield pa.record_batch({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return spread.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long").distinct()
+
+
 def verified_components(keys: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(id, component) over the nodes that share a key and have similar sets, by chains.
 
-    ``keys`` has (key, node, least), least being the key's least node. Every node is
+    ``keys`` has (key, node, least, n): the key's least node and its number of nodes. Every node is
     compared with that one first, so the members of a large group of true copies
     meet in a number of pairs linear in its size. Nodes of one key that are not
-    connected by then are all compared with each other.
+    connected by then are compared with each other where their signatures are alike.
     """
-    first = durable(keys.where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct())
+    first = durable(keys.where("node <> least").groupBy(F.col("node").alias("u"), F.col("least").alias("v")).agg(F.max("n").alias("meets")))
     links = durable(similar_links(first, sets, similarity))
     labels = connected_components(links)
     known = durable(
         keys.join(labels.withColumnRenamed("id", "node"), "node", "left").select(
-            "key", "node", F.coalesce("component", "node").alias("label")
+            "key", "node", "n", F.coalesce("component", "node").alias("label")
         )
     )
     open_keys = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     known = durable(known.join(open_keys, "key", "left_semi"))
-    other = known.select("key", F.col("node").alias("v"), F.col("label").alias("v_label"))
-    rest = known.join(other, "key").where("label > v_label").select(
-        F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")
-    ).distinct().join(first, ["u", "v"], "left_anti")
-    return connected_components(durable(links.unionByName(similar_links(durable(rest), sets, similarity))))
+    if known.isEmpty():
+        return labels
+    signed = durable(signatures(sets.join(known.select("node").distinct(), "node", "left_semi")))
+    rest = _crowd_pairs(known.join(signed, "node"), similarity).join(first.select("u", "v"), ["u", "v"], "left_anti")
+    more = similar_links(durable(rest.withColumn("meets", F.lit(1))), sets, similarity)
+    return connected_components(durable(links.unionByName(more)))
 
 
 def drop_near_copies(
-    docs: DataFrame, text: str = "text", id: str = "doc_id", shingle: int = 5, radius: int = 7, similarity: float = 0.8
+    docs: DataFrame, text: str = "text", id: str = "doc_id", shingle: int = 5, radius: int = 3, similarity: float = 0.8
 ) -> DataFrame:
     """One row of each group stays, whole: the one with the least id, then any one of equal ids.
 
     Documents are linked if the sets of their five-word shingles have a Jaccard
-    similarity of ``similarity`` or more. Keys name the candidates only, which are
-    compared on the sets: whatever chains of at most ``radius`` fingerprint bits
-    connect, and sets that share a min-hash band. Fingerprints alone are too coarse:
-    sets of similarity 0.8 are about ten bits apart, and a radius that wide leaves keys
-    too short for large corpora. Bands reach 99.8 % of the pairs at 0.8 and more above.
-    Rows without an id stay only if their group has no other row.
+    similarity of ``similarity`` or more. Candidates are fingerprints within ``radius`` bits of each other
+    and sets that share a min-hash band; all are compared on the sets. Fingerprints alone are too
+    coarse: sets of similarity 0.8 are about ten bits apart, and a radius that wide leaves keys
+    too short for large corpora. Bands reach 99.8 % of the pairs at ``similarity`` and more above.
+    Rows without an id stay only if their group has no other row. Null and empty texts are one group.
+    An empty table gives no rows; columns with any names are kept.
     """
-    named = docs.select(whole_row(docs), F.col(id).cast("long").alias("doc_id"))
-    marked = shingle_nodes(fingerprints(named, f"row.{text}", shingle), f"row.{text}", shingle)
-    rows = durable(marked.withColumn("row_no", F.monotonically_increasing_id()))
-    narrow = rows.select("row_no", "doc_id", "fp", "node")
+    rows = durable(docs.select(whole_row(docs), F.col(id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_no")))
+    texts = rows.select("row_no", "doc_id", F.col(f"row.`{text}`").alias("text"))
+    narrow = durable(sketches(texts, shingle, similarity))
     # Equal sets have equal bands.
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_no")).alias("best")
-    distinct = durable(rows.select("row_no", "doc_id", "node", "bands").groupBy("node").agg(best, F.min("bands").alias("bands")))
-    near = connected_components(fingerprint_links(narrow.select("fp").distinct(), radius)).withColumnRenamed("id", "fp")
-    named_nodes = narrow.select("node", "fp").distinct()
-    ring = named_nodes.join(near, "fp", "left").select(
-        F.xxhash64(F.lit("ring"), F.coalesce("component", "fp")).alias("key"), "node"
-    ).distinct()
-    keys = ring.unionByName(distinct.select(F.explode("bands").alias("key"), "node"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    distinct = durable(narrow.groupBy("node").agg(best, F.min("bands").alias("bands"), F.min("fp").alias("fp")))
+    by_fp = distinct.groupBy("fp").agg(F.min("node").alias("node"))
+    close = fingerprint_links(durable(by_fp).select("fp"), radius)
+    # A linked pair of fingerprints is a key of its own; equal fingerprints share one.
+    linked = close.where("u <> v").select(F.xxhash64(F.lit("pair"), "u", "v").alias("key"), F.explode(F.array("u", "v")).alias("fp"))
+    ring = linked.join(by_fp, "fp").select("key", "node").unionByName(distinct.select(F.xxhash64(F.lit("same"), "fp").alias("key"), "node"))
+    keys = durable(ring.unionByName(distinct.select(F.explode("bands").alias("key"), "node")))
+    shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
     keys = durable(keys.join(shared, "key"))
     wanted = keys.select("node").distinct().join(distinct, "node").select("node", F.col("best.row_no").alias("row_no"))
-    texts = rows.select("row_no", F.col(f"row.`{text}`").alias("text")).join(durable(wanted), "row_no")
-    sets = durable(shingle_sets(texts, "text", shingle))
+    sets = durable(shingle_sets(texts.select("row_no", "text").join(durable(wanted), "row_no"), "text", shingle))
     nodes = verified_components(keys, sets, similarity)
     winners = (
         distinct.join(nodes.withColumnRenamed("id", "node"), "node", "left")
@@ -367,5 +454,5 @@ def drop_near_copies(
     )
     # The rows that go are few in a corpus without exact copies; their written size
     # lets the planner decide whether they can be broadcast, and the texts stay in place.
-    losers = durable(narrow.join(winners, "row_no", "left_anti").select("row_no"))
+    losers = durable(narrow.select("row_no").join(winners, "row_no", "left_anti"))
     return rows.join(losers, "row_no", "left_anti").select("row.*")

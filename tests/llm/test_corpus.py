@@ -194,9 +194,7 @@ def test_simhash_groups(spark, docs, clashing):
     assert sorted((str(r.doc_id), str(r.component_id)) for r in rows) == want
     kept = simhash.drop_near_copies(clashing)
     assert kept.columns == clashing.columns
-    f5 = np.array([brute_fingerprint(t[1], 5) for t in ODD], np.uint64)
-    a, b = np.nonzero(np.bitwise_count(f5[:, None] ^ f5[None, :]) <= 7)
-    assert kept.count() == len(set(min_labels(a, b)[1].tolist()))
+    assert kept.count() == len(set(near_labels([t[1] for t in ODD])))
 
 
 def brute_shingles(text):
@@ -208,6 +206,13 @@ def jaccard(a, b):
     return len(a & b) / len(a | b)
 
 
+def near_labels(texts):
+    """The least position that chains of Jaccard similarity 0.8 reach from each text; texts without words are alike."""
+    sets = [brute_shingles(t or "") for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i + 1) if sets[i] == sets[j] or (sets[i] and sets[j] and jaccard(sets[i], sets[j]) >= 0.8)]
+    return min_labels(*map(np.array, zip(*pairs)))[1].tolist()
+
+
 def edited(base, rng, changes):
     """``base`` with some words replaced by new ones."""
     out = list(base)
@@ -246,6 +251,59 @@ def test_near_copies_are_found_at_the_similarity(spark):
     assert sorted(r.doc_id for r in kept.collect()) == ids[ids == least].tolist()
 
 
+def test_bands_reach_the_similarity():
+    for similarity in (0.3, 0.5, 0.6, 0.8, 0.9, 1.0):
+        bands, rows = simhash.band_plan(similarity)
+        assert 1 - (1 - similarity**rows) ** bands >= 0.99
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.65])
+def test_near_copies_at_other_similarities(spark, similarity):
+    rng, texts = np.random.default_rng(8), []
+    for n in (60, 90, 120):
+        base = [f"b{rng.integers(1 << 40)}" for _ in range(n)]
+        texts += [" ".join(base), *(edited(base, rng, int(rng.integers(1, 1 + n // 14))) for _ in range(6))]
+    kept = simhash.drop_near_copies(
+        spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], DOCS), similarity=similarity
+    )
+    sets = [brute_shingles(t) for t in texts]
+    u, v = zip(*((i, j) for i in range(len(sets)) for j in range(i + 1) if jaccard(sets[i], sets[j]) >= similarity))
+    ids, least = min_labels(np.array(u), np.array(v))
+    assert sorted(r.doc_id for r in kept.collect()) == ids[ids == least].tolist()
+
+
+@pytest.mark.parametrize("crowd", [4_096, 20])
+def test_template_keys(spark, monkeypatch, crowd):
+    """Pages of one template share keys but are no copies: few pairs are compared in full, whole or in blocks."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    rng = np.random.default_rng(9)
+    base = [f"b{rng.integers(1 << 40)}" for _ in range(120)]
+    texts = [edited(base, rng, 6) for _ in range(150)]
+    texts += [t + " tail" for t in texts[:10]]
+    rows = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], DOCS)
+    label = near_labels(texts)
+    kept = simhash.drop_near_copies(rows)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
+    sets = [np.sort(np.array([hash(x) & (2**64 - 1) for x in brute_shingles(t)], np.uint64)) for t in texts]
+    sig = [simhash.signature(x) for x in sets]
+    key = spark.createDataFrame([(1, i, i, sig[i].tobytes(), len(texts)) for i in range(len(texts))], "key long, label long, node long, sig binary, n long")
+    pairs = {(r.u, r.v) for r in simhash._crowd_pairs(key, 0.8).collect()}
+    assert {(150 + i, i) for i in range(10)} <= pairs and len(pairs) < 3 * len(texts)
+
+
+def test_signatures_keep_similar_pairs():
+    rng = np.random.default_rng(10)
+    lost = 0
+    for _ in range(2_000):
+        n = int(rng.integers(20, 900))
+        same = int(np.ceil(0.8 * n))
+        one = rng.integers(0, 1 << 64, n, np.uint64, endpoint=False)
+        left = (n - same) // 2
+        a, b = np.sort(one[: same + left]), np.sort(np.concatenate([one[:same], one[same + left :]]))
+        lost += not simhash.alike(simhash.signature(a), simhash.signature(b)[None, :], 0.8)[0]
+    assert lost <= 2
+
+
 def test_crowded_keys_are_compared_in_blocks(spark):
     rng = np.random.default_rng(2)
     base = int(rng.integers(0, 2**62))
