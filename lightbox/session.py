@@ -68,6 +68,14 @@ def temporary_tables(spark: SparkSession) -> Iterator[None]:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def shared_folder(spark: SparkSession, kind: str, keep: bool = False) -> str:
+    """A new path below the checkpoint folder. Unless ``keep`` is set, it goes with a surrounding :func:`temporary_tables`."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    if _scopes and not keep:
+        _scopes[-1].append(path)
+    return path
+
+
 def durable(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write ``df`` below the checkpoint folder and read it back, cutting its lineage.
 
@@ -78,8 +86,6 @@ def durable(df: DataFrame, keep: bool = False) -> DataFrame:
     also keeps column pruning and tells its true size to the join planner.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/durable-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "durable", keep)
     df.write.parquet(path)
-    if _scopes and not keep:
-        _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
