@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -18,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lightbox.session import durable, ensure_checkpoint_dir
+from lightbox.session import durable, shared_folder
 
 MIN_REVISIT_BYTES = 100
-# Records of one file at most; a file is read back whole by one task.
-FILE_RECORDS = 5_000
+# A file is read back whole by one task. Payloads of at most so many bytes go so many to a
+# file, about 80 MB; longer ones than the last are files of their own.
+FILE_SIZES = ((16_384, 5_000), (262_144, 300), (4_194_304, 20))
+RANGE_ROWS = 200_000  # index entries that a merging task holds, about
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -52,24 +53,24 @@ def _header_value(value: Column) -> Column:
 
 
 def plan_records(pages: DataFrame, id: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
-    """Record type and reference of each page: of equal payloads of at least 100 bytes the
-    least id is the response; the digest's least id is aggregated, then joined by digest."""
+    """(row_no, page_id, url, body, n_bytes, digest, url_key, date) of every page, written once: a row keeps its
+    number whatever order the input is read in again."""
     body = F.coalesce(F.col(payload), F.lit(""))
-    rows = pages.select(
+    return durable(pages.select(
+        F.monotonically_increasing_id().alias("row_no"),
         F.col(id).cast("long").alias("page_id"), F.col(url).alias("url"), body.alias("body"),
         F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("digest"),
         url_key(F.col(url)).alias("url_key"), capture_time(F.col(id).cast("long")).alias("date"),
-    ).withColumn("row_no", F.monotonically_increasing_id())
-    return rows
+    ))
 
 
 def write_archives(pages: DataFrame, path: str, id: str = "page_id", url: str = "url", payload: str = "html") -> None:
-    """Write one WARC record per page below ``path``: gzipped files of at most 5,000 records,
-    each in the order of URL key and capture time.
+    """Write one WARC record per page below ``path``: gzipped files of about 80 MB of payload at most
+    (or one longer page), each in the order of URL key and capture time.
 
     A revisit carries the HTTP header of its payload and refers to the response.
     Of rows with the same id and payload one is the response; rows without an id
-    come after all others.
+    come after all others. An empty table writes nothing.
     """
     rows = plan_records(pages, id, url, payload)
     # Which row answers for a digest: decided on (digest, id) alone, for digests seen more than once.
@@ -96,11 +97,18 @@ def write_archives(pages: DataFrame, path: str, id: str = "page_id", url: str =
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"),
         F.lit(END),
     )
-    (
-        joined.sortWithinPartitions("url_key", "date", F.asc_nulls_last("page_id"))
-        .select(F.concat(header, block).alias("value"))
-        .write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
-    )
+    records = joined.select("n_bytes", "url_key", "date", "page_id", F.concat(header, block).alias("value"))
+    # Files are cut by the size class of their payloads; classes without rows cost nothing.
+    classes = [*FILE_SIZES, (None, 1)]
+    size_class = F.lit(len(classes) - 1)
+    for i, (most, _) in reversed(list(enumerate(FILE_SIZES))):
+        size_class = F.when(F.col("n_bytes") <= most, i).otherwise(size_class)
+    for (number,) in rows.select(size_class).distinct().collect():
+        (
+            records.where(size_class == number).sortWithinPartitions("url_key", "date", F.asc_nulls_last("page_id"))
+            .select("value").write.mode("append").option("lineSep", END).option("compression", "gzip")
+            .option("maxRecordsPerFile", classes[number][1]).text(path)
+        )
 
 
 HEADER = re.compile(rb"([A-Za-z-]+): ?([^\r\n]*)")
@@ -168,6 +176,11 @@ def read_archives(pages_path: str, spark) -> DataFrame:
     return files.mapInArrow(run, schema).withColumn("url_key", url_key(F.col("url")))
 
 
+def _exists(spark, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 class LoserTree:
     """Merges sorted runs: an inner node keeps the loser of its match, the winner moves up."""
 
@@ -212,7 +225,7 @@ def merge_index(index: DataFrame, ranges: int | None = None) -> DataFrame:
     A URL captured very often spreads over several ranges, because splitters cut by
     time as well. A range holds its index entries in memory, not the payloads.
     """
-    ranges = ranges or int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges or max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), index.count() // RANGE_ROWS + 1)
     order = ["url_key", "date", F.asc_nulls_last("page_id"), "run", "position"]
     sliced = index.select(*[x.split()[0] for x in INDEX.split(", ")]).repartitionByRange(ranges, *order)
     # Slices of runs arrive in any order; each is put back in run order, as written.
@@ -244,6 +257,8 @@ def capture_history(pages: DataFrame, id: str = "page_id", url: str = "url", pay
     empty, null URLs have an empty key; an empty table gives an empty result.
     """
     spark = pages.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "warc")
     write_archives(pages, path, id, url, payload)
+    if not _exists(spark, path):
+        return merge_index(spark.createDataFrame([], INDEX))
     return merge_index(durable(read_archives(path, spark)))

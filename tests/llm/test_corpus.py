@@ -4,13 +4,14 @@ import hashlib
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from lightbox.llm import (
-    decontamination, exact_dedup, line_dedup, mixing, quality, simhash, token_counts, toxicity, url_filter, warc,
+    decontamination, exact_dedup, line_dedup, mixing, quality, queries, simhash, token_counts, toxicity, url_filter, warc,
 )
 from lightbox.llm.fm_index import FMIndex
 from lightbox.llm.pu_learning import fit_nnpu, risk
@@ -603,6 +604,45 @@ def test_warc(spark):
     assert warc.capture_history(frame.limit(0)).count() == 0
 
 
+def unstable(frame):
+    """The same rows, read in another order by every plan: round robin deals by what is left after pruning."""
+    return frame.repartition(7).where("page_id >= 0").unionByName(frame.where("page_id < 0"))
+
+
+@pytest.mark.parametrize("shape", [lambda f: f, lambda f: f.repartition(7), lambda f: f.repartition(5, "url"), unstable])
+def test_warc_decides_once(spark, shape):
+    """One response per payload whatever plan the pages come from, and no payload is lost."""
+    pages = [(i, f"http://h{i % 11}.org/{i}", f"payload {i % 50} " * 20) for i in range(600)]
+    frame = shape(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3))
+    out = warc.capture_history(frame).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in out) == [
+        (i, "response", None) if i < 50 else (i, "revisit", i % 50) for i in range(600)
+    ]
+
+
+def test_warc_matches_its_sql_on_copies(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    pages = [(int(i), f"http://h.org/{i}", None if i % 9 == 0 else f"body {rng.integers(40)} " * int(rng.integers(5, 20))) for i in rng.permutation(500)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    frame.toPandas().to_parquet(tmp_path / "pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet'")
+    out = queries.QUERIES["op8_warc"](spark, str(tmp_path))
+    assert sorted(map(tuple, out.collect())) == sorted(con.sql(queries.CHECKS["op8_warc"]).fetchall())
+    assert warc.capture_history(frame).where("record_type = 'revisit'").count() > 100
+
+
+def test_warc_files_are_cut_by_bytes(spark, tmp_path):
+    """Very long pages are files of their own; every page comes back whole."""
+    sizes = [10] * 40 + [200_000] * 4 + [3_000_000] * 2 + [30_000_000]
+    pages = [(i, f"u://{i}", chr(97 + i % 26) * n) for i, n in enumerate(sizes)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(frame, str(tmp_path / "w"))
+    assert len(list((tmp_path / "w").glob("*.gz"))) == 4
+    back = warc.read_archives(str(tmp_path / "w"), spark).collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in back) == list(enumerate(sizes))
+
+
 def test_loser_tree():
     rng = np.random.default_rng(9)
     for k in (0, 1, 2, 3, 7, 16):
