@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from lightbox.functions import vectors as V
 from lightbox.operators import catalog as C
-from lightbox.plans.cells import BLOCK_ROWS, nearest_within_cells, pairs_within
+from lightbox.plans.cells import BLOCK_ROWS, pairs_within
 from lightbox.plans.components import connected_components
+from lightbox.plans.nearest import nearest
 from lightbox.plans.ordered import positions
 from lightbox.session import durable
 
@@ -93,7 +94,7 @@ def knn_join(
     Candidates come already cut to k per query and block; the rank filter is a
     window limit, so partial lists are cut again before they are shuffled.
     """
-    found = nearest_within_cells(queries, corpus, k, skip_same_id, block_rows, skip)
+    found = nearest(queries, corpus, k, skip_same_id, block_rows, skip)
     if max_distance is not None:
         found = found.where(F.col("distance") <= max_distance)
     order = Window.partitionBy("query_id").orderBy("distance", "id")

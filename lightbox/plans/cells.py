@@ -17,10 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lightbox.functions.vectors import from_matrix, to_matrix, unit_rows
+from lightbox.functions.vectors import to_matrix, unit_rows
 from lightbox.plans.components import forest
 
 BLOCK_ROWS = 4096
+# What one side of a comparison may hold; a crowded cell is compared as a grid of tiles, whose
+# sides grow with the crowd up to this size, so a row is copied about sqrt(blocks) times.
+TILE_BYTES = 48 << 20
 MAX_PIVOTS = 1024
 STRIP_ROWS = 512
 SLACK = 1e-6
@@ -80,31 +83,25 @@ def choose_pivots(vectors: DataFrame, n: int, dim: int, block_rows: int = BLOCK_
     return pivots
 
 
-def _batch(ids, weight, cell, home, units) -> pa.RecordBatch:
-    return pa.record_batch(
-        {
-            "id": pa.array(ids, pa.int64()),
-            "weight": pa.array(weight, pa.int64()),
-            "cell": pa.array(cell, pa.int32()),
-            "home": pa.array(home, pa.bool_()),
-            "embedding": from_matrix(units),
-        }
-    )
-
-
-CELL_ROW = "id long, weight long, cell int, home boolean, embedding array<double>"
 # Rows sent to other cells leave in slices of this size, so a batch never multiplies in memory.
 EMIT_ROWS = 8192
 
 
 def _place(
-    ids: np.ndarray, weight: np.ndarray, units: np.ndarray, home: np.ndarray, guest: np.ndarray
+    rows: pa.RecordBatch, home: np.ndarray, guest: np.ndarray
 ) -> Iterator[pa.RecordBatch]:
-    yield _batch(ids, weight, home, np.ones(len(ids), bool), units)
+    """The rows (id, embedding, weight) in their home cell and as guests, vectors as they are stored."""
     row, cell = np.nonzero(guest)
+    row, cell = np.concatenate([np.arange(len(home)), row]), np.concatenate([home, cell])
     for lo in range(0, len(row), EMIT_ROWS):
-        r = row[lo : lo + EMIT_ROWS]
-        yield _batch(ids[r], weight[r], cell[lo : lo + EMIT_ROWS], np.zeros(len(r), bool), units[r])
+        r = pa.array(row[lo : lo + EMIT_ROWS])
+        yield pa.RecordBatch.from_arrays(
+            [
+                rows.column(0).take(r), rows.column(2).take(r), pa.array(cell[lo : lo + EMIT_ROWS], pa.int32()),
+                pa.array(np.arange(lo, lo + len(r)) < len(home)), rows.column(1).take(r),
+            ],
+            ["id", "weight", "cell", "home", "embedding"],
+        )
 
 
 def place_for_radius(vectors: DataFrame, pivots: Pivots, radius: float) -> DataFrame:
@@ -113,23 +110,31 @@ def place_for_radius(vectors: DataFrame, pivots: Pivots, radius: float) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, STRIP_ROWS * 4):
-            ids = batch.column(0).to_numpy()
             matrix, ok = to_matrix(batch.column(1), pivots.points.shape[1])
             ok &= matrix.any(axis=1)
-            ids, weight, units = ids[ok], batch.column(2).to_numpy()[ok], unit_rows(matrix[ok])
-            if not len(ids):
+            units = unit_rows(matrix[ok])
+            if not len(units):
                 continue
             d = pivots.distances(units)
             home = d.argmin(axis=1)
             near = pivots.bisector_gap(d, home) <= radius + SLACK
             guest = near & (np.arange(d.shape[1])[None, :] < home[:, None])
-            yield from _place(ids, weight, units, home, guest)
+            yield from _place(batch.filter(pa.array(ok)), home, guest)
 
     weight = F.col("weight").cast("long") if "weight" in vectors.columns else F.lit(1).cast("long").alias("weight")
-    return vectors.select(F.col("id").cast("long"), "embedding", weight).mapInArrow(run, CELL_ROW)
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    row = f"id long, weight long, cell int, home boolean, embedding {kind}"
+    return vectors.select(F.col("id").cast("long"), "embedding", weight).mapInArrow(run, row)
 
 
-def _cut(placed: DataFrame, block_rows: int, fits_one: bool) -> DataFrame:
+def tiles(rows, block_rows: int, dim: int):
+    """Blocks that a cell of so many rows is cut into, as a column: the root of its blocks of ``block_rows``, more
+    where a block would exceed ``TILE_BYTES``."""
+    blocks = F.ceil(rows / F.lit(block_rows))
+    return F.greatest(F.ceil(F.sqrt(blocks)), F.ceil(rows * F.lit(8 * dim) / F.lit(TILE_BYTES))).cast("int")
+
+
+def _cut(placed: DataFrame, block_rows: int, dim: int, fits_one: bool) -> DataFrame:
     """Assign blocks inside cells and copy each row to the block pairs it takes part in."""
     if fits_one:
         zero = F.lit(0)
@@ -138,7 +143,7 @@ def _cut(placed: DataFrame, block_rows: int, fits_one: bool) -> DataFrame:
         )
     # One row per cell, at most MAX_PIVOTS of them.
     counts = placed.select("cell").groupBy("cell").agg(
-        F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks")
+        tiles(F.count("*"), block_rows, dim).alias("blocks")
     )
     cut = placed.join(F.broadcast(counts), "cell").withColumn(
         "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
@@ -154,7 +159,7 @@ def _matches(table: pa.Table, min_dot: float):
     """Yield (ids a, ids b, dots, weights a, weights b) of qualifying pairs of one block pair, in strips."""
     ids = table.column("id").to_numpy()
     weight = table.column("weight").to_numpy()
-    units, _ = to_matrix(table.column("embedding"))
+    units = unit_rows(to_matrix(table.column("embedding"))[0])
     home = table.column("home").to_numpy()
     block = table.column("block").to_numpy()
     lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
@@ -217,183 +222,7 @@ def pairs_within(
     out = []
     for dim, (mine, n) in by_length(vectors).items():
         placed = place_for_radius(mine, choose_pivots(mine, n, dim, block_rows), radius)
-        out.append(_cut(placed, block_rows, n <= block_rows).groupBy("cell", "lo", "hi").applyInArrow(fn, schema))
+        out.append(_cut(placed, block_rows, dim, n <= block_rows).groupBy("cell", "lo", "hi").applyInArrow(fn, schema))
     if not out:
         return vectors.sparkSession.createDataFrame([], schema)
     return reduce(DataFrame.unionByName, out)
-
-
-def nearest_within_cells(
-    queries: DataFrame, corpus: DataFrame, k: int, skip_same_id: bool,
-    block_rows: int = BLOCK_ROWS, skip: str | None = None,
-) -> DataFrame:
-    """(query_id, id, distance): candidates that contain the exact k nearest of every query,
-    among the corpus vectors of the query's own length. See :func:`_nearest_of_length`."""
-    asked = queries.where(F.col("embedding").isNotNull())
-    out = [
-        _nearest_of_length(asked.where(F.size("embedding") == dim), mine, n, dim, k, skip_same_id, block_rows, skip)
-        for dim, (mine, n) in by_length(corpus).items()
-    ]
-    if not out:
-        return queries.sparkSession.createDataFrame([], "query_id long, id long, distance double")
-    return reduce(DataFrame.unionByName, out)
-
-
-def _nearest_of_length(
-    queries: DataFrame, corpus: DataFrame, n: int, dim: int, k: int, skip_same_id: bool, block_rows: int, skip: str | None,
-) -> DataFrame:
-    """(query_id, id, distance): candidates that contain the exact k nearest of every query.
-
-    A cell is visited only if its lower distance bound does not exceed the
-    distance within which, by cell sizes and radii alone, k corpus vectors are
-    known to lie. With ``skip`` the corpus carries an array column of query ids
-    it must not answer, and the queries a column ``barred``: how many corpus rows
-    that concerns, so that enough vectors are known to remain.
-    """
-    pivots = choose_pivots(corpus, n, dim, block_rows)
-    cells = len(pivots.points)
-
-    def settle(query_blocks: np.ndarray):
-        """Corpus rows in their home cell, with the number of query blocks they meet."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, STRIP_ROWS * 4):
-                matrix, ok = to_matrix(batch.column(1), dim)
-                ok &= matrix.any(axis=1)
-                units = unit_rows(matrix[ok])
-                if not len(units):
-                    continue
-                d = pivots.distances(units)
-                home = d.argmin(axis=1)
-                cols = {
-                    "id": pa.array(batch.column(0).to_numpy()[ok], pa.int64()),
-                    "cell": pa.array(home, pa.int32()),
-                    "reach": pa.array(d[np.arange(len(d)), home]),
-                    "others": pa.array(query_blocks[home], pa.int32()),
-                    "embedding": from_matrix(units),
-                }
-                if skip is not None:
-                    cols["skip"] = batch.column(2).filter(pa.array(ok))
-                yield pa.record_batch(cols)
-
-        extra = [] if skip is None else [F.col(skip).alias("skip")]
-        return corpus.select(F.col("id").cast("long"), "embedding", *extra).mapInArrow(
-            run, "id long, cell int, reach double, others int, embedding array<double>"
-            + ("" if skip is None else ", skip array<long>"),
-        )
-
-    # At most one row per pivot.
-    found = settle(np.ones(cells, np.int64)).groupBy("cell").agg(
-        F.count("*").alias("n"), F.max("reach").alias("reach")
-    ).toArrow()
-    at = found.column("cell").to_numpy()
-    size, reach = np.zeros(cells, np.int64), np.zeros(cells)
-    size[at], reach[at] = found.column("n").to_numpy(), found.column("reach").to_numpy()
-    corpus_blocks = -(-size // block_rows)
-    need = k + 1 if skip_same_id else k
-
-    def visit(query_blocks: np.ndarray):
-        """A copy of each query for every cell it has to look into."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, STRIP_ROWS * 2):
-                matrix, ok = to_matrix(batch.column(1), dim)
-                ok &= matrix.any(axis=1)
-                ids, units = batch.column(0).to_numpy()[ok], unit_rows(matrix[ok])
-                if not len(ids):
-                    continue
-                wanted = np.full(len(ids), need, np.int64)
-                if skip is not None:
-                    wanted += batch.column(2).to_numpy()[ok]
-                d = pivots.distances(units)
-                far = np.where(size > 0, d + reach, np.inf)
-                order = far.argsort(axis=1)
-                seen = np.cumsum(size[order], axis=1)
-                enough = np.argmax(seen >= wanted[:, None], axis=1)
-                limit = np.where(
-                    seen[:, -1] >= wanted,
-                    np.take_along_axis(far, order, 1)[np.arange(len(ids)), enough], np.inf,
-                )
-                low = np.maximum(d - reach, pivots.bisector_gap(d, d.argmin(axis=1)))
-                row, cell = np.nonzero((size > 0) & (low <= limit[:, None] + SLACK))
-                for start in range(0, len(row), EMIT_ROWS):
-                    r, c = row[start : start + EMIT_ROWS], cell[start : start + EMIT_ROWS]
-                    yield pa.record_batch(
-                        {
-                            "id": pa.array(ids[r], pa.int64()),
-                            "cell": pa.array(c, pa.int32()),
-                            "own": pa.array(query_blocks[c], pa.int32()),
-                            "others": pa.array(corpus_blocks[c], pa.int32()),
-                            "embedding": from_matrix(units[r]),
-                        }
-                    )
-
-        asked = [] if skip is None else [F.col("barred").cast("long")]
-        return queries.select(F.col("id").cast("long"), "embedding", *asked).mapInArrow(
-            run, "id long, cell int, own int, others int, embedding array<double>"
-        )
-
-    visitors = np.zeros(cells, np.int64)
-    if cells == 1:
-        visitors[0] = queries.select("id").count()
-    else:
-        # At most one row per pivot.
-        counted = visit(np.ones(cells, np.int64)).groupBy("cell").agg(F.count("*").alias("n")).toArrow()
-        visitors[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
-    query_blocks = -(-visitors // block_rows)
-
-    left = visit(query_blocks).withColumns(
-        {
-            "q": F.pmod(F.xxhash64("id"), F.col("own")).cast("int"),
-            "c": F.explode(F.sequence(F.lit(0), F.col("others") - 1)),
-        }
-    )
-    # A cell nobody visits has no query blocks and drops out here.
-    right = settle(query_blocks).where(F.col("others") > 0).withColumns(
-        {
-            "c": F.pmod(F.xxhash64("id"), F.element_at(F.lit(corpus_blocks.tolist()), F.col("cell") + 1)).cast("int"),
-            "q": F.explode(F.sequence(F.lit(0), F.col("others") - 1)),
-        }
-    )
-
-    def best(lt: pa.Table, rt: pa.Table) -> pa.Table:
-        empty = pa.table(
-            {"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())}
-        )
-        if not lt.num_rows or not rt.num_rows:
-            return empty
-        qid, cid = lt.column("id").to_numpy(), rt.column("id").to_numpy()
-        order = cid.argsort()
-        cid = cid[order]
-        qm, _ = to_matrix(lt.column("embedding"), dim)
-        cm = to_matrix(rt.column("embedding"), dim)[0][order]
-        barred = None
-        if skip is not None:
-            lists = rt.column("skip").combine_chunks().take(pa.array(order))
-            sizes = np.asarray(lists.value_lengths().fill_null(0))
-            barred = (np.repeat(np.arange(len(cid)), sizes), lists.flatten().to_numpy(zero_copy_only=False))
-        out = []
-        for start in range(0, len(qid), STRIP_ROWS):
-            q = qid[start : start + STRIP_ROWS]
-            dist = np.maximum(1.0 - qm[start : start + STRIP_ROWS] @ cm.T, 0.0)
-            if skip_same_id:
-                dist[q[:, None] == cid[None, :]] = np.inf
-            if barred is not None:
-                by_id = q.argsort()
-                rows = by_id[np.minimum(np.searchsorted(q[by_id], barred[1]), len(q) - 1)]
-                hit = q[rows] == barred[1]
-                dist[rows[hit], barred[0][hit]] = np.inf
-            # Rows are in id order, so a stable sort settles equal distances by id.
-            top = np.argsort(dist, axis=1, kind="stable")[:, :k]
-            near = np.take_along_axis(dist, top, 1)
-            keep = np.isfinite(near)
-            out.append((np.repeat(q, top.shape[1])[keep.ravel()], cid[top.ravel()][keep.ravel()], near[keep]))
-        x, y, s = (np.concatenate(c) for c in zip(*out))
-        return pa.table({"query_id": x, "id": y, "distance": s})
-
-    keys = ["cell", "q", "c"]
-    return (
-        left.select(*keys, "id", "embedding").groupBy(*keys)
-        .cogroup(right.select(*keys, "id", "embedding", *([] if skip is None else ["skip"])).groupBy(*keys))
-        .applyInArrow(best, "query_id long, id long, distance double")
-    )

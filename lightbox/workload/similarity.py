@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from lightbox.functions import vectors as V
 from lightbox.operators import catalog as C
 from lightbox.operators import similarity as I
+from lightbox.plans.cells import BLOCK_ROWS
 from lightbox.plans.components import connected_components
 from lightbox.workload.registry import query
 from lightbox.workload.scalars import CATALOG_VIEWS
 
 GROUP_DISTANCE = 0.6
+# Joins are registered a second time with blocks small enough that they take many.
+SMALL_BLOCKS = 256
 
 # Unit vectors in double precision; zero vectors have no direction.
 VECTOR_VIEWS = {
@@ -137,16 +140,18 @@ def _(lib):
     return rounded(I.top_k_distance(scored, 25))
 
 
-@sql_query(
-    "i5_knn_join",
-    """select query_id, id, round(distance, 6) as distance, rank from (
-      select a.id as query_id, b.id, 1 - list_inner_product(a.u, b.u) as distance,
-        row_number() over (partition by a.id order by 1 - list_inner_product(a.u, b.u), b.id) as rank
-      from unit a join unit b on a.id <> b.id) where rank <= 5""",
-)
-def _(lib):
-    out = rounded(I.knn_join(vectors(lib), vectors(lib), 5))
-    return out.withColumn("rank", F.col("rank").cast("long"))
+for _name, _rows in (("i5_knn_join", BLOCK_ROWS), ("i5_knn_join_blocks", SMALL_BLOCKS)):
+
+    @sql_query(
+        _name,
+        """select query_id, id, round(distance, 6) as distance, rank from (
+          select a.id as query_id, b.id, 1 - list_inner_product(a.u, b.u) as distance,
+            row_number() over (partition by a.id order by 1 - list_inner_product(a.u, b.u), b.id) as rank
+          from unit a join unit b on a.id <> b.id) where rank <= 5""",
+    )
+    def _(lib, rows=_rows):
+        out = rounded(I.knn_join(vectors(lib), vectors(lib), 5, block_rows=rows))
+        return out.withColumn("rank", F.col("rank").cast("long"))
 
 
 @sql_query(
@@ -186,13 +191,15 @@ def _(lib):
 
 
 # One row per item, over all items, copies included.
-@sql_query(
-    "i8_similar_pairs",
-    f"""select a.id, count(*) as neighbours, round(min(greatest(1 - list_inner_product(a.u, b.u), 0.0)), 6) as nearest
-    from unit a join unit b on a.id <> b.id where list_inner_product(a.u, b.u) >= {1 - GROUP_DISTANCE} group by a.id""",
-)
-def _(lib):
-    return rounded(I.similar_items(vectors(lib), GROUP_DISTANCE), "nearest")
+for _name, _rows in (("i8_similar_pairs", BLOCK_ROWS), ("i8_similar_pairs_blocks", SMALL_BLOCKS)):
+
+    @sql_query(
+        _name,
+        f"""select a.id, count(*) as neighbours, round(min(greatest(1 - list_inner_product(a.u, b.u), 0.0)), 6) as nearest
+        from unit a join unit b on a.id <> b.id where list_inner_product(a.u, b.u) >= {1 - GROUP_DISTANCE} group by a.id""",
+    )
+    def _(lib, rows=_rows):
+        return rounded(I.similar_items(vectors(lib), GROUP_DISTANCE, rows), "nearest")
 
 
 @sql_query(
@@ -221,18 +228,20 @@ def _(lib):
     return connected_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
-@query(
-    "i11_group_similar",
-    f"""with {REACH},
-    member as (select id, least(id, min(other)) as component from reach group by id),
-    head as (select component, row_number() over (order by c.original_date desc, component) - 1 as group_id
-      from (select distinct component from member) join catalog c on c.id = component)
-    select group_id, id from member join head using (component) /*recursive*/""",
-    {**VECTOR_VIEWS, "raw_vec": VECTOR_VIEWS["raw_vec"] + " where vec_id in (select id from media)"},
-)
-def _(lib):
-    scope = I.embeddings_scope(C.derive_catalog(lib.media), vectors(lib))
-    return I.group_similar(scope, GROUP_DISTANCE)
+for _name, _rows in (("i11_group_similar", BLOCK_ROWS), ("i11_group_similar_blocks", SMALL_BLOCKS)):
+
+    @query(
+        _name,
+        f"""with {REACH},
+        member as (select id, least(id, min(other)) as component from reach group by id),
+        head as (select component, row_number() over (order by c.original_date desc, component) - 1 as group_id
+          from (select distinct component from member) join catalog c on c.id = component)
+        select group_id, id from member join head using (component) /*recursive*/""",
+        {**VECTOR_VIEWS, "raw_vec": VECTOR_VIEWS["raw_vec"] + " where vec_id in (select id from media)"},
+    )
+    def _(lib, rows=_rows):
+        scope = I.embeddings_scope(C.derive_catalog(lib.media), vectors(lib))
+        return I.group_similar(scope, GROUP_DISTANCE, rows)
 
 
 @query(

@@ -1,10 +1,11 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lightbox.functions import vectors as V
 from lightbox.operators import similarity as I
-from lightbox.plans import cells
+from lightbox.plans import cells, nearest
 from lightbox.plans.components import connected_components
 
 
@@ -83,6 +84,52 @@ def test_knn_join_is_exact(spark, matrix, block_rows):
         assert [h[2] for h in sorted(hits)] == pytest.approx(np.sort(d)[:6].clip(0), abs=1e-9)
 
 
+def clustered(rng, clusters, members, dim, spread=0.1):
+    return (np.repeat(rng.normal(size=(clusters, dim)), members, axis=0) + spread * rng.normal(size=(clusters * members, dim))).astype(np.float32)
+
+
+def test_tree_bounds_lose_nothing():
+    """Homes hold enough vectors, and every leaf with a vector within the bound is visited."""
+    rng = np.random.default_rng(3)
+    for matrix in (clustered(rng, 30, 20, 10), rng.normal(size=(600, 10))):
+        units = V.unit_rows(matrix.astype(np.float64))
+        tree = nearest.Tree(units[rng.permutation(600)[:40]])
+        leaf, reach, top = tree.settle(units)
+        used = np.unique(leaf)
+        stats = {"cell": used, "n": np.bincount(leaf)[used]}
+        for name, values, pick in (("near", reach, min), ("far", reach, max), ("top_near", top, min), ("top_far", top, max)):
+            stats[name] = [pick(values[leaf == c]) for c in used]
+        tree.know(pa.table(stats))
+        wanted = rng.integers(1, 700, 600)
+        for cells_of, w in zip(tree.homes(units, wanted), wanted):
+            assert tree.size[cells_of].sum() >= min(w, 600) and len(set(cells_of)) == len(cells_of)
+        apart = np.sqrt(np.maximum(2 - 2 * units @ units.T, 0))
+        bound = rng.uniform(0, 1, 600)
+        row, cell = tree.within(units, bound)
+        visited = set(zip(row.tolist(), cell.tolist()))
+        assert all((i, leaf[j]) in visited for i, j in zip(*np.nonzero(apart <= bound[:, None] - 1e-9)))
+
+
+def test_knn_join_visits_few_leaves_of_clustered_data(spark):
+    rng = np.random.default_rng(5)
+    matrix = clustered(rng, 40, 50, 16)
+    tree = nearest.choose_tree(frame(spark, matrix), len(matrix), 16, 64)
+    settled = nearest._settled(frame(spark, matrix), tree, 16, None)
+    tree.know(settled.groupBy("cell").agg(
+        F.count("*").alias("n"), F.min("reach").alias("near"), F.max("reach").alias("far"),
+        F.min("top_reach").alias("top_near"), F.max("top_reach").alias("top_far"),
+    ).toArrow())
+    asked = nearest._at_home(frame(spark, matrix), tree, 16, 6, False)
+    near = I.knn_join(frame(spark, matrix), frame(spark, matrix), 5, block_rows=64).where("rank = 5")
+    more = nearest.further_visits(asked, near.select("query_id", F.col("distance").alias("bound")), tree, 16)
+    assert len(tree.leaves) > 50 and more.count() < 12 * len(matrix)
+
+
+def test_tiles_grow_with_the_root(spark):
+    cut = spark.createDataFrame([(n,) for n in (1, 256, 257, 1024, 25_600, 10**9)], "n long").select(cells.tiles(F.col("n"), 256, 64))
+    assert [r[0] for r in cut.collect()] == [1, 1, 2, 2, 10, max(1977, -(-(10**9) * 8 * 64 // cells.TILE_BYTES))]
+
+
 def test_knn_join_with_barred_items(spark, matrix):
     distinct = np.unique(matrix, axis=0)
     dots, ok = cosine(distinct)
