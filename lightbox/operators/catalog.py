@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lightbox.functions import scalars as S
+from lightbox.plans.ordered import ranked_slice
 from lightbox.session import durable
 
 # Page size defaults and cap, and labels needed to train a tag.
@@ -285,13 +286,26 @@ def page_bounds(page: int | None, limit: int | None) -> tuple[int, int]:
     return (max(page or 1, 1) - 1) * limit, limit
 
 
+# Rows up to a page's end beyond which they are ranked block by block instead of gathered.
+DEEP_ROWS = 20_000
+
+
 def page(
     media: DataFrame, page: int | None = 1, limit: int | None = None,
-    sort_by: str = "date", ascending: bool = False,
+    sort_by: str = "date", ascending: bool = False, deep_rows: int = DEEP_ROWS,
 ) -> DataFrame:
-    """One page. Each task keeps its best rows, so nothing is sorted in full."""
+    """One page. Each task keeps its best rows, so nothing is sorted in full.
+
+    A page whose end lies beyond ``deep_rows`` is found by block counts over keys alone
+    (:func:`ranked_slice`), so no task gathers what lies before it; then its records are read.
+    """
     offset, size = page_bounds(page, limit)
-    return sort_media(media, sort_by, ascending).offset(offset).limit(size)
+    if offset + size <= deep_rows:
+        return sort_media(media, sort_by, ascending).offset(offset).limit(size)
+    key = "size_bytes" if sort_by == "size" else "original_date"
+    hits = durable(ranked_slice(media.select("id", key), [], sort_keys(sort_by, ascending), offset, offset + size))
+    # At most MAX_PAGE rows.
+    return sort_media(media.join(F.broadcast(hits.select("id")), "id", "left_semi"), sort_by, ascending)
 
 
 def page_after(
@@ -310,25 +324,28 @@ def page_after(
 
 def page_per_folder(
     media: DataFrame, folder_media: DataFrame, page: int | None = 1, limit: int | None = None,
-    sort_by: str = "date", ascending: bool = False,
+    sort_by: str = "date", ascending: bool = False, deep_rows: int = DEEP_ROWS,
 ) -> DataFrame:
     """The same page of every folder.
 
     The upper rank bound is a window limit, applied before and after the
     shuffle: each task sends at most page x size rows of one folder. Ranks are
-    taken on keys alone, the records join the surviving rows.
+    taken on keys alone, the records join the surviving rows. Pages that end beyond ``deep_rows``
+    are found by block counts, so a hot folder's earlier rows meet in no task.
     """
     offset, size = page_bounds(page, limit)
-    keys = media.select("id", "size_bytes", "original_date")
-    window = Window.partitionBy("folder_id").orderBy(*sort_keys(sort_by, ascending))
-    ranked = (
-        folder_items(keys, folder_media)
-        .withColumn("rank", F.row_number().over(window))
-        .where(F.col("rank") <= offset + size)
-        .where(F.col("rank") > offset)
-        .select("folder_id", "rank", "id")
-    )
-    return ranked.join(media, "id")
+    keys = folder_items(media.select("id", "size_bytes", "original_date"), folder_media)
+    order = sort_keys(sort_by, ascending)
+    if offset + size > deep_rows:
+        ranked = ranked_slice(keys.select("folder_id", "id", "size_bytes", "original_date"), ["folder_id"], order, offset, offset + size)
+    else:
+        window = Window.partitionBy("folder_id").orderBy(*order)
+        ranked = (
+            keys.withColumn("rank", F.row_number().over(window))
+            .where(F.col("rank") <= offset + size)
+            .where(F.col("rank") > offset)
+        )
+    return ranked.select("folder_id", "rank", "id").join(media, "id")
 
 
 def random_sample_n(

@@ -101,6 +101,31 @@ def positions(
     return running(rows, by, order).drop("sequence").withColumnRenamed("position", name)
 
 
+def ranked_slice(
+    rows: DataFrame, by: Sequence[str], order: Sequence[Column], first: int, last: int, name: str = "rank"
+) -> DataFrame:
+    """Rows whose 1-based rank in their group lies above ``first`` and not above ``last``, with that rank.
+
+    The rows are range-partitioned by (group, order) and counted block by block. Counts tell which
+    blocks of a group the slice falls into, and only those are ranked: a task
+    sorts one block however deep the slice lies and however large its group is. ``order`` must be
+    unique within a group.
+    """
+    keys = [F.col(b) for b in by]
+    blocks = durable(rows.repartitionByRange(*keys, *order).withColumn("_block", F.spark_partition_id()))
+    # One row per (block, group): a group has at most as many rows as there are blocks.
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    counted = blocks.groupBy("_block", *by).agg(F.count("*").alias("_n")).withColumn(
+        "_n0", F.coalesce(F.sum("_n").over(before), F.lit(0))
+    )
+    met = durable(counted.where((F.col("_n0") < last) & (F.col("_n0") + F.col("_n") > first)).drop("_n"))
+    inside = Window.partitionBy("_block", *by).orderBy(*order)
+    ranked = _join_null_safe(blocks, met, ["_block", *by]).withColumn(
+        name, (F.col("_n0") + F.row_number().over(inside)).cast("long")
+    )
+    return ranked.where((F.col(name) > first) & (F.col(name) <= last)).select(*rows.columns, name)
+
+
 def _next_starts(q: np.ndarray, p: np.ndarray, span: int) -> np.ndarray:
     """Index of the row that opens the segment after one opened at each row."""
     return np.maximum(np.searchsorted(p, q + span, side="right"), np.arange(1, len(q) + 1))

@@ -379,6 +379,29 @@ def _(lib):
     return rows.select("folder_id", F.col("rank").cast("long").alias("rank"), "id", "size_bytes")
 
 
+# The same by block counts, the way of pages too deep to gather.
+@sql_query(
+    "f2_page_deep",
+    """select id, strftime(original_date, '%Y-%m-%d %H:%M:%S') as original_date from catalog
+    order by catalog.original_date desc, id desc limit 50 offset 300""",
+)
+def _(lib):
+    return C.page(cat(lib).select("id", "original_date"), 7, 50, deep_rows=0).select("id", day())
+
+
+@sql_query(
+    "f3_page_per_folder_deep",
+    """select folder_id, rank, id, size_bytes from (
+      select folder_id, id, size_bytes, row_number() over (partition by folder_id order by original_date desc, id desc) as rank
+      from folder_media f join catalog c on c.id = f.media_id) where rank > 40 and rank <= 60""",
+)
+def _(lib):
+    rows = C.page_per_folder(
+        cat(lib).select("id", "size_bytes", "original_date"), lib.folder_media, page=3, deep_rows=0
+    )
+    return rows.select("folder_id", "rank", "id", "size_bytes")
+
+
 @sql_query(
     "f5_random_sample_n",
     """with drawn as (select vec_id, label from embeddings order by md5('42:' || cast(vec_id as varchar)), vec_id limit 30)
