@@ -1,7 +1,8 @@
 """Continuous ingest, view upkeep and scheduled repair.
 
-Each micro-batch writes its own ``batch=<n>`` folder and reads only earlier
-ones, so a batch that runs again after a failure replaces its own output.
+Each micro-batch writes its own ``batch=<n>`` folder, so a batch that runs again after
+a failure replaces its own output. State lives in logs of changes (:class:`KeyedLog`): a batch
+reads only the buckets its keys fall into and writes only what it changed.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from lightbox.functions import scalars as S
@@ -20,6 +22,7 @@ from lightbox.operators import dedup as K
 from lightbox.session import durable
 from lightbox.sources.files import file_stream, open_uri, read_paths
 from lightbox.streaming import feed as N
+from lightbox.streaming.keyed_log import KeyedLog
 
 # What a processor tells about one file.
 PROCESSED = (
@@ -63,14 +66,6 @@ def process_files(rows: DataFrame, processor: Processor) -> DataFrame:
     return rows.mapInArrow(run, f"{fields}, {PROCESSED}")
 
 
-def _earlier(spark: SparkSession, root: str, batch_id: int, schema: str) -> DataFrame:
-    """What earlier batches wrote; nothing before the first of them. Any other failure is raised."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(root)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        return spark.createDataFrame([], schema + ", batch bigint")
-    return spark.read.schema(schema + ", batch bigint").parquet(root).where(F.col("batch") < batch_id)
-
-
 MEDIA = (
     "id string, path string, filename string, original_filename string, media_type string, phash string, "
     "uploaded_at timestamp, original_date timestamp_ntz, width int, height int, size_bytes bigint, "
@@ -78,10 +73,10 @@ MEDIA = (
 )
 
 
-def ingest_batch(files: DataFrame, existing: DataFrame, processor: Processor) -> DataFrame:
+def ingest_batch(files: DataFrame, existing: DataFrame | Callable[[DataFrame], DataFrame], processor: Processor) -> DataFrame:
     """Decided rows of one batch of files: created, duplicate, rejected or failed.
 
-    The id follows from path and time. Files outside the allowlist are rejected
+    ``existing`` holds the hashes known before, or finds those among given ones. The id follows from path and time. Files outside the allowlist are rejected
     without being processed; failed ones keep their text as ``reason``.
     """
     ext = S.file_extension(F.col("original_filename"))
@@ -102,7 +97,9 @@ def ingest_batch(files: DataFrame, existing: DataFrame, processor: Processor) ->
         }
     )
     # A file without a hash joins no decision about copies.
-    decided = K.dedup_ingest(rows.withColumn("phash", F.coalesce("phash", F.lit(S.NO_HASH))), existing)
+    rows = rows.withColumn("phash", F.coalesce("phash", F.lit(S.NO_HASH)))
+    known = existing if isinstance(existing, DataFrame) else existing(rows.select("phash").distinct())
+    decided = K.dedup_ingest(rows, known)
     failed = F.col("failure").isNotNull()
     return decided.withColumns({
         "status": F.when(failed, "failed").otherwise(F.col("status")),
@@ -110,18 +107,27 @@ def ingest_batch(files: DataFrame, existing: DataFrame, processor: Processor) ->
     })
 
 
+HASHES = T.StructType([T.StructField("phash", T.StringType())])
+
+
+def known_hashes(spark: SparkSession, root: str) -> KeyedLog:
+    """The hashes of everything an ingest job below ``root`` has taken in."""
+    return KeyedLog(spark, f"{root}/hashes", HASHES, ["phash"])
+
+
 def streaming_ingest(
     spark: SparkSession, incoming: str, root: str, processor: Processor, per_trigger: int | None = None,
     available_now: bool = True, folder_id: str | None = None,
 ) -> StreamingQuery:
     """Take arriving files into ``root/media`` and ``root/vectors``, and report each in ``root/report``.
 
-    With ``folder_id`` the created items also join that folder, in ``root/folder_media``.
+    With ``folder_id`` the created items also join that folder, in ``root/folder_media``. A batch looks up
+    its own hashes in ``root/hashes``; media of earlier batches are not read again.
     """
+    log = known_hashes(spark, root)
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        known = _earlier(spark, f"{root}/media", batch_id, MEDIA)
-        decided = durable(ingest_batch(batch, known, processor))
+        decided = durable(ingest_batch(batch, lambda hashes: log.before(batch_id, hashes), processor))
         columns = [c.split()[0] for c in MEDIA.split(", ")]
         created = decided.where("status = 'created'").select(*columns)
         created.write.mode("overwrite").parquet(f"{root}/media/batch={batch_id}")
@@ -134,6 +140,8 @@ def streaming_ingest(
         decided.select("path", "original_filename", "status", "reason").write.mode(
             "overwrite"
         ).parquet(f"{root}/report/batch={batch_id}")
+        taken = created.where(F.col("phash") != S.NO_HASH).select("phash").distinct()
+        log.put(batch_id, taken, taken.limit(0))
 
     writer = file_stream(spark, incoming, per_trigger).writeStream.foreachBatch(take).option(
         "checkpointLocation", f"{root}/_progress/ingest"
@@ -141,24 +149,33 @@ def streaming_ingest(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def view_log(spark: SparkSession, root: str, base: DataFrame) -> KeyedLog:
+    """The listing that :func:`maintain_view` keeps; ``view_log(...).before()`` is its present state."""
+    fields = [f for f in base.schema if f.name == "id" or f.name in N.VIEW_FIELDS]
+    return KeyedLog(spark, f"{root}/view", T.StructType(fields), ["id"])
+
+
+def view_step(log: KeyedLog, events: DataFrame, view: N.View, batch_id: int) -> None:
+    """Apply one batch of item events: only the items they name are read, only what becomes of those is written."""
+    events = durable(events)
+    touched = durable(events.select("id").distinct())
+    after = durable(N.apply_changes(log.before(batch_id, touched), events, view))
+    log.put(batch_id, after, touched.join(after.select("id"), "id", "left_anti"))
+
+
 def maintain_view(
     events: DataFrame, root: str, base: DataFrame, view: N.View = N.View(), available_now: bool = True
 ) -> StreamingQuery:
-    """Keep ``root/view`` equal to the listing after the events seen so far.
+    """Keep ``root/view`` equal to the listing after the events seen so far (:func:`view_log`).
 
     ``events`` is a stream of (seq, value) texts; rejects go to ``root/rejects``.
     """
-    spark = base.sparkSession
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema)
+    log = view_log(base.sparkSession, root, base)
+    log.start(base)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         parsed = durable(N.parse_changes(batch))
-        seen = _earlier(spark, f"{root}/view", batch_id, fields)
-        last = seen.agg(F.max("batch")).first()[0]
-        current = base if last is None else seen.where(F.col("batch") == last).drop("batch")
-        N.apply_changes(current, N.item_events(parsed), view).write.mode("overwrite").parquet(
-            f"{root}/view/batch={batch_id}"
-        )
+        view_step(log, N.item_events(parsed), view, batch_id)
         parsed.where(F.col("reason").isNotNull()).select("seq", "reason").write.mode(
             "overwrite"
         ).parquet(f"{root}/rejects/batch={batch_id}")
@@ -169,23 +186,45 @@ def maintain_view(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+PAIRS = T.StructType([T.StructField("folder_id", T.StringType()), T.StructField("media_id", T.StringType())])
+
+
+def members_log(spark: SparkSession, root: str) -> KeyedLog:
+    """The memberships that :func:`maintain_folders` keeps, in buckets by item."""
+    return KeyedLog(spark, f"{root}/members", PAIRS, ["folder_id", "media_id"], "media_id")
+
+
+def folders_step(log: KeyedLog, parsed: DataFrame, root: str, batch_id: int) -> None:
+    """Apply one batch of membership events to the pairs of the items it names, and write by how much
+    each folder's count changes to ``root/counts``."""
+    parsed = durable(parsed)
+    touched = N.membership_changes(parsed).select("media_id").unionByName(
+        N.item_events(parsed).where("action = 'delete'").select(F.col("id").alias("media_id"))
+    ).distinct()
+    held = durable(log.before(batch_id, durable(touched)))
+    after = durable(N.memberships_after(held, parsed))
+    on = ["folder_id", "media_id"]
+    added, lost = after.join(held, on, "left_anti"), held.join(after, on, "left_anti")
+    log.put(batch_id, added, lost)
+    deltas = added.select("folder_id", F.lit(1).alias("delta")).unionByName(lost.select("folder_id", F.lit(-1).alias("delta")))
+    deltas.groupBy("folder_id").agg(F.sum("delta").alias("delta")).where("delta <> 0").write.mode("overwrite").parquet(
+        f"{root}/counts/batch={batch_id}"
+    )
+
+
 def maintain_folders(
     events: DataFrame, root: str, base: DataFrame, available_now: bool = True
 ) -> StreamingQuery:
-    """Keep ``root/members`` equal to the memberships after the events seen so far.
+    """Keep ``root/members`` equal to the memberships after the events seen so far (:func:`members_log`).
 
-    Counts per folder are counts of its rows. ``events`` is a stream of
-    (seq, value) texts, ``base`` holds (folder_id, media_id).
+    Each batch writes the changes of the folders' counts to ``root/counts``. ``events`` is a stream
+    of (seq, value) texts, ``base`` holds (folder_id, media_id).
     """
-    spark = base.sparkSession
+    log = members_log(base.sparkSession, root)
+    log.start(base)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        seen = _earlier(spark, f"{root}/members", batch_id, "folder_id string, media_id string")
-        last = seen.agg(F.max("batch")).first()[0]
-        current = base if last is None else seen.where(F.col("batch") == last).drop("batch")
-        N.memberships_after(current, durable(N.parse_changes(batch))).write.mode("overwrite").parquet(
-            f"{root}/members/batch={batch_id}"
-        )
+        folders_step(log, N.parse_changes(batch), root, batch_id)
 
     writer = events.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/_progress/folders")
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -1,6 +1,7 @@
 import hashlib
 import json
 import os
+import random
 import time
 
 import pytest
@@ -80,10 +81,11 @@ def test_view_stream_matches_the_batch(spark, tmp_path):
     query = jobs.maintain_view(stream, str(tmp_path / "out"), base)
     query.awaitTermination(120)
     assert query.exception() is None
-    out = spark.read.parquet(str(tmp_path / "out/view"))
-    last = out.agg(F.max("batch")).first()[0]
-    assert last >= 2
-    assert shown(out.where(F.col("batch") == last)) == after(spark, base, N.View(), *events)
+    log = jobs.view_log(spark, str(tmp_path / "out"), base)
+    assert shown(log.before()) == after(spark, base, N.View(), *events)
+    # Each batch wrote what it changed, not the listing.
+    written = [spark.read.parquet(str(tmp_path / f"out/view/changes/batch={i}")).count() for i in range(3)]
+    assert written == [2, 1, 1]
     assert spark.read.parquet(str(tmp_path / "out/rejects")).count() == 1
 
 
@@ -134,7 +136,46 @@ def test_folder_count_stream(spark, tmp_path):
     q.awaitTermination(120)
     assert q.exception() is None
     # twice the same addition counts once, a removal of a stranger not at all
-    assert sorted((r.folder_id, r.media_id) for r in spark.read.parquet(f"{root}/members").collect()) == [("f", "2"), ("g", "8")]
+    assert sorted((r.folder_id, r.media_id) for r in jobs.members_log(spark, root).before().collect()) == [("f", "2"), ("g", "8")]
+    assert sorted((r.folder_id, r.delta) for r in spark.read.parquet(f"{root}/counts").collect()) == [("g", -1)]
+
+
+def test_logs_equal_a_replay(spark, tmp_path):
+    """Views, memberships and counts by batches, with snapshots and a batch run twice, equal one replay of all events."""
+    rnd = random.Random(4)
+    kinds = []
+    for _ in range(120):
+        i, f = str(rnd.randint(0, 14)), rnd.choice("fgh")
+        kinds.append(rnd.choice([
+            ev("MediaCreated", item={"id": i, "size_bytes": rnd.randint(0, 9), "tags": [{"name": "a"}]}),
+            ev("MediaUpdated", id=i, item={"size_bytes": rnd.randint(10, 99)}), ev("MediaDeleted", id=i),
+            ev("MediaBatchDeleted", ids=[i, "3"]), ev("MediaTagsUpdated", ids=[i], tags=["a", "b"]),
+            ev("MediaAddedToFolder", folder_id=f, media_ids=[i, "5"]), ev("MediaRemovedFromFolder", folder_id=f, media_ids=[i]), "junk",
+        ]))
+    events = feed(spark, *kinds).withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    base = listing(spark, ("1", 10, True, ["a"]), ("2", 20, False, ["a"]), ("77", 7, False, []))
+    pairs = spark.createDataFrame([("f", "1"), ("g", "77"), ("h", "5")], "folder_id string, media_id string")
+    root = str(tmp_path)
+    views = jobs.view_log(spark, root, base)
+    members = jobs.members_log(spark, root)
+    for log, first in ((views, base), (members, pairs)):
+        log.compact_every = 2
+        log.start(first)
+    for n, batch in enumerate((0, 1, 1, 2, 3)):
+        part = N.parse_changes(events.where(f"seq >= {30 * batch} and seq < {30 * (batch + 1)}"))
+        jobs.view_step(views, N.item_events(part), N.View(), batch)
+        jobs.folders_step(members, part, root, batch)
+    assert views._batches("snapshot") == [-1, 1, 3]
+    parsed = N.parse_changes(events)
+    assert shown(views.before()) == shown(N.apply_changes(base, N.item_events(parsed)))
+    want = sorted(map(tuple, N.memberships_after(pairs, parsed).collect()))
+    assert sorted(map(tuple, members.before().collect())) == want
+    counts = spark.read.parquet(f"{root}/counts").unionByName(pairs.select("folder_id", F.lit(1).alias("delta"), F.lit(-1).alias("batch")))
+    totals = {r.folder_id: r.n for r in counts.groupBy("folder_id").agg(F.sum("delta").alias("n")).where("n <> 0").collect()}
+    assert totals == {r.folder_id: r.item_count for r in N.folder_counts_after(pairs, parsed).collect()}
+    # Nothing of the rest is read: an untouched item's bucket stays closed.
+    plan = views.before(9, spark.createDataFrame([("1",)], "id string"))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan or "bucket#" in plan.split("PartitionFilters", 1)[1][:80]
 
 
 @pytest.fixture()
@@ -175,6 +216,10 @@ def test_streaming_ingest(spark, tmp_path, processor):
     jobs.streaming_ingest(spark, str(incoming), root, processor).awaitTermination(120)
     report = {r["original_filename"]: r["status"] for r in spark.read.parquet(f"{root}/report").collect()}
     assert report["f.jpg"] == "duplicate" and len(report) == 7
+    # A new file and two copies of it, within and across batches, and a batch that runs again.
+    log = jobs.known_hashes(spark, root)
+    assert sorted(r.phash for r in log.before().collect()) == sorted(hashlib.md5(b).hexdigest() for b in (b"one", b"two"))
+    assert log.before(0).count() == 0 and log.before(1, spark.createDataFrame([(hashlib.md5(b"two").hexdigest(),)], "phash string")).count() == 1
 
 
 def test_repair(spark, tmp_path, processor):
