@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lightbox.functions import scalars as S
 from lightbox.operators import catalog as C
 from lightbox.operators import changes as L
 from lightbox.operators import dedup as K
+from lightbox.session import durable, shared_folder
+from lightbox.streaming import jobs
 from lightbox.workload.registry import query
 from lightbox.workload.scalars import CATALOG_VIEWS, ts_text
 
@@ -38,6 +41,25 @@ def _(lib):
     return decided_batch(lib).select("id", "status", "reason")
 
 
+# The same in three batches by arrival, each looking up its own hashes in the log that the stream keeps.
+@query("n5_ingest_in_batches", "select id, status, reason from decided", DECISION_VIEWS)
+def _(lib):
+    incoming = durable(lib.incoming_media.select("id", "phash", "original_filename", "uploaded_at"))
+    log = jobs.known_hashes(lib.spark, shared_folder(lib.spark, "ingest"))
+    log.buckets = 8
+    log.start(lib.existing_media.select("phash"))
+    cuts = incoming.select(F.percentile_approx(F.unix_micros(F.col("uploaded_at").cast("timestamp")), [0.3, 0.6])).first()[0] or []
+    number = sum((F.unix_micros(F.col("uploaded_at").cast("timestamp")) > c).cast("int") for c in cuts) if cuts else F.lit(0)
+    out = None
+    for i in range(len(cuts) + 1):
+        batch = incoming.where(number == i)
+        decided = durable(K.dedup_ingest(batch, log.before(i, batch.select("phash"))))
+        created = decided.where(f"status = 'created' and phash <> '{S.NO_HASH}'").select("phash")
+        log.put(i, created, created.limit(0))
+        out = decided if out is None else out.unionByName(decided)
+    return out.select("id", "status", "reason")
+
+
 @query(
     "e9_ingest_report",
     """select strftime(uploaded_at, '%Y-%m-%d') as batch, count(*) as total,

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lightbox.operators import catalog as C
+from lightbox.session import durable, shared_folder
 from lightbox.streaming import feed as N
+from lightbox.streaming import jobs
 from lightbox.streaming import windows as W
 from lightbox.workload.registry import query
 
@@ -51,8 +53,7 @@ def _(lib):
 
 
 # The listing replayed event by event.
-@query(
-    "n2_apply_changes",
+REPLAY = (
     r"""with replay(id, n, shown, size_bytes, is_favorite, tags) as (
       select id, cast(0 as bigint), shown, size_bytes, is_favorite, tags from start
       union all select r.id, e.n,
@@ -85,21 +86,49 @@ select coalesce(b.id, i.id) as id, b.id is not null as shown, b.size_bytes, b.is
 from base_view b full join (select distinct id from ev) i on i.id = b.id""",
     },
 )
-def _(lib):
+
+
+def listing_of(lib):
     shown = C.with_favorites(
         C.filter_tags_all(lib.media.select("id", "size_bytes"), lib.media_tags, ["en"]), lib.favorites
     )
-    base = C.with_tags(shown, lib.media_tags).select(
+    return C.with_tags(shown, lib.media_tags).select(
         F.col("id").cast("string").alias("id"), "size_bytes", "is_favorite",
         F.array_distinct(F.transform("tags", lambda t: t["name"])).alias("tags"),
     )
-    out = N.apply_changes(base, N.item_events(events(lib)), N.View(tags=["en"]))
-    return out.select(
+
+
+def listed(rows):
+    return rows.select(
         "id", "size_bytes", F.coalesce("is_favorite", F.lit(False)).alias("is_favorite"),
         F.array_join("tags", "|").alias("tags"),
     )
 
 
+def in_batches(lib, log, base, step):
+    """The state after all events, taken in three batches through a log with a snapshot."""
+    log.compact_every, log.buckets = 2, 8
+    log.start(base)
+    parsed = durable(events(lib))
+    last = parsed.agg(F.max("seq")).first()[0] or 0
+    for i in range(3):
+        step(parsed.where((F.col("seq") * 3 >= i * (last + 1)) & (F.col("seq") * 3 < (i + 1) * (last + 1))), i)
+    return log.before()
+
+
+@query("n2_apply_changes", *REPLAY)
+def _(lib):
+    return listed(N.apply_changes(listing_of(lib), N.item_events(events(lib)), N.View(tags=["en"])))
+
+
+@query("n2_apply_in_batches", *REPLAY)
+def _(lib):
+    base = listing_of(lib)
+    log = jobs.view_log(lib.spark, shared_folder(lib.spark, "view"), base)
+    view = N.View(tags=["en"])
+    return listed(in_batches(lib, log, base, lambda part, i: jobs.view_step(log, N.item_events(part), view, i)))
+
+
 def session_sql(by: str, source: str, gap: str) -> str:
     part = f"partition by {by}" if by else ""
     head = f"{by}, " if by else ""
@@ -161,8 +190,7 @@ def _(lib):
 
 
 # Replayed: a deletion is an event of every pair of the item, and the last event of a pair decides.
-@query(
-    "n8_folder_counts",
+COUNTS = (
     """with said as (
       select -1 as seq, folder_id, cast(media_id as varchar) as media_id, 1 as member from folder_media
       union all select seq, json_extract_string(j, '$.data.folder_id'), id, case when kind = 'MediaAddedToFolder' then 1 else 0 end
@@ -175,5 +203,17 @@ def _(lib):
     select folder_id, count(*) as item_count from final where back = 1 and member = 1 group by folder_id""",
     PARSED_VIEWS,
 )
+
+
+@query("n8_folder_counts", *COUNTS)
 def _(lib):
     return N.folder_counts_after(lib.folder_media, events(lib))
+
+
+@query("n8_folder_counts_in_batches", *COUNTS)
+def _(lib):
+    root = shared_folder(lib.spark, "members")
+    log = jobs.members_log(lib.spark, root)
+    base = lib.folder_media.select("folder_id", F.col("media_id").cast("string").alias("media_id"))
+    rows = in_batches(lib, log, base, lambda part, i: jobs.folders_step(log, part, root, i))
+    return rows.groupBy("folder_id").agg(F.count("*").alias("item_count"))
