@@ -240,6 +240,15 @@ def _(lib):
     return C.check_references(lib.media_tags, lib.media, "media_id", "id").select("media_id", "tag")
 
 
+# Events that name an item which is not there.
+@sql_query(
+    "d9_check_references_events",
+    "select event_id, event_type from events where event_id not in (select id from media)",
+)
+def _(lib):
+    return C.check_references(lib.events, lib.media, "event_id", "id").select("event_id", "event_type")
+
+
 TAG_IDS = "(select tag, row_number() over (order by tag) as tag_id from (select distinct tag from media_tags))"
 
 

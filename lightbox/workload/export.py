@@ -72,6 +72,17 @@ def _(lib):
     return M.folder_export_plans(lib.folders, lib.folder_media, lib.media, STAMP, CAP)[0]
 
 
+# Folders left without an item once only large scans are kept.
+@query(
+    "m4_empty_folders",
+    """select folder_id, name from folders where folder_id not in
+    (select f.folder_id from folder_media f join media m on m.id = f.media_id where m.size_bytes > 2500 and m.id % 6 = 5)""",
+)
+def _(lib):
+    kept = lib.media.where("size_bytes > 2500 and id % 6 = 5")
+    return M.empty_folders(lib.folders, lib.folder_media, kept).select("folder_id", "name")
+
+
 @query(
     "m3_export_plan",
     PLAN_SQL % ("'export_' || cast((select count(*) from plan_item) as varchar)", ""),

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lightbox.functions import images as O
 from lightbox.functions import vectors as V
 from lightbox.operators import catalog as C
-from lightbox.session import ensure_checkpoint_dir
+from lightbox.session import shared_folder
 from lightbox.sources import files, tables
 from lightbox.workload.registry import query
 from lightbox.workload.scalars import CATALOG_VIEWS, ts_text
@@ -19,7 +19,7 @@ from lightbox.workload.scalars import CATALOG_VIEWS, ts_text
 
 def scratch(lib) -> str:
     """A new folder beside the checkpoints, on storage every executor sees."""
-    return f"{ensure_checkpoint_dir(lib.spark).rstrip('/')}/library-{uuid.uuid4().hex}"
+    return shared_folder(lib.spark, "library")
 
 
 def stored_media(lib):
@@ -30,6 +30,42 @@ def stored_media(lib):
     )
 
 
+# Every table of a stored library: rows, and nulls of the columns that older files lack.
+@query(
+    "a1_load_library_tables",
+    """select 'media' as name, count(*) as n, 0 as filled from media
+    union all select 'vectors', count(*), 0 from embeddings
+    union all select 'folders', count(*), count(*) from folders
+    union all select 'folder_media', count(*), 0 from folder_media
+    union all select 'favorites', count(*), 0 from favorites
+    union all select 'tags', count(distinct tag), 0 from media_tags
+    union all select 'media_tags', count(*), count(*) from media_tags
+    union all select 'tag_models', count(*), count(*) from models""",
+)
+def _(lib):
+    root = scratch(lib)
+    tag_id = F.dense_rank().over(Window.orderBy("tag")).cast("long")
+    tags = lib.media_tags.select("tag").distinct().withColumn("tag_id", tag_id)
+    text = F.col("media_id").cast("string").alias("media_id")
+    stored = {
+        "media": stored_media(lib), "vectors": lib.embeddings.select(F.col("vec_id").cast("string").alias("id"), "embedding"),
+        "folders": lib.folders.drop("sort_order"), "folder_media": lib.folder_media.select("folder_id", text),
+        "favorites": lib.favorites.select(text), "tags": tags,
+        "media_tags": lib.media_tags.join(tags, "tag").select(text, "tag_id"),
+        "tag_models": lib.models.join(tags, "tag").select("tag_id", "weights", "bias"),
+    }
+    for name, rows in stored.items():
+        rows.write.parquet(f"{root}/{name}")
+    # Columns that these files lack come back with their defaults.
+    defaults = {"folders": "sort_order = 0", "media_tags": "not is_auto and confidence is null", "tag_models": "platt_a = -2.0 and version = 1"}
+    out = None
+    for name, rows in tables.load_library(lib.spark, root).items():
+        filled = F.count_if(F.expr(defaults.get(name, "false")))
+        one = rows.agg(F.count("*").alias("n"), filled.alias("filled")).select(F.lit(name).alias("name"), "n", "filled")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(
     "a1_load_library",
     """select cast(id as varchar) as id, media_type, strftime(original_date, '%Y-%m-%d %H:%M:%S') as original_date, size_bytes,

@@ -121,6 +121,26 @@ def _(lib):
     )
 
 
+# The same as item records.
+@sql_query(
+    "i4_similar_items",
+    f"""with near as ({NEAR0}),
+    hits as (select * from near where id <> 0 and distance <= 0.9 order by distance, id limit 10)
+    select h.id, round(h.distance, 6) as distance, c.original_filename,
+      c.id in (select media_id from favorites) as is_favorite,
+      coalesce((select string_agg(tag || case when is_auto then '*' else '' end, ',' order by tag, is_auto, confidence)
+        from media_tags t where t.media_id = h.id), '') as tag_names
+    from hits h join media c on c.id = h.id""",
+)
+def _(lib):
+    rows = I.with_details(
+        I.knn_by_id(vectors(lib), 0, 10, 0.9), lib.media.select("id", "original_filename"), lib.favorites, lib.media_tags
+    )
+    return rounded(rows).select(
+        "id", "distance", "original_filename", "is_favorite", C.tag_names(F.col("tags")).alias("tag_names")
+    )
+
+
 @sql_query(
     "i4_knn_by_id",
     f"""with near as ({NEAR0}) select id, round(distance, 6) as distance from near
