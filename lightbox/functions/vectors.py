@@ -7,7 +7,6 @@ batch costs one numpy call. Everything is computed in double precision.
 
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -135,36 +134,51 @@ def distance_to(vector: Column, query: np.ndarray) -> Column:
     return distance(vector)
 
 
+def _as_bytes(x: pa.Array, dtype=None) -> pa.Array:
+    """The values of each list as bytes: one buffer of all values, cut at the list borders."""
+    valid = x.is_valid()
+    lengths = pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False)
+    values = np.ascontiguousarray(x.flatten().to_numpy(zero_copy_only=False), dtype or x.type.value_type.to_pandas_dtype())
+    ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]) * values.itemsize
+    return pa.Array.from_buffers(
+        pa.large_binary(), len(x), [pc.and_(valid, valid).buffers()[1], pa.py_buffer(ends), pa.py_buffer(values)]
+    ).cast(pa.binary())
+
+
+def _as_lists(x: pa.Array, dtype) -> pa.Array:
+    """The lists that :func:`_as_bytes` wrote, over the batch's one data buffer."""
+    step = np.dtype(dtype).itemsize
+    sizes = pc.fill_null(pc.binary_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    odd = np.flatnonzero(sizes % step)
+    if len(odd):
+        raise ValueError(f"vector of {sizes[odd[0]]} bytes is not a multiple of {step}")
+    kept = pa.concat_arrays([x.drop_null().cast(pa.large_binary())])
+    if len(kept):
+        borders = np.frombuffer(kept.buffers()[1], np.int64)[kept.offset : kept.offset + len(kept) + 1]
+        data = np.frombuffer(kept.buffers()[2] or b"", np.uint8)[borders[0] : borders[-1]]
+    else:
+        data = np.empty(0, np.uint8)
+    ends = np.concatenate([[0], np.cumsum(sizes // step)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(data.tobytes(), dtype)), mask=pc.is_null(x))
+
+
 def fingerprint(vector: Column) -> Column:
     """Digest of the exact stored values, a short key for equal vectors."""
 
     @F.arrow_udf("binary")
-    def digest(x: pa.Array) -> pa.Array:
-        return pa.array(
-            [hashlib.sha256(np.asarray(r.values).tobytes()).digest() if r.is_valid else None for r in x],
-            pa.binary(),
-        )
+    def raw(x: pa.Array) -> pa.Array:
+        return _as_bytes(x)
 
-    return digest(vector)
+    return F.unhex(F.sha2(raw(vector), 256))
 
 
 def decode_vectors(raw: Column, double: bool = False) -> Column:
     """Native-endian bytes to an array; a length that does not divide is an error."""
     dtype, kind = (np.float64, "double") if double else (np.float32, "float")
-    step = np.dtype(dtype).itemsize
 
     @F.arrow_udf(f"array<{kind}>")
     def decode(x: pa.Array) -> pa.Array:
-        out = []
-        for item in x:
-            if not item.is_valid:
-                out.append(None)
-                continue
-            data = item.as_buffer()
-            if data.size % step:
-                raise ValueError(f"vector of {data.size} bytes is not a multiple of {step}")
-            out.append(np.frombuffer(data, dtype))
-        return pa.array(out, pa.list_(pa.from_numpy_dtype(dtype)))
+        return _as_lists(x, dtype)
 
     return decode(raw)
 
@@ -174,8 +188,6 @@ def encode_vectors(vector: Column, double: bool = False) -> Column:
 
     @F.arrow_udf("binary")
     def encode(x: pa.Array) -> pa.Array:
-        return pa.array(
-            [np.asarray(r.values, dtype).tobytes() if r.is_valid else None for r in x], pa.binary()
-        )
+        return _as_bytes(x, dtype)
 
     return encode(vector)

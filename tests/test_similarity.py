@@ -255,3 +255,16 @@ def test_undirected_and_odd_vectors_take_nothing_away(spark, matrix, block_rows)
     found = {tuple(r) for r in I.knn_join(mixed, mixed, 3, block_rows=block_rows).select("query_id", "id").collect()}
     assert {p for p in found if p[0] < 1000} == near
     assert len({p for p in found if p[0] >= 1000}) == 22 * 3
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_codec_round_trip(spark, kind):
+    """Bytes and back, nulls and empty vectors kept; equal bytes, equal digests."""
+    data = [(0, [1.0, 2.5]), (1, None), (2, []), (3, [1.0, 2.5]), (4, [3.0])]
+    df = spark.createDataFrame(data, f"id long, v array<{kind}>").coalesce(1)
+    raw = df.select("id", V.encode_vectors(F.col("v"), kind == "double").alias("raw"), V.fingerprint(F.col("v")).alias("digest"))
+    got = {r.id: r for r in raw.select("*", V.decode_vectors(F.col("raw"), kind == "double").alias("back")).collect()}
+    dtype = np.float64 if kind == "double" else np.float32
+    assert [got[i].back for i, _ in data] == [v for _, v in data]
+    assert [got[i].raw for i, _ in data] == [None if v is None else bytearray(np.array(v, dtype).tobytes()) for _, v in data]
+    assert got[0].digest == got[3].digest != got[4].digest and got[1].digest is None and len(got[2].digest) == 32
