@@ -231,12 +231,14 @@ def maintain_folders(
 
 
 def repair_run(
-    media: DataFrame, root_uri: str, processor: Processor, opener: Callable[[str], bytes] = open_uri
-) -> tuple[DataFrame, DataFrame]:
-    """(catalog, change rows) after processing the unhashed items again.
+    media: DataFrame, root_uri: str, processor: Processor, opener: Callable[[str], bytes] = open_uri,
+    vectors: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(catalog, change rows, vectors) after processing the unhashed items again.
 
     Only files of unhashed items are opened. The change rows are one
-    MediaUpdated per repaired item and one ThumbnailFixCompleted with the count.
+    MediaUpdated with its ``item`` per repaired item and one ThumbnailFixCompleted with the count.
+    Vectors of repaired items are replaced where a new one was found; null without ``vectors``.
     Started by any scheduler, daily in the original service.
     """
     wanted = C.unhashed_media(media).select(
@@ -245,28 +247,38 @@ def repair_run(
     read = durable(process_files(read_paths(wanted, "path", opener), processor))
     fresh = read.where(F.col("failure").isNull() & (F.col("phash") != S.NO_HASH))
     catalog, fixed = L.repair_media(media, fresh.drop("original_filename", "path"))
+    item = F.struct(*[F.col(c) for c in media.columns])
     updated = fixed.select(
         F.lit("MediaUpdated").alias("type"), F.col("id").cast("string").alias("id"),
-        F.lit(None).cast("long").alias("count"),
+        F.lit(None).cast("long").alias("count"), item.alias("item"),
     )
     finished = fixed.agg(F.count("*").alias("count")).select(
-        F.lit("ThumbnailFixCompleted").alias("type"), F.lit(None).cast("string").alias("id"), "count"
+        F.lit("ThumbnailFixCompleted").alias("type"), F.lit(None).cast("string").alias("id"), "count",
+        F.lit(None).cast(updated.schema["item"].dataType).alias("item"),
     )
-    return catalog, updated.unionByName(finished)
+    replaced = None if vectors is None else L.repair_vectors(vectors, fixed.select("id"), fresh)
+    return catalog, updated.unionByName(finished), replaced
 
 
 def repair_stream(
-    spark: SparkSession, ticks: DataFrame, load: Callable[[], DataFrame], root: str, root_uri: str,
+    spark: SparkSession, ticks: DataFrame, load: Callable[[], DataFrame | tuple[DataFrame, DataFrame]], root: str, root_uri: str,
     processor: Processor, available_now: bool = True,
 ) -> StreamingQuery:
-    """Run a repair for every tick; catalog and changes go to ``root`` by batch."""
+    """Run a repair for every tick; catalog, changes and vectors go to ``root`` by batch.
+
+    ``load`` gives the media, or media and vectors, as they are at that time.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        catalog, changes = repair_run(load(), root_uri, processor)
+        loaded = load()
+        media, vectors = loaded if isinstance(loaded, tuple) else (loaded, None)
+        catalog, changes, replaced = repair_run(media, root_uri, processor, vectors=vectors)
         catalog.write.mode("overwrite").parquet(f"{root}/media/batch={batch_id}")
         changes.write.mode("overwrite").parquet(f"{root}/changes/batch={batch_id}")
+        if replaced is not None:
+            replaced.write.mode("overwrite").parquet(f"{root}/vectors/batch={batch_id}")
 
     writer = ticks.writeStream.foreachBatch(step).option(
         "checkpointLocation", f"{root}/_progress/repair"

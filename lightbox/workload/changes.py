@@ -346,3 +346,23 @@ def _(lib):
         "id", "phash", "width", "exif_json", ts_text(F.col("original_date")).alias("original_date"),
         F.col("_r").isNotNull().alias("repaired"),
     )
+
+
+# Vectors of repaired items: replaced where the file gave one, kept elsewhere.
+@query(
+    "l9_repair_vectors",
+    """select vec_id as id, case when vec_id in (select id from media where phash = 'no_hash' and id % 3 = 1)
+      then 'new' else 'old' end as origin, len(embedding) as width from embeddings""",
+)
+def _(lib):
+    media = C.derive_catalog(lib.media)
+    readable = C.unhashed_media(media).where("id % 3 <> 0")
+    fresh = readable.select(
+        "id", F.lit("h").alias("phash"), "width", "height", "exif_json", "original_date",
+        F.when(F.col("id") % 3 == 1, F.array_repeat(F.lit(2.0).cast("float"), 64)).alias("embedding"),
+    )
+    vectors = lib.embeddings.select(F.col("vec_id").alias("id"), "embedding")
+    _, fixed = L.repair_media(media, fresh)
+    out = L.repair_vectors(vectors, fixed, fresh.join(vectors.select("id"), "id", "left_semi"))
+    new = F.forall("embedding", lambda x: x == 2.0)
+    return out.select("id", F.when(new, "new").otherwise("old").alias("origin"), F.size("embedding").cast("long").alias("width"))

@@ -230,18 +230,23 @@ def test_repair(spark, tmp_path, processor):
         "id string, filename string, phash string",
     ).select("*", F.col("filename").alias("original_filename"), F.lit(0).alias("width"), F.lit(0).alias("height"),
              F.lit("{}").alias("exif_json"), F.lit("2020-01-01").cast("timestamp_ntz").alias("original_date"))
-    catalog, changes = jobs.repair_run(media, f"file://{tmp_path}", processor)
+    vectors = spark.createDataFrame([("1", [9.0]), ("2", [8.0]), ("4", [7.0])], "id string, embedding array<float>")
+    catalog, changes, replaced = jobs.repair_run(media, f"file://{tmp_path}", processor, vectors=vectors)
+    assert {r.id: r.embedding for r in replaced.collect()} == {"1": [6.0], "2": [8.0], "4": [7.0]}
     got = {r["id"]: (r["phash"], r["height"], str(r["original_date"])) for r in catalog.collect()}
     assert got["1"] == (hashlib.md5(b"pixels").hexdigest(), 6, "2020-01-01 00:00:00")
     assert got["2"][0] == got["3"][0] == "no_hash" and got["4"][0] == "known"
-    assert [tuple(r) for r in changes.orderBy("type").collect()] == [("MediaUpdated", "1", None), ("ThumbnailFixCompleted", None, 1)]
+    rows = changes.orderBy("type").collect()
+    assert [tuple(r)[:3] for r in rows] == [("MediaUpdated", "1", None), ("ThumbnailFixCompleted", None, 1)]
+    assert rows[0].item.phash == hashlib.md5(b"pixels").hexdigest() and rows[0].item.filename == "x.jpg" and rows[1].item is None
     ticks = str(tmp_path / "ticks")
     spark.createDataFrame([("go",)], "t string").write.json(ticks)
     stream = spark.readStream.schema("t string").json(ticks)
-    q = jobs.repair_stream(spark, stream, lambda: media, str(tmp_path / "rep"), f"file://{tmp_path}", processor)
+    q = jobs.repair_stream(spark, stream, lambda: (media, vectors), str(tmp_path / "rep"), f"file://{tmp_path}", processor)
     q.awaitTermination(120)
     assert q.exception() is None
     assert spark.read.parquet(str(tmp_path / "rep/changes")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "rep/vectors")).where("id = '1'").first().embedding == [6.0]
 
 
 def test_files(spark, tmp_path):
