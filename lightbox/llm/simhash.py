@@ -31,7 +31,10 @@ BLOCK = 16_384
 SHINGLES_AT_ONCE = 65_536
 # Crowds of one key are compared in blocks of so many nodes, and one node meets so many in a task.
 CROWD = 4_096
-BINS = 256  # of the signatures that prune the pairs of a crowded key
+BINS = 1_024  # of the signatures that prune the pairs of a crowded key
+ROUNDS = 4  # in which each node of such a key is compared with its likeliest partner only
+# Rows named by so short a list are joined with it by broadcast (its rows are two longs), so their texts stay in place.
+LISTED = 2_000_000
 RECALL = 0.998  # of the bands, at the similarity asked for
 
 
@@ -332,89 +335,133 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def alike(one: np.ndarray, others: np.ndarray, similarity: float) -> np.ndarray:
-    """Which signatures may belong to sets of ``similarity`` with ``one``: their share of equal bins lies at most
-    four standard errors below it (3 in 100,000 of the pairs at the similarity lie lower, fewer above)."""
+def alike(
+    one: np.ndarray, others: np.ndarray, size: int, sizes: np.ndarray, similarity: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """(which signatures may belong to sets of ``similarity`` with ``one``, their shares of equal bins).
+
+    The filled bins are a sample of the union, drawn without replacement: a share may lie four standard
+    errors below ``similarity`` (3 in 100,000 of the pairs at it lie lower, fewer above). Where every
+    element has a bin of its own, the share is the similarity itself.
+    """
     filled = ((one != 0) | (others != 0)).sum(axis=1)
     equal = ((one == others) & (one != 0)).sum(axis=1)
-    return equal >= filled * similarity - 4 * np.sqrt(filled * similarity * (1 - similarity)) - 1e-9
+    union = (size + sizes) / (1 + similarity)
+    left_out = np.maximum(1 - filled / np.maximum(union, 1), 0)
+    least = filled * similarity - 4 * np.sqrt(filled * similarity * (1 - similarity) * left_out) - 1
+    fits = np.minimum(size, sizes) >= similarity * np.maximum(size, sizes)
+    return fits & (equal >= least), equal / np.maximum(filled, 1)
 
 
 def signatures(sets: DataFrame) -> DataFrame:
-    """(node, sig) of shingle sets."""
+    """(node, sig, size) of shingle sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("shingles")
             made = [signature(np.sort(lists[i].values.to_numpy().view(np.uint64))).tobytes() for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made, pa.binary())], ["node", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made, pa.binary()), lists.value_lengths()], ["node", "sig", "size"])
 
-    return sets.mapInArrow(run, "node long, sig binary")
+    return sets.mapInArrow(run, "node long, sig binary, size int")
 
 
-def _crowd_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """(u, v) of the nodes of one key whose labels differ and whose signatures are alike. No pair is
-    made of others. ``rows`` has (key, label, node, sig, n); a key of more than ``CROWD`` nodes is cut into blocks,
-    whose pairs are compared in tasks of their own."""
+def _crowd_pairs(rows: DataFrame, similarity: float, likeliest: bool = False) -> DataFrame:
+    """(u, v) of the nodes of one key whose labels differ and whose signatures are alike; with ``likeliest``
+    only the most alike partner of every node (one in each block). ``rows`` has (key, label, node, sig, size, n).
+    A key of more than ``CROWD`` nodes is cut into blocks, whose pairs are compared in tasks of their own."""
     blocks = F.ceil(F.col("n") / CROWD).cast("int")
     placed = rows.withColumns({"mine": F.pmod(F.xxhash64("node"), blocks).cast("int"), "blocks": blocks})
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "mine",
-        (F.col("mine") == F.col("other")).alias("own"), "label", "node", "sig",
+        (F.col("mine") == F.col("other")).alias("own"), "label", "node", "size", "sig",
     )
 
-    def pairs(group: list[tuple]) -> tuple[list[int], list[int]]:
-        mine, own, label, node = (np.array([g[i] for g in group]) for i in range(4))
-        sig = np.frombuffer(b"".join(g[4] for g in group), np.uint16).reshape(len(group), BINS)
+    def pairs(group: list[tuple]) -> pa.RecordBatch:
+        mine, own, label, node, size = (np.array([g[i] for g in group]) for i in range(5))
+        sig = np.frombuffer(b"".join(g[5] for g in group), np.uint16).reshape(len(group), BINS)
+        best, partner = np.full(len(group), -1.0), np.full(len(group), -1)
         u, v = [], []
         for i in range(len(group) - 1):
             rest = np.flatnonzero((label[i + 1 :] != label[i]) & (own[i] | (mine[i + 1 :] != mine[i]))) + i + 1
-            hit = rest[alike(sig[i], sig[rest], similarity)]
-            u += np.maximum(node[hit], node[i]).tolist()
-            v += np.minimum(node[hit], node[i]).tolist()
-        return u, v
+            fits, share = alike(sig[i], sig[rest], size[i], size[rest], similarity)
+            hit, share = rest[fits], share[fits]
+            if not len(hit):
+                continue
+            if not likeliest:
+                u.append(hit)
+                v.append(np.full(len(hit), i))
+                continue
+            better = share > best[hit]
+            best[hit[better]], partner[hit[better]] = share[better], i
+            if share.max() > best[i]:
+                best[i], partner[i] = share.max(), hit[share.argmax()]
+        if likeliest:
+            u, v = [np.flatnonzero(partner >= 0)], [partner[partner >= 0]]
+        a, b = (node[np.concatenate(x)] if x else np.empty(0, np.int64) for x in (u, v))
+        return pa.record_batch({"u": pa.array(np.maximum(a, b), pa.int64()), "v": pa.array(np.minimum(a, b), pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, group = None, []
         for batch in batches:
-            for row in zip(*[batch.column(i).to_pylist() for i in range(6)]):
+            for row in zip(*[batch.column(i).to_pylist() for i in range(7)]):
                 if row[0] != cell and group:
-                    u, v = pairs(group)
-                    yield pa.record_batch({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+                    yield pairs(group)
                     group = []
                 cell = row[0]
                 group.append(row[1:])
         if group:
-            u, v = pairs(group)
-            yield pa.record_batch({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+            yield pairs(group)
 
     return spread.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long").distinct()
 
 
+def _open(keys: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, n, label) of the keys whose nodes have different labels."""
+    known = durable(
+        keys.join(labels.withColumnRenamed("id", "node"), "node", "left").select(
+            "key", "node", "n", F.coalesce("component", "node").alias("label")
+        )
+    )
+    apart = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    return durable(known.join(apart, "key", "left_semi"))
+
+
 def verified_components(keys: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(id, component) over the nodes that share a key and have similar sets, by chains.
 
     ``keys`` has (key, node, least, n): the key's least node and its number of nodes. Every node is
     compared with that one first, so the members of a large group of true copies
-    meet in a number of pairs linear in its size. Nodes of one key that are not
-    connected by then are compared with each other where their signatures are alike.
+    meet in a number of pairs linear in its size. In keys whose nodes are not all connected by
+    then, each is compared with its likeliest partner of another label, round by round, which
+    connects what belongs together in few pairs. What is still apart after that is compared
+    wherever signatures are alike, so no link is left out.
     """
-    first = durable(keys.where("node <> least").groupBy(F.col("node").alias("u"), F.col("least").alias("v")).agg(F.max("n").alias("meets")))
-    links = durable(similar_links(first, sets, similarity))
+    tested = durable(keys.where("node <> least").groupBy(F.col("node").alias("u"), F.col("least").alias("v")).agg(F.max("n").alias("meets")))
+    links = durable(similar_links(tested, sets, similarity))
+    tested = tested.select("u", "v")
     labels = connected_components(links)
-    known = durable(
-        keys.join(labels.withColumnRenamed("id", "node"), "node", "left").select(
-            "key", "node", "n", F.coalesce("component", "node").alias("label")
-        )
-    )
-    open_keys = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    known = durable(known.join(open_keys, "key", "left_semi"))
-    if known.isEmpty():
-        return labels
-    signed = durable(signatures(sets.join(known.select("node").distinct(), "node", "left_semi")))
-    rest = _crowd_pairs(known.join(signed, "node"), similarity).join(first.select("u", "v"), ["u", "v"], "left_anti")
-    more = similar_links(durable(rest.withColumn("meets", F.lit(1))), sets, similarity)
-    return connected_components(durable(links.unionByName(more)))
+    signed = None
+    for step in range(ROUNDS + 1):
+        known = _open(keys, labels)
+        if known.isEmpty():
+            break
+        if signed is None:
+            signed = durable(signatures(sets.join(known.select("node").distinct(), "node", "left_semi")))
+        pairs = _crowd_pairs(known.join(signed, "node"), similarity, step < ROUNDS).join(tested, ["u", "v"], "left_anti")
+        pairs = durable(pairs)
+        new = durable(similar_links(pairs.withColumn("meets", F.lit(1)), sets, similarity))
+        if step < ROUNDS and new.isEmpty():
+            # No likeliest partner is similar: the rest is settled in one go.
+            tested = durable(tested.unionByName(pairs))
+            pairs = durable(_crowd_pairs(known.join(signed, "node"), similarity).join(tested, ["u", "v"], "left_anti"))
+            new = durable(similar_links(pairs.withColumn("meets", F.lit(1)), sets, similarity))
+            step = ROUNDS
+        tested = durable(tested.unionByName(pairs))
+        links = durable(links.unionByName(new))
+        labels = connected_components(links)
+        if step == ROUNDS:
+            break
+    return labels
 
 
 def drop_near_copies(
@@ -445,14 +492,17 @@ def drop_near_copies(
     shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
     keys = durable(keys.join(shared, "key"))
     wanted = keys.select("node").distinct().join(distinct, "node").select("node", F.col("best.row_no").alias("row_no"))
-    sets = durable(shingle_sets(texts.select("row_no", "text").join(durable(wanted), "row_no"), "text", shingle))
+    wanted = durable(wanted)
+    if wanted.count() <= LISTED:
+        wanted = F.broadcast(wanted)
+    sets = durable(shingle_sets(texts.select("row_no", "text").join(wanted, "row_no"), "text", shingle))
     nodes = verified_components(keys, sets, similarity)
     winners = (
         distinct.join(nodes.withColumnRenamed("id", "node"), "node", "left")
         .groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("best").alias("best"))
         .select(F.col("best.row_no").alias("row_no"))
     )
-    # The rows that go are few in a corpus without exact copies; their written size
-    # lets the planner decide whether they can be broadcast, and the texts stay in place.
     losers = durable(narrow.select("row_no").join(winners, "row_no", "left_anti"))
+    if losers.count() <= LISTED:
+        losers = F.broadcast(losers)
     return rows.join(losers, "row_no", "left_anti").select("row.*")

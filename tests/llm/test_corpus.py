@@ -287,21 +287,27 @@ def test_template_keys(spark, monkeypatch, crowd):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
     sets = [np.sort(np.array([hash(x) & (2**64 - 1) for x in brute_shingles(t)], np.uint64)) for t in texts]
     sig = [simhash.signature(x) for x in sets]
-    key = spark.createDataFrame([(1, i, i, sig[i].tobytes(), len(texts)) for i in range(len(texts))], "key long, label long, node long, sig binary, n long")
+    key = spark.createDataFrame(
+        [(1, i, i, sig[i].tobytes(), len(sets[i]), len(texts)) for i in range(len(texts))],
+        "key long, label long, node long, sig binary, size int, n long",
+    )
     pairs = {(r.u, r.v) for r in simhash._crowd_pairs(key, 0.8).collect()}
     assert {(150 + i, i) for i in range(10)} <= pairs and len(pairs) < 3 * len(texts)
+    likeliest = {(r.u, r.v) for r in simhash._crowd_pairs(key, 0.8, True).collect()}
+    assert {(150 + i, i) for i in range(10)} <= likeliest <= pairs
 
 
 def test_signatures_keep_similar_pairs():
     rng = np.random.default_rng(10)
     lost = 0
     for _ in range(2_000):
-        n = int(rng.integers(20, 900))
+        n = int(rng.integers(20, 4_000))
         same = int(np.ceil(0.8 * n))
         one = rng.integers(0, 1 << 64, n, np.uint64, endpoint=False)
         left = (n - same) // 2
         a, b = np.sort(one[: same + left]), np.sort(np.concatenate([one[:same], one[same + left :]]))
-        lost += not simhash.alike(simhash.signature(a), simhash.signature(b)[None, :], 0.8)[0]
+        fits, share = simhash.alike(simhash.signature(a), simhash.signature(b)[None, :], len(a), np.array([len(b)]), 0.8)
+        lost += not fits[0]
     assert lost <= 2
 
 
