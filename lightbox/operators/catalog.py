@@ -300,6 +300,13 @@ def page(
     (:func:`ranked_slice`), so no task gathers what lies before it; then its records are read.
     """
     offset, size = page_bounds(page, limit)
+    return page_rows(media, offset, size, sort_by, ascending, deep_rows)
+
+
+def page_rows(
+    media: DataFrame, offset: int, size: int, sort_by: str = "date", ascending: bool = False, deep_rows: int = DEEP_ROWS,
+) -> DataFrame:
+    """Rows ``offset`` to ``offset + size`` of the order, as :func:`page` finds them."""
     if offset + size <= deep_rows:
         return sort_media(media, sort_by, ascending).offset(offset).limit(size)
     key = "size_bytes" if sort_by == "size" else "original_date"

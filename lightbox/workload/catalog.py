@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from lightbox.operators import catalog as C
 from lightbox.operators import sets
+from lightbox.operators import stored as P
+from lightbox.session import shared_folder
 from lightbox.sources import tables
 from lightbox.workload.registry import query
 from lightbox.workload.scalars import CATALOG_VIEWS, ts_text
@@ -460,3 +462,75 @@ def _(lib):
         for filtered in (True, False)
     ]
     return both[0].unionByName(both[1])
+
+
+# --- the stored layout: derived once, clustered by capture time, pages by file bounds -------------
+
+
+def stored(lib, file_rows=400):
+    """Half of the items as one clustered run, the rest appended in two, so ranges of files overlap."""
+    root = shared_folder(lib.spark, "catalog")
+    P.write_catalog(lib.media.where("id % 2 = 0"), root, file_rows)
+    P.append_catalog(lib.media.where("id % 4 = 1"), root, file_rows)
+    P.append_catalog(lib.media.where("id % 4 = 3"), root, file_rows)
+    return root
+
+
+@sql_query(
+    "f2_stored_page",
+    """select id, original_filename, media_type, strftime(original_date, '%Y-%m-%d %H:%M:%S') as original_date, size_bytes
+    from catalog order by catalog.original_date desc, id desc limit 40 offset 240""",
+)
+def _(lib):
+    root = stored(lib)
+    P.compact_catalog(lib.spark, root, 400)
+    return P.stored_page(lib.spark, root, 7, 40).select("id", "original_filename", "media_type", day(), "size_bytes")
+
+
+@sql_query(
+    "f2_stored_page_of_runs",
+    """select id, media_type, strftime(original_date, '%Y-%m-%d %H:%M:%S') as original_date
+    from catalog where media_type = 'video' order by catalog.original_date, id limit 25 offset 25""",
+)
+def _(lib):
+    return P.stored_page(lib.spark, stored(lib), 2, 25, "video", ascending=True).select("id", "media_type", day())
+
+
+@sql_query(
+    "f4_stored_page_after",
+    """select id, strftime(original_date, '%Y-%m-%d %H:%M:%S') as original_date from catalog
+    where original_date < timestamp '1996-01-01 12:30:00' and media_type = 'image'
+    order by catalog.original_date desc, id desc limit 30""",
+)
+def _(lib):
+    last = F.to_timestamp_ntz(F.lit("1996-01-01 12:30:00"))
+    at = lib.spark.range(1).select(last.alias("at")).first()["at"]
+    return P.stored_page_after(lib.spark, stored(lib), at, -1, 30, "image").select("id", day())
+
+
+@sql_query(
+    "e1_stored_counts",
+    """select count(*) as total, count(*) filter (where media_type = 'image') as images,
+    count(*) filter (where media_type = 'video') as videos, cast(coalesce(sum(size_bytes), 0) as bigint) as total_bytes from catalog""",
+)
+def _(lib):
+    return P.stored_counts(lib.spark, stored(lib))
+
+
+@sql_query(
+    "c6_query_stored",
+    f"""with hits as (
+      select c.* from catalog c where media_type = 'image'
+        and id in (select media_id from favorites)
+        and id in (select media_id from media_tags where tag in ('label_1','fr'))
+      order by original_date desc, id desc limit 20),
+    t as (select media_id, {PAGE_TAGS} as names from media_tags group by media_id)
+    select h.id, original_filename, strftime(original_date, '%Y-%m-%d %H:%M:%S') as original_date, coalesce(t.names, '') as tag_names
+    from hits h left join t on t.media_id = h.id""",
+)
+def _(lib):
+    rows = C.query_media(
+        P.read_catalog(lib.spark, stored(lib)), lib.favorites, lib.media_tags,
+        media_type="image", favorite=True, tags=WANTED,
+    )
+    return rows.select("id", "original_filename", day(), C.tag_names(F.col("tags")).alias("tag_names"))
