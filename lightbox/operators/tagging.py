@@ -35,6 +35,8 @@ RAW_THRESHOLD = 0.0
 MAX_FIT_ROWS = 4000
 # A set of models up to this size may travel to every executor.
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Kernel columns that a solver keeps.
+KERNEL_CACHE_BYTES = 32 * 1024 * 1024
 # Scores held in memory at once by a task.
 SCORES_AT_ONCE = 4_000_000
 
@@ -224,44 +226,104 @@ def _without_outliers(labelled: DataFrame, centers: DataFrame) -> DataFrame:
 # --- training ----------------------------------------------------------------
 
 
-def solve_dual(x: np.ndarray, y: np.ndarray, cost: np.ndarray, eps: float = SOLVER_TOLERANCE):
-    """(weights, bias) of the linear support-vector machine with per-row cost.
+class _KernelColumns:
+    """Columns of ``x @ x.T`` computed when asked for; the latest ones are kept, up to a number of bytes."""
 
-    Sequential minimal optimisation on the dual: the row violating optimality
-    most is paired with the one promising the largest decrease.
+    def __init__(self, x: np.ndarray, cache_bytes: int):
+        self.x, self.room = x, max(2, cache_bytes // max(1, 8 * len(x)))
+        self.held: dict[int, np.ndarray] = {}
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        column = self.held.pop(i, None)
+        if column is None:
+            if len(self.held) >= self.room:
+                self.held.pop(next(iter(self.held)))
+            column = self.x @ self.x[i]
+        self.held[i] = column
+        return column
+
+
+def _free_ends(y: np.ndarray, alpha: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose signed dual variable may grow, and rows whose may fall."""
+    below, above = alpha < cost, alpha > 0
+    return np.where(y > 0, below, above), np.where(y > 0, above, below)
+
+
+def solve_dual(
+    x: np.ndarray, y: np.ndarray, cost: np.ndarray, eps: float = SOLVER_TOLERANCE,
+    cache_bytes: int = KERNEL_CACHE_BYTES, shrink_every: int = 1_000, with_dual: bool = False,
+):
+    """(weights, bias) of the linear support-vector machine with per-row cost, and the dual value if asked for.
+
+    Sequential minimal optimisation on the dual: the row violating optimality most is paired with the
+    one promising the largest decrease. Kernel columns are computed when a row is chosen. Every
+    ``shrink_every`` steps rows that rest at a bound and cannot be chosen leave the working set; once that
+    is optimal, slopes of all rows follow from the weights, and the search goes on over all rows until
+    none violates optimality.
     """
-    kernel = x @ x.T
-    diag = kernel.diagonal()
-    alpha = np.zeros(len(y))
-    grad = -np.ones(len(y))
-    for _ in range(max(10_000, 100 * len(y))):
-        score = -y * grad
-        up = np.where(y > 0, alpha < cost, alpha > 0)
-        low = np.where(y > 0, alpha > 0, alpha < cost)
-        i = int(np.argmax(np.where(up, score, -np.inf)))
-        gain = score[i] - score
-        if gain[low].max(initial=-np.inf) < eps:
+    n = len(y)
+    diag = np.einsum("ij,ij->i", x, x)
+    alpha, steps, most = np.zeros(n), 0, max(10_000, 100 * n)
+    while True:
+        # Over all rows: slopes from the weights, so nothing that was left out stays unseen.
+        work = np.arange(n)
+        grad = y * (x @ ((alpha * y) @ x)) - 1.0
+        if _optimal(y, grad, alpha, cost, eps):
             break
-        curve = np.maximum(diag[i] + diag - 2 * kernel[i], 1e-12)
-        j = int(np.argmax(np.where(low & (gain > 0), gain**2 / curve, -np.inf)))
-        step = gain[j] / curve[j]
-        step = min(step, cost[i] - alpha[i] if y[i] > 0 else alpha[i])
-        step = min(step, alpha[j] if y[j] > 0 else cost[j] - alpha[j])
-        alpha[i] += y[i] * step
-        alpha[j] -= y[j] * step
-        grad += y * step * (kernel[i] - kernel[j])
-    else:
-        raise RuntimeError("the solver did not converge")
+        columns = _KernelColumns(x, cache_bytes)
+        while True:
+            yw, cw, dw = y[work], cost[work], diag[work]
+            score = -yw * grad
+            up, low = _free_ends(yw, alpha[work], cw)
+            i = int(np.argmax(np.where(up, score, -np.inf)))
+            gain = score[i] - score
+            # Down to half the tolerance, so the check over all rows is met in spite of rounding.
+            if gain[low].max(initial=-np.inf) < eps / 2 or not up.any():
+                break
+            if steps == most:
+                raise RuntimeError("the solver did not converge")
+            steps += 1
+            at = columns[i]
+            curve = np.maximum(dw[i] + dw - 2 * at, 1e-12)
+            j = int(np.argmax(np.where(low & (gain > 0), gain**2 / curve, -np.inf)))
+            a, b = work[i], work[j]
+            step = gain[j] / curve[j]
+            step = min(step, cost[a] - alpha[a] if y[a] > 0 else alpha[a])
+            step = min(step, alpha[b] if y[b] > 0 else cost[b] - alpha[b])
+            alpha[a] += y[a] * step
+            alpha[b] -= y[b] * step
+            grad += yw * step * (at - columns[j])
+            if steps % shrink_every == 0:
+                keep = _may_be_chosen(yw, grad, alpha[work], cw)
+                if keep.sum() < 0.9 * len(work):
+                    work, grad = work[keep], grad[keep]
+                    columns = _KernelColumns(x[work], cache_bytes)
+    weights = (alpha * y) @ x
     signed = y * grad
     free = (alpha > 0) & (alpha < cost)
     if free.any():
         bias = signed[free].mean()
     else:
-        score = -signed
-        up = np.where(y > 0, alpha < cost, alpha > 0)
-        low = np.where(y > 0, alpha > 0, alpha < cost)
-        bias = -(score[up].max() + score[low].min()) / 2
-    return (alpha * y) @ x, float(bias)
+        up, low = _free_ends(y, alpha, cost)
+        bias = -((-signed)[up].max() + (-signed)[low].min()) / 2
+    if with_dual:
+        return weights, float(bias), float(alpha.sum() - 0.5 * weights @ weights)
+    return weights, float(bias)
+
+
+def _optimal(y: np.ndarray, grad: np.ndarray, alpha: np.ndarray, cost: np.ndarray, eps: float) -> bool:
+    score = -y * grad
+    up, low = _free_ends(y, alpha, cost)
+    return not up.any() or not low.any() or score[up].max() - score[low].min() < eps
+
+
+def _may_be_chosen(y: np.ndarray, grad: np.ndarray, alpha: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Rows between their bounds, and those at one that still lie between the two extremes of the others."""
+    score = -y * grad
+    up, low = _free_ends(y, alpha, cost)
+    if not up.any() or not low.any():
+        return np.ones(len(y), bool)
+    return (up & low) | (up & (score >= score[low].min())) | (low & (score <= score[up].max()))
 
 
 def fit_platt(score: np.ndarray, positive: np.ndarray, rounds: int = 100) -> tuple[float, float]:
@@ -297,16 +359,16 @@ def fit_platt(score: np.ndarray, positive: np.ndarray, rounds: int = 100) -> tup
     return float(a), float(b)
 
 
-def train_one(positives: np.ndarray, negatives: np.ndarray):
-    """(weights, bias, a, b) of one tag; rare positives weigh as much as all negatives."""
+def train_one(positives: np.ndarray, negatives: np.ndarray, with_dual: bool = False):
+    """(weights, bias, a, b) of one tag, and the dual value if asked for; rare positives weigh as much as all negatives."""
     n_pos, n_neg = len(positives), len(negatives)
     x = V.unit_rows(np.vstack([positives, negatives]).astype(np.float64))
     y = np.concatenate([np.ones(n_pos), -np.ones(n_neg)])
     cost = np.where(y > 0, n_neg / n_pos, 1.0)
-    weights, bias = solve_dual(x, y, cost)
+    weights, bias, dual = solve_dual(x, y, cost, with_dual=True)
     few = min(n_pos, n_neg)
     a, b = fit_platt(x[: n_pos + few] @ weights - bias, y[: n_pos + few] > 0)
-    return weights, bias, a, b
+    return (weights, bias, a, b, dual) if with_dual else (weights, bias, a, b)
 
 
 def fit_sample(training: DataFrame, max_rows: int = MAX_FIT_ROWS) -> DataFrame:
@@ -318,13 +380,13 @@ def fit_sample(training: DataFrame, max_rows: int = MAX_FIT_ROWS) -> DataFrame:
     return training.withColumn("_row", F.row_number().over(order)).where(F.col("_row") <= max_rows).drop("_row")
 
 
-def train_models(training: DataFrame, max_rows: int = MAX_FIT_ROWS) -> DataFrame:
-    """(tag, weights, bias, platt_a, platt_b) for every tag with both kinds of rows.
+def train_models(training: DataFrame, max_rows: int = MAX_FIT_ROWS, with_dual: bool = False) -> DataFrame:
+    """(tag, weights, bias, platt_a, platt_b), and ``dual`` if asked for, of every tag with both kinds of rows.
 
     Tags train in parallel, one to a task, all by the same solver; the rows of a
     task are bounded by :func:`fit_sample`.
     """
-    schema = f"tag string, {MODEL_FIELDS}"
+    schema = f"tag string, {MODEL_FIELDS}, dual double"
 
     def fit(table: pa.Table) -> pa.Table:
         x, _ = V.to_matrix(table.column("embedding"))
@@ -334,19 +396,70 @@ def train_models(training: DataFrame, max_rows: int = MAX_FIT_ROWS) -> DataFrame
         )
         x, part = x[key], part[key]
         pos = part == "pos"
-        rows = {"tag": [], "weights": [], "bias": [], "platt_a": [], "platt_b": []}
+        rows = {"tag": [], "weights": [], "bias": [], "platt_a": [], "platt_b": [], "dual": []}
         if pos.any() and not pos.all():
-            w, bias, a, b = train_one(x[pos], x[~pos])
+            w, bias, a, b, dual = train_one(x[pos], x[~pos], with_dual=True)
             rows = {
                 "tag": [table.column("tag")[0].as_py()], "weights": [w.tolist()], "bias": [bias],
-                "platt_a": [a], "platt_b": [b],
+                "platt_a": [a], "platt_b": [b], "dual": [dual],
             }
         return pa.table(rows, pa.schema([
             ("tag", pa.string()), ("weights", pa.list_(pa.float64())), ("bias", pa.float64()),
-            ("platt_a", pa.float64()), ("platt_b", pa.float64()),
+            ("platt_a", pa.float64()), ("platt_b", pa.float64()), ("dual", pa.float64()),
         ]))
 
-    return fit_sample(training, max_rows).groupBy("tag").applyInArrow(fit, schema)
+    models = fit_sample(training, max_rows).groupBy("tag").applyInArrow(fit, schema)
+    return models if with_dual else models.drop("dual")
+
+
+def _margins(models: DataFrame, training: DataFrame) -> DataFrame:
+    """(tag, pos, row, score, n_pos, n_neg): score of every row that a tag was fitted on, in the order of the fit.
+
+    The rows of a tag, at most twice :data:`MAX_FIT_ROWS`, share its totals through one window.
+    """
+    whole = Window.partitionBy("tag")
+    part = F.when(F.col("part") == "pos", 0).when(F.col("part") == "rand", 2).otherwise(1)
+    order = whole.orderBy(part, "ord", "id")
+    score = V.dot(V.l2_normalize(F.col("embedding")), F.col("weights")) - F.col("bias")
+    return fit_sample(training).join(models.drop("dual"), "tag").select(
+        "tag", (F.col("part") == "pos").alias("pos"), F.row_number().over(order).alias("row"), score.alias("score"),
+        F.count_if(F.col("part") == "pos").over(whole).alias("n_pos"), F.count_if(F.col("part") != "pos").over(whole).alias("n_neg"),
+        "platt_a", "platt_b",
+    )
+
+
+def duality_gaps(models: DataFrame, training: DataFrame) -> DataFrame:
+    """(tag, n_pos, n_neg, n_margin, primal, dual, gap) of :func:`train_models` with ``dual``.
+
+    The primal value is computed from the returned weights over the training rows alone, so a small
+    ``gap``, relative to it, proves the weights near-optimal whatever the solver did. ``n_margin``
+    counts rows on or inside the margin.
+    """
+    truth = F.when(F.col("pos"), 1.0).otherwise(-1.0)
+    cost = F.when(F.col("pos"), F.col("n_neg") / F.col("n_pos")).otherwise(1.0)
+    slack = F.greatest(1 - truth * F.col("score"), F.lit(0.0))
+    losses = _margins(models, training).groupBy("tag").agg(
+        F.first("n_pos").alias("n_pos"), F.first("n_neg").alias("n_neg"),
+        F.count_if(slack > 0).alias("n_margin"), F.sum(cost * slack).alias("_loss"),
+    )
+    norm = V.dot(F.col("weights"), F.col("weights"))
+    return losses.join(models.select("tag", "dual", norm.alias("_norm")), "tag").withColumn(
+        "primal", 0.5 * F.col("_norm") + F.col("_loss")
+    ).withColumn("gap", (F.col("primal") - F.col("dual")) / F.col("primal")).drop("_norm", "_loss")
+
+
+def platt_slopes(models: DataFrame, training: DataFrame) -> DataFrame:
+    """(tag, n_fit, slope_a, slope_b): the derivatives of the likelihood that :func:`fit_platt` has brought to zero.
+
+    Fitted are the positives and as many of the first negatives, at most one for each positive.
+    """
+    few = F.least("n_pos", "n_neg")
+    rows = _margins(models, training).where(F.col("row") <= F.col("n_pos") + few)
+    target = F.when(F.col("pos"), (F.col("n_pos") + 1) / (F.col("n_pos") + 2)).otherwise(1 / (few + 2))
+    off = target - platt_probability(F.col("score"), F.col("platt_a"), F.col("platt_b"))
+    return rows.groupBy("tag").agg(
+        F.count("*").alias("n_fit"), F.sum(off * F.col("score")).alias("slope_a"), F.sum(off).alias("slope_b")
+    )
 
 
 @dataclass

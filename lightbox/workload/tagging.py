@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lightbox.functions import vectors as V
 from lightbox.operators import tagging as J
+from lightbox.session import durable
 from lightbox.workload.registry import query
 from lightbox.workload.similarity import VECTOR_VIEWS, rounded, vectors
 
@@ -112,6 +113,39 @@ def _(lib):
     )
 
 
+# Tags that have rows of both kinds, with their numbers; the optimum itself is proved by its gap.
+FITTED = """select tag, count(*) filter (where part = 'pos') as n_pos, count(*) filter (where part <> 'pos') as n_neg from (
+      select tag, 'pos' as part, id from tag_kept
+      union all select tag, 'hard', id from tag_near where ord <= 20 and distance > 0.05
+      union all select k.tag, 'rand', d.id from (select tag, count(*) as n from tag_kept group by tag) k
+        join drawn d on d.ord <= least(greatest(3 * k.n, 30), 100)
+        where not exists (select 1 from media_tags t where t.tag = k.tag and t.media_id = d.id)) group by tag"""
+
+
+@query(
+    "j2_duality_gap",
+    f"select tag, n_pos, n_neg, true as optimal from ({FITTED}) where n_pos > 0 and n_neg > 0",
+    TRAINING_VIEWS,
+)
+def _(lib):
+    training = durable(J.training_set(lib.media_tags, vectors(lib)))
+    models = durable(J.train_models(training, with_dual=True))
+    gap = F.col("gap").between(-1e-6, 0.02)
+    return J.duality_gaps(models, training).select("tag", "n_pos", "n_neg", gap.alias("optimal"))
+
+
+@query(
+    "j3_platt_slopes",
+    f"select tag, n_pos + least(n_pos, n_neg) as n_fit, true as stationary from ({FITTED}) where n_pos > 0 and n_neg > 0",
+    TRAINING_VIEWS,
+)
+def _(lib):
+    training = durable(J.training_set(lib.media_tags, vectors(lib)))
+    models = durable(J.train_models(training))
+    flat = F.greatest(F.abs("slope_a"), F.abs("slope_b")) < 1e-3
+    return J.platt_slopes(models, training).select("tag", "n_fit", flat.alias("stationary"))
+
+
 @query("j7_learn_tag")
 def _(lib):
     _, _, found = J.learn_tag("label_1", lib.media_tags, lib.models, vectors(lib))

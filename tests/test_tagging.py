@@ -1,4 +1,5 @@
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -46,6 +47,40 @@ def test_dual_solution_is_optimal():
     assert loose <= best * 1.01 + 1e-6
 
 
+def test_solver_needs_no_kernel_matrix_and_shrinks():
+    rng = np.random.default_rng(8)
+    n = 6000
+    y = np.where(np.arange(n) < n // 3, 1.0, -1.0)
+    x = unit(rng.normal(size=(n, 32)) + 0.8 * y[:, None] * np.eye(32)[0])
+    cost = np.where(y > 0, 2.0, 1.0)
+    tracemalloc.start()
+    w, b, dual = J.solve_dual(x, y, cost, with_dual=True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    primal = 0.5 * w @ w + (cost * np.maximum(0, 1 - y * (x @ w - b))).sum()
+    assert -1e-6 <= (primal - dual) / primal < 0.02
+    # A tight cache and no shrinking reach the same optimum.
+    x, y, cost = x[::10], y[::10], cost[::10]
+    values = [J.solve_dual(x, y, cost, 1e-4, c, e, True)[2] for c, e in ((0, 50), (1 << 25, 50), (1 << 25, 10**9))]
+    assert values == pytest.approx([values[0]] * 3, rel=1e-5)
+
+
+def test_gap_and_slopes_from_returned_models(spark):
+    vectors, tags, _ = library(spark)
+    training = J.training_set(tags, vectors)
+    models = J.train_models(training, with_dual=True)
+    row = J.duality_gaps(models, training).first()
+    assert row["tag"] == "cat" and -1e-6 <= row["gap"] < 0.02 and row["n_margin"] > 0
+    worse = models.withColumn("weights", F.transform("weights", lambda v: v * 0.5))
+    assert J.duality_gaps(worse, training).first()["gap"] > 0.05
+    slopes = J.platt_slopes(models, training).first()
+    assert slopes["n_fit"] == row["n_pos"] + min(row["n_pos"], row["n_neg"])
+    assert abs(slopes["slope_a"]) < 1e-3 and abs(slopes["slope_b"]) < 1e-3
+    moved = J.platt_slopes(models.withColumn("platt_b", F.col("platt_b") + 1), training).first()
+    assert abs(moved["slope_b"]) > 0.1
+
+
 def test_platt_is_the_minimum_and_orders_scores():
     rng = np.random.default_rng(4)
     score = np.concatenate([rng.normal(1, 1, 50), rng.normal(-1, 1, 50)])
