@@ -18,6 +18,10 @@ BLOCK_WORDS = 256
 MAX_BLOCKS = 131_072
 PASSES = 3
 CHUNK = 1_024
+# Columns of :func:`mix` and :func:`stream`; a carried column of such a name gets another.
+OWN_COLUMNS = (
+    "doc_id", "source", "size", "source_size", "target", "taken", "slices", "slot", "rank", "offset", "begin", "end",
+)
 # Fixed value: the fractional part of the golden ratio.
 GOLDEN = 0.6180339887498949
 
@@ -165,6 +169,17 @@ def _slices(placed: DataFrame, slots: DataFrame) -> DataFrame:
     )
 
 
+def carried_names(carry: tuple[str, ...]) -> list[str]:
+    """What carried columns are called in the result: ``size`` becomes ``size_carried``. Case does not tell names apart."""
+    used, names = {c.lower() for c in OWN_COLUMNS}, []
+    for name in carry:
+        while name.lower() in used:
+            name += "_carried"
+        used.add(name.lower())
+        names.append(name)
+    return names
+
+
 def mix(
     docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source",
     weights: tuple[int, ...] = (1, 2, 3), block_words: int = BLOCK_WORDS, carry: tuple[str, ...] = (), slices: bool = False,
@@ -177,12 +192,14 @@ def mix(
     counted: each source's sum is its target rounded to whole words, and no
     document is taken more than three times. Null texts have size 0 and, like
     sources without words, nothing is taken of them. Equal inputs give equal results;
-    rows alike in every column may swap theirs. An empty table gives an empty result.
+    rows alike in every column may swap theirs. An empty table gives an empty result. Carried columns
+    that are called like one of the result's come back under :func:`carried_names`; other columns are not read.
     """
+    names = carried_names(carry)
     shuffle = F.md5(F.concat_ws("|", F.coalesce(F.col(id).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
     rows = durable(
         docs.select(
-            F.monotonically_increasing_id().alias("row_no"), F.col(id).alias("doc_id"), F.struct(*carry).alias("carried") if carry else F.lit(0).alias("carried"),
+            F.monotonically_increasing_id().alias("row_no"), F.col(id).alias("doc_id"), F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]).alias("carried") if carry else F.lit(0).alias("carried"),
             F.col(source).alias("source"), word_count(F.col(text)).alias("size"), shuffle.alias("shuffle"),
         )
     )
@@ -207,7 +224,7 @@ def mix(
         out = out.join(rows.select("row_no", "carried"), "row_no")
     kept = ["slices"] if slices else []
     return out.withColumns({"taken": F.coalesce("taken", F.lit(0)).cast("long")} | {c: F.coalesce(c, F.array()) for c in kept}).select(
-        "doc_id", *[F.col(f"carried.`{c}`") for c in carry], "source", "size", "source_size", "target", "taken", *kept
+        "doc_id", *[F.col(f"carried.c{i}").alias(c) for i, c in enumerate(names)], "source", "size", "source_size", "target", "taken", *kept
     )
 
 
@@ -218,9 +235,23 @@ def stream(mixed: DataFrame, text: str = "text") -> DataFrame:
     ``text``, the slice with the white space after its words. The order of the stream is
     (slot, source, rank, offset); only slots after the last drawn one may name several ranks.
     """
-    words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), 0)
+    words = F.regexp_extract_all(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), 0)
     counts = {text, "slices", "size", "source_size", "target", "taken"}
-    others = [F.col(f"`{c}`") for c in mixed.columns if c not in counts]
-    rows = mixed.where(F.size("slices") > 0).select(*others, words.alias("words"), F.explode("slices").alias("s"))
-    cut = F.array_join(F.slice("words", (F.col("s.begin") + 1).cast("int"), (F.col("s.end") - F.col("s.begin")).cast("int")), "")
-    return rows.select("s.*", *others, cut.alias(text))
+    others = [c for c in mixed.columns if c not in counts]
+
+    def pieces(split: Column) -> Column:
+        def cut(s: Column) -> Column:
+            taken = F.slice(split, (s["begin"] + 1).cast("int"), (s["end"] - s["begin"]).cast("int"))
+            return F.struct(*[s[c].alias(c) for c in ("slot", "rank", "offset", "begin", "end")], F.array_join(taken, "").alias("piece"))
+
+        return F.transform("slices", cut)
+
+    # Slices are cut before rows are made, so no row holds more than its own words; a text is split once.
+    cuts = F.flatten(F.transform(F.array(words), pieces))
+    rows = mixed.where(F.size("slices") > 0).select(
+        F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).alias("doc"), F.explode(cuts).alias("cut")
+    )
+    return rows.select(
+        *[F.col(f"cut.{c}") for c in ("slot", "rank", "offset", "begin", "end")],
+        *[F.col(f"doc.c{i}").alias(c) for i, c in enumerate(others)], F.col("cut.piece").alias(text),
+    )

@@ -463,6 +463,23 @@ def test_mixed_stream(spark):
             assert {(r.source, r.rank) for r in got if r.slot == i} == {(here, used[here])}
 
 
+def test_mix_carries_columns_of_any_name(spark):
+    names = ["size", "slot", "Target", "words", "s", "a.b", "doc", "cut", "row_no", "taken"]
+    rows = [(i, f"w{i} " * (5 + i % 7) if i % 9 else None, f"s{i % 2}", *[i] * len(names)) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` long" for n in names))
+    mixed = mixing.mix(frame, carry=("text", *names), block_words=16, slices=True)
+    back = mixing.carried_names(tuple(names))
+    assert back == ["size_carried", "slot_carried", "Target_carried", "words", "s", "a.b", "doc", "cut", "row_no", "taken_carried"]
+    out = mixed.collect()
+    assert len(out) == 60 and all(r[n] == r.doc_id for r in out for n in back)
+    assert all(r["size"] == len((rows[r.doc_id][1] or "").split()) for r in out)
+    streamed = mixing.stream(mixed)
+    assert len({c.lower() for c in streamed.columns}) == len(streamed.columns)
+    got = streamed.collect()
+    assert got and all(r[n] == r.doc_id for r in got for n in back)
+    assert all(r.text.split() == rows[r.doc_id][1].split()[r.begin : r.end] for r in got)
+
+
 def test_schedule_is_evenly_spread(spark):
     rows = [(i, "x " * 500, "en", f"s{i % 4}", 1) for i in range(800)]
     frame = spark.createDataFrame(rows, DOCS)
