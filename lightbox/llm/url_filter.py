@@ -20,6 +20,8 @@ from lightbox.session import durable
 MAX_LABELLED = 20_000
 TREES, DEPTH = 12, 4
 SUFFIX_SMOOTHING = 10.0
+# Parts of the labelled URLs; a URL's own part is left out of the suffix statistics it is trained with.
+SUFFIX_PARTS = 5
 FEATURES = (
     "url_length", "host_length", "path_length", "depth", "labels", "digits", "host_digits", "hyphens",
     "parameters", "query_length", "fragment", "secure", "entropy", "host_entropy", "longest_token", "suffix_share", "suffix_risk",
@@ -93,7 +95,8 @@ def url_verdicts(
 
     ``labelled`` (url, blocked 0/1) trains the trees; without it the URLs that rules
     judge are the labels. At most ``max_labelled`` distinct URLs, in the order of a
-    seeded hash, are used to fit; suffix statistics count every row. ``risk`` is the
+    seeded hash, are used to fit; suffix statistics count every labelled URL, but for a URL that
+    trains the trees only those of other parts, so its own label never reaches its features. ``risk`` is the
     trees' probability of blocking, 1 or 0 if all labels agree, 0 without labels.
     A URL that no rule covers is blocked at a risk of 0.5 and more.
     """
@@ -106,30 +109,45 @@ def url_verdicts(
     else:
         known = labelled.where(F.col("url").isNotNull() & F.col("blocked").isNotNull()).select("url", F.col("blocked").cast("double").alias("label"))
     known = known.groupBy("url").agg(F.max("label").alias("label"))
-    by_suffix = known.groupBy(suffix_of(host_and_path(F.col("url"))[0]).alias("s")).agg(
-        F.sum("label").alias("bad"), F.count("*").alias("seen")
+    part = F.pmod(F.xxhash64("url", F.lit(seed + 1)), F.lit(SUFFIX_PARTS))
+    counted = durable(
+        known.groupBy(suffix_of(host_and_path(F.col("url"))[0]).alias("s"), part.alias("part")).agg(
+            F.sum("label").alias("bad"), F.count("*").alias("seen")
+        )
     )
+    by_suffix = counted.groupBy("s").agg(F.sum("bad").alias("bad"), F.sum("seen").alias("seen"))
     chosen = durable(known.orderBy(F.xxhash64("url", F.lit(seed)), "url").limit(max_labelled))
     stats = chosen.agg(F.count("*").alias("n"), F.avg("label").alias("mean")).first()
 
     rows = judged.agg(F.count("*")).first()[0]
     shares = judged.groupBy(suffix_of(F.col("host")).alias("s")).agg((F.count("*") / F.lit(max(rows, 1))).alias("suffix_share"))
     mean = stats["mean"] or 0.0
+
+    def smoothed(bad: Column, seen: Column) -> Column:
+        return (F.coalesce(bad, F.lit(0.0)) + mean * SUFFIX_SMOOTHING) / (F.coalesce(seen, F.lit(0)) + SUFFIX_SMOOTHING)
+
     suffixes = durable(shares.join(by_suffix, "s", "left").select(
-        "s", "suffix_share",
-        ((F.coalesce("bad", F.lit(0.0)) + mean * SUFFIX_SMOOTHING) / (F.coalesce("seen", F.lit(0)) + SUFFIX_SMOOTHING)).alias("suffix_risk"),
+        "s", "suffix_share", smoothed(F.col("bad"), F.col("seen")).alias("suffix_risk")
     ))
+    # What a suffix looks like without one part of its labelled URLs.
+    left_out = counted.join(by_suffix.toDF("s", "all_bad", "all_seen"), "s").select(
+        F.col("s").alias("left_s"), F.col("part").alias("left_part"),
+        smoothed(F.col("all_bad") - F.col("bad"), F.col("all_seen") - F.col("seen")).alias("left_risk"),
+    )
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
 
-    def features(urls: DataFrame) -> DataFrame:
+    def features(urls: DataFrame, training: bool = False) -> DataFrame:
         described = lexical(urls).join(suffixes, F.col("suffix") == F.col("s"), "left").fillna({"suffix_share": 0.0, "suffix_risk": mean})
+        if training:
+            own = (F.col("suffix") == F.col("left_s")) & (part == F.col("left_part"))
+            described = described.join(left_out, own, "left").withColumn("suffix_risk", F.coalesce("left_risk", F.lit(mean)))
         return assembler.transform(described)
 
     if not stats["n"] or mean in (0.0, 1.0):
         scored = judged.withColumn("risk", F.lit(float(mean)))
     else:
         trainer = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=seed, labelCol="label", maxBins=64)
-        model = trainer.fit(features(chosen).select("features", "label"))
+        model = trainer.fit(features(chosen, training=True).select("features", "label"))
         # Rules decide most rows; only the rest needs features.
         open_rows = features(judged.where("ruled is null").drop("host", "path"))
         predicted = model.transform(open_rows).select(

@@ -564,6 +564,16 @@ def test_url_trees_learn_lexical_signs(spark):
     assert out.where((F.col("verdict") == "block") != (F.col("page_id") % 2 == 1)).count() == 0
 
 
+def test_url_trees_do_not_trust_their_own_labels(spark):
+    """A suffix of its own for every labelled URL says nothing of others; the lexical sign does."""
+    urls = [(i, f"http://h.s{i}.org/x{'/y' * (3 if i % 2 else 0)}") for i in range(600)]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    noisy = ((F.col("page_id") % 2 == 1) != (F.col("page_id") % 10 == 0)).cast("int")
+    labelled = pages.where("page_id < 450").select("url", noisy.alias("blocked"))
+    out = url_filter.url_verdicts(pages, [], labelled=labelled).where("page_id >= 450")
+    assert out.where((F.col("verdict") == "block") == (F.col("page_id") % 2 == 1)).count() == 150
+
+
 def test_line_dedup(spark, rows):
     rng = np.random.default_rng(7)
     texts = []
