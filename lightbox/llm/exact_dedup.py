@@ -27,24 +27,24 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", "")
 
 
-# Characters of a text that order it; a 128-bit hash of the whole text settles equal beginnings.
+# Characters of a text that order it first; hashes of the whole, then the whole, settle equal beginnings.
 LEADING = 32
 
 
 def _sorted_ranges(rows: DataFrame, norm: Column, carry: str, ranges: int) -> DataFrame:
     """(part, norm, ``carry``) in global order of (text, most characters, least id).
 
-    Texts are ordered by their leading characters, then by a hash of the whole,
-    so equal texts are neighbours and the splitters sampled on the driver stay
-    small however long texts are.
+    Texts are ordered by their leading characters, then by two hashes of the whole, then by the whole, so
+    equal texts are neighbours whatever the hashes say. Splitters sampled on the driver
+    leave the whole out, so they stay small however long texts are.
     """
     keys = {"lead": F.substring(norm, 1, LEADING), "h1": F.xxhash64(norm), "h2": F.xxhash64(F.lit(1), norm)}
-    order = ["lead", "h1", "h2", F.desc("n_chars"), F.asc_nulls_last("id")]
+    preference = [F.desc("n_chars"), F.asc_nulls_last("id")]
     return (
         rows.withColumns(keys)
-        .repartitionByRange(ranges, *order)
+        .repartitionByRange(ranges, "lead", "h1", "h2", *preference)
         .withColumn("norm", norm)
-        .sortWithinPartitions(*order)
+        .sortWithinPartitions("lead", "h1", "h2", "norm", *preference)
         .select(F.spark_partition_id().alias("part"), "norm", carry)
     )
 

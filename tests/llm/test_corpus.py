@@ -60,6 +60,17 @@ def test_exact_dedup(docs, clashing, ranges):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(w[0]) for w in want if w[3])
 
 
+def test_exact_dedup_of_texts_whose_hashes_agree(spark, monkeypatch):
+    """Texts alike in all that orders them first are told apart by the whole text."""
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: exact_dedup.F.lit(0).cast("long"))
+    start = "x" * exact_dedup.LEADING
+    rows = [(i, start + str(i % 7) + " " * (i % 5)) for i in range(70)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    out = exact_dedup.copy_groups(frame, ranges=1).collect()
+    assert {r.group_size for r in out} == {10} and sum(r.kept for r in out) == 7
+    assert exact_dedup.drop_copies(frame, ranges=1).count() == 7
+
+
 def test_exact_dedup_hot_group(spark):
     rows = spark.range(3_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("text"))
     out = exact_dedup.copy_groups(rows, ranges=20).where("group_size = 1000")
