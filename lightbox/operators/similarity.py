@@ -165,7 +165,8 @@ def weighted_distinct(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = durable(directed.select("id", V.fingerprint(F.col("embedding")).alias("_key")))
     first = durable(keyed.groupBy("_key").agg(F.min("id").alias("rep"), F.count("*").alias("weight")))
     members = keyed.join(first, "_key").select("id", "rep")
-    distinct = directed.join(first.select(F.col("rep").alias("id"), "weight"), "id").select("id", "embedding", "weight")
+    # Written, since it is counted, sampled and compared.
+    distinct = durable(directed.join(first.select(F.col("rep").alias("id"), "weight"), "id").select("id", "embedding", "weight"))
     return distinct, members
 
 

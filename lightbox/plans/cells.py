@@ -3,8 +3,9 @@
 Vectors go to the cell of their nearest pivot. Geometry tells which other cells
 can hold a partner, so vectors travel only there; inside a cell, blocks of
 bounded size are compared by matrix products. A crowded cell is cut into as many
-blocks as it needs. Nothing is approximate: the bounds only skip comparisons
-that cannot succeed.
+blocks as it needs. Where a sample shows that the bounds exclude too little to pay
+for the copies, fewer cells are made, down to one grid of tiles over all vectors.
+Nothing is approximate: the bounds only skip comparisons that cannot succeed.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lightbox.functions.vectors import to_matrix, unit_rows
-from lightbox.plans.components import forest
 
 BLOCK_ROWS = 4096
 # What one side of a comparison may hold; a crowded cell is compared as a grid of tiles, whose
@@ -26,7 +26,14 @@ BLOCK_ROWS = 4096
 TILE_BYTES = 48 << 20
 MAX_PIVOTS = 1024
 STRIP_ROWS = 512
+# Columns of one product: with a strip of rows it holds 8 MB in single precision.
+STRIP_COLUMNS = 4096
 SLACK = 1e-6
+# Rows that show how far the bounds of a set of cells reach, and what sending a row costs in pairs compared.
+PROBES = 256
+COPY_COST = 20_000
+# Edges that a grouping task gathers before it folds them into its forest.
+MERGE_EDGES = 500_000
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -68,19 +75,52 @@ def by_length(vectors: DataFrame) -> dict[int, tuple[DataFrame, int]]:
     return {r["dim"]: (directed.where(F.size("embedding") == r["dim"]), r["n"]) for r in sizes}
 
 
-def choose_pivots(vectors: DataFrame, n: int, dim: int, block_rows: int = BLOCK_ROWS) -> Pivots:
-    """A seeded sample of the ``n`` directed vectors of one length, about one per block of rows."""
-    wanted = int(min(max(n // block_rows, 1), MAX_PIVOTS))
+def _sample(vectors: DataFrame, rows: int, dim: int) -> np.ndarray:
+    """Unit vectors of the first rows in seeded hash order."""
     sample = (
         vectors.select("id", "embedding")
         .orderBy(F.md5(F.concat(F.lit("pivot:"), F.coalesce(F.col("id").cast("string"), F.lit("")))), "id")
-        .limit(wanted)
+        .limit(rows)
         .toArrow()
     )
-    matrix, _ = to_matrix(sample.column("embedding"), dim)
-    pivots = Pivots(np.unique(unit_rows(matrix), axis=0))
-    pivots.rows = n
-    return pivots
+    return unit_rows(to_matrix(sample.column("embedding"), dim)[0])
+
+
+def _tiles_of(rows: float, block_rows: int, dim: int) -> int:
+    """:func:`tiles` of one number."""
+    blocks = int(np.ceil(rows / block_rows))
+    return int(max(1, np.ceil(np.sqrt(blocks)), np.ceil(rows * 8 * dim / TILE_BYTES)))
+
+
+def _cost(pivots: Pivots, probes: np.ndarray, n: int, radius: float, block_rows: int) -> float:
+    """Expected work per vector with these cells: pairs compared, and copies sent as :data:`COPY_COST` pairs each."""
+    d = pivots.distances(probes)
+    home = d.argmin(axis=1)
+    near = pivots.bisector_gap(d, home) <= radius + SLACK
+    cells = d.shape[1]
+    # A vector is the guest of the lower half of the cells that it reaches.
+    guests = (near.sum(axis=1).mean() - 1.0) / 2.0
+    held = (1.0 + guests) * n / cells
+    return (0.5 + guests) * n / cells + COPY_COST * (1.0 + guests) * _tiles_of(held, block_rows, probes.shape[1])
+
+
+def choose_pivots(vectors: DataFrame, n: int, dim: int, radius: float, block_rows: int = BLOCK_ROWS) -> Pivots:
+    """A seeded sample of the ``n`` directed vectors of one length: at most about one per block of rows, and of
+    these as many as make the work least by a sample of further vectors."""
+    wanted = int(min(max(n // block_rows, 1), MAX_PIVOTS))
+    units = _sample(vectors, wanted + (PROBES if wanted > 1 else 0), dim)
+    points, probes = units[:wanted], units[wanted:] if len(units) > wanted else units
+    best, least = Pivots(points[:1]), np.inf
+    while True:
+        pivots = Pivots(np.unique(points, axis=0))
+        cost = _cost(pivots, probes, n, radius, block_rows)
+        if cost < least or len(points) == 1 and cost <= least:
+            best, least = pivots, cost
+        if len(points) == 1:
+            break
+        points = points[: max(1, len(points) // 4)]
+    best.rows = n
+    return best
 
 
 # Rows sent to other cells leave in slices of this size, so a batch never multiplies in memory.
@@ -122,6 +162,9 @@ def place_for_radius(vectors: DataFrame, pivots: Pivots, radius: float) -> DataF
             yield from _place(batch.filter(pa.array(ok)), home, guest)
 
     weight = F.col("weight").cast("long") if "weight" in vectors.columns else F.lit(1).cast("long").alias("weight")
+    if len(pivots.points) == 1:
+        # One cell: everything is at home where it lies.
+        return vectors.select(F.col("id").cast("long"), weight, F.lit(0).alias("cell"), F.lit(True).alias("home"), "embedding")
     kind = vectors.schema["embedding"].dataType.simpleString()
     row = f"id long, weight long, cell int, home boolean, embedding {kind}"
     return vectors.select(F.col("id").cast("long"), "embedding", weight).mapInArrow(run, row)
@@ -155,24 +198,77 @@ def _cut(placed: DataFrame, block_rows: int, dim: int, fits_one: bool) -> DataFr
     )
 
 
-def _matches(table: pa.Table, min_dot: float):
-    """Yield (ids a, ids b, dots, weights a, weights b) of qualifying pairs of one block pair, in strips."""
-    ids = table.column("id").to_numpy()
-    weight = table.column("weight").to_numpy()
-    units = unit_rows(to_matrix(table.column("embedding"))[0])
-    home = table.column("home").to_numpy()
-    block = table.column("block").to_numpy()
-    lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-    a, b = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-    for start in range(0, len(a), STRIP_ROWS):
-        rows = a[start : start + STRIP_ROWS]
-        dots = units[rows] @ units[b].T
-        hit = (dots >= min_dot) & (home[rows][:, None] | home[b][None, :])
-        if lo == hi:
-            hit &= ids[rows][:, None] < ids[b][None, :]
-        i, j = np.nonzero(hit)
-        if len(i):
-            yield ids[rows[i]], ids[b[j]], dots[i, j], weight[rows[i]], weight[b[j]]
+class _Tile:
+    """One block pair: rows of both blocks in one order, those at home first in each block."""
+
+    def __init__(self, table: pa.Table):
+        ids, home = table.column("id").to_numpy(), table.column("home").to_numpy()
+        block = table.column("block").to_numpy()
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        order = np.lexsort((ids, ~home, block))
+        self.ids, self.weight = ids[order], table.column("weight").to_numpy()[order]
+        self.units = unit_rows(to_matrix(table.column("embedding"))[0])[order]
+        self.single = self.units.astype(np.float32)
+        first = int((block == lo).sum())
+        own = home[order]
+        self.same = lo == hi
+        if self.same:
+            at_home = int(own.sum())
+            # Pairs of two at home once, then those at home with guests; two guests meet elsewhere.
+            self.spans = [(0, at_home, 0, at_home), (0, at_home, at_home, len(ids))]
+            self.repeated = len(np.unique(ids)) < len(ids)
+        else:
+            a, b = int(own[:first].sum()), first + int(own[first:].sum())
+            self.spans = [(0, a, first, len(ids)), (a, first, first, b)]
+            self.repeated = False
+
+    def matches(self, min_dot: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, rows, dots) of qualifying pairs, a product at a time.
+
+        Products are taken in single precision and what may qualify is computed again in double.
+        """
+        below = np.float32(min_dot - 4.0 * (self.units.shape[1] + 8) * 2.0**-24)
+        for k, (r0, r1, c0, c1) in enumerate(self.spans):
+            triangle = self.same and k == 0
+            for a in range(r0, r1, STRIP_ROWS):
+                z = min(a + STRIP_ROWS, r1)
+                for b in range(a if triangle else c0, c1, STRIP_COLUMNS):
+                    y = min(b + STRIP_COLUMNS, c1)
+                    may = (self.single[a:z] @ self.single[b:y].T >= below).ravel()
+                    some = np.count_nonzero(may)
+                    if not some:
+                        continue
+                    if some > may.size // 50:
+                        dots = (self.units[a:z] @ self.units[b:y].T).ravel()
+                        at = np.flatnonzero(dots >= min_dot)
+                        dots = dots[at]
+                        i, j = np.divmod(at, y - b)
+                        i, j = i + a, j + b
+                    else:
+                        i, j = np.divmod(np.flatnonzero(may), y - b)
+                        i, j = i + a, j + b
+                        dots = np.einsum("ij,ij->i", self.units[i], self.units[j])
+                    keep = dots >= min_dot
+                    if triangle:
+                        keep &= i < j
+                    if self.repeated:
+                        keep &= self.ids[i] != self.ids[j]
+                    if keep.any():
+                        yield i[keep], j[keep], dots[keep]
+
+
+def _fold(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Take edges between positions into their labels, each the least position reachable."""
+    while True:
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
+            return
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        low = np.minimum(a, b)
+        np.minimum.at(label, np.maximum(a, b), low)
+        while (label[label] != label).any():
+            label[:] = label[label]
 
 
 def pairs_within(
@@ -189,29 +285,41 @@ def pairs_within(
     min_dot = 1.0 - threshold
 
     def pairs(table: pa.Table) -> pa.Table:
-        found = [m[:3] for m in _matches(table, min_dot)] or [(np.empty(0, np.int64),) * 2 + (np.empty(0),)]
+        tile = _Tile(table)
+        found = list(tile.matches(min_dot)) or [(np.empty(0, np.int64),) * 2 + (np.empty(0),)]
         x, y, s = (np.concatenate(c) for c in zip(*found))
+        x, y = tile.ids[x], tile.ids[y]
         return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "distance": np.maximum(1.0 - s, 0.0)})
 
     def spanning(table: pa.Table) -> pa.Table:
-        u = v = np.empty(0, np.int64)
-        for x, y, *_ in _matches(table, min_dot):
-            u, v = forest(np.concatenate([u, x]), np.concatenate([v, y]))
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+        tile = _Tile(table)
+        label, held, waiting = np.arange(len(tile.ids)), 0, []
+        for i, j, _ in tile.matches(min_dot):
+            apart = label[i] != label[j]
+            waiting.append((i[apart], j[apart]))
+            held += int(apart.sum())
+            if held > MERGE_EDGES:
+                _fold(label, *(np.concatenate(c) for c in zip(*waiting)))
+                held, waiting = 0, []
+        if waiting:
+            _fold(label, *(np.concatenate(c) for c in zip(*waiting)))
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table({"u": pa.array(tile.ids[moved]), "v": pa.array(tile.ids[label[moved]])})
 
     def count(table: pa.Table) -> pa.Table:
-        return pa.table({"n": pa.array([sum(int(v @ w) for *_, v, w in _matches(table, min_dot))], pa.int64())})
+        tile = _Tile(table)
+        return pa.table({"n": pa.array([sum(int(tile.weight[i] @ tile.weight[j]) for i, j, _ in tile.matches(min_dot))], pa.int64())})
 
     def degree(table: pa.Table) -> pa.Table:
-        ids, n, near = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-        for x, y, s, v, w in _matches(table, min_dot):
+        tile = _Tile(table)
+        n, near = np.zeros(len(tile.ids), np.int64), np.full(len(tile.ids), np.inf)
+        for i, j, s in tile.matches(min_dot):
             far = np.maximum(1.0 - s, 0.0)
-            ids, at = np.unique(np.concatenate([ids, x, y]), return_inverse=True)
-            total, least = np.zeros(len(ids), np.int64), np.full(len(ids), np.inf)
-            np.add.at(total, at, np.concatenate([n, w, v]))
-            np.minimum.at(least, at, np.concatenate([near, far, far]))
-            n, near = total, least
-        return pa.table({"id": pa.array(ids), "n": pa.array(n), "nearest": pa.array(near)})
+            for one, other in ((i, j), (j, i)):
+                np.add.at(n, one, tile.weight[other])
+                np.minimum.at(near, one, far)
+        met = np.flatnonzero(n)
+        return pa.table({"id": pa.array(tile.ids[met]), "n": pa.array(n[met]), "nearest": pa.array(near[met])})
 
     fn, schema = {
         "pairs": (pairs, "a long, b long, distance double"),
@@ -221,7 +329,7 @@ def pairs_within(
     }[emit]
     out = []
     for dim, (mine, n) in by_length(vectors).items():
-        placed = place_for_radius(mine, choose_pivots(mine, n, dim, block_rows), radius)
+        placed = place_for_radius(mine, choose_pivots(mine, n, dim, radius, block_rows), radius)
         out.append(_cut(placed, block_rows, dim, n <= block_rows).groupBy("cell", "lo", "hi").applyInArrow(fn, schema))
     if not out:
         return vectors.sparkSession.createDataFrame([], schema)

@@ -268,3 +268,33 @@ def test_codec_round_trip(spark, kind):
     assert [got[i].back for i, _ in data] == [v for _, v in data]
     assert [got[i].raw for i, _ in data] == [None if v is None else bytearray(np.array(v, dtype).tobytes()) for _, v in data]
     assert got[0].digest == got[3].digest != got[4].digest and got[1].digest is None and len(got[2].digest) == 32
+
+
+def test_spread_vectors_are_copied_as_in_one_grid(spark, monkeypatch):
+    """Where bounds exclude nothing, rows go to the tiles of one grid, not to every cell; clusters keep their cells."""
+    sent = []
+    cut = cells._cut
+    monkeypatch.setattr(cells, "_cut", lambda *a: sent.append(cut(*a)) or sent[-1])
+    rng = np.random.default_rng(8)
+    spread = rng.normal(size=(1500, 16)).astype(np.float32)
+    dots, _ = cosine(spread)
+    n = cells.pairs_within(frame(spark, spread), 0.6, "count", 32).agg(F.sum("n")).first()[0]
+    assert n == (np.triu(dots, 1) >= 0.4).sum()
+    assert sent[0].count() <= 7 * 1500
+    monkeypatch.setattr(cells, "COPY_COST", 10)
+    tight = clustered(rng, 40, 40, 16)
+    cells.pairs_within(frame(spark, tight), 0.05, "count", 32)
+    # A row meets its own block once in every cell that it goes to.
+    assert sent[1].select("cell").distinct().count() > 5 and sent[1].where("lo = hi").count() < 6 * 1600
+
+
+def test_tiles_emit_no_pair_lists_and_count_crowds(spark):
+    """A crowd of near copies: every pair counted once, over several products and blocks, repeated ids left out."""
+    rng = np.random.default_rng(2)
+    crowd = (np.ones(8) + 0.01 * rng.normal(size=(1300, 8))).astype(np.float32)
+    df = frame(spark, crowd).unionByName(frame(spark, crowd[:1] + 0.001, [5]))
+    for block_rows in (4096, 200):
+        got = {r["id"]: r["n"] for r in cells.pairs_within(df, 0.1, "degree", block_rows).groupBy("id").agg(F.sum("n").alias("n")).collect()}
+        assert got == {i: 2 * 1299 if i == 5 else 1300 for i in range(1300)}
+        edges = cells.pairs_within(df, 0.1, "forest", block_rows)
+        assert edges.count() < 1301 * 4 and connected_components(edges).select("component").distinct().count() == 1
