@@ -31,8 +31,10 @@ RANDOM_LOW, RANDOM_HIGH, RANDOM_PER_POSITIVE = 30, 100, 3
 SOLVER_TOLERANCE = 1e-2
 RAW_THRESHOLD = 0.0
 
-# Labelled positives, and negatives, that one tag is fitted on at most, in seeded hash order.
+# Positives, and negatives, up to which one task fits a tag; a larger tag is fitted over many tasks.
 MAX_FIT_ROWS = 4000
+# A large tag is fitted until its relative duality gap is below this.
+WIDE_GAP = 1e-3
 # A set of models up to this size may travel to every executor.
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Kernel columns that a solver keeps.
@@ -383,8 +385,8 @@ def fit_sample(training: DataFrame, max_rows: int = MAX_FIT_ROWS) -> DataFrame:
 def train_models(training: DataFrame, max_rows: int = MAX_FIT_ROWS, with_dual: bool = False) -> DataFrame:
     """(tag, weights, bias, platt_a, platt_b), and ``dual`` if asked for, of every tag with both kinds of rows.
 
-    Tags train in parallel, one to a task, all by the same solver; the rows of a
-    task are bounded by :func:`fit_sample`.
+    Every tag is fitted on all of its rows. Tags of up to ``max_rows`` rows of a kind train in parallel, one
+    to a task; :func:`_train_wide` fits the larger ones together, each over many tasks.
     """
     schema = f"tag string, {MODEL_FIELDS}, dual double"
 
@@ -408,24 +410,207 @@ def train_models(training: DataFrame, max_rows: int = MAX_FIT_ROWS, with_dual: b
             ("platt_a", pa.float64()), ("platt_b", pa.float64()), ("dual", pa.float64()),
         ]))
 
-    models = fit_sample(training, max_rows).groupBy("tag").applyInArrow(fit, schema)
+    sized = _kinds(training).where(F.greatest("n_pos", "n_neg") > max_rows)
+    # At most one row for every ``max_rows`` of the training set.
+    wide = {r["tag"]: r for r in sized.collect()}
+    narrow = training
+    if wide:
+        names = training.sparkSession.createDataFrame([(t,) for t in wide], "tag string")
+        narrow = training.join(F.broadcast(names), "tag", "left_anti")
+    models = narrow.groupBy("tag").applyInArrow(fit, schema)
+    both = {t: r for t, r in wide.items() if r["n_pos"] and r["n_neg"]}
+    if both:
+        fitted = _train_wide(training.join(F.broadcast(names), "tag", "left_semi"), both, max_rows)
+        models = models.unionByName(training.sparkSession.createDataFrame(fitted, schema))
     return models if with_dual else models.drop("dual")
 
 
-def _margins(models: DataFrame, training: DataFrame) -> DataFrame:
-    """(tag, pos, row, score, n_pos, n_neg): score of every row that a tag was fitted on, in the order of the fit.
+def _kinds(training: DataFrame) -> DataFrame:
+    """(tag, n_pos, n_neg, dim) of every tag."""
+    pos = F.col("part") == "pos"
+    return training.groupBy("tag").agg(
+        F.count_if(pos).alias("n_pos"), F.count_if(~pos).alias("n_neg"), F.max(F.size("embedding")).alias("dim")
+    )
+
+
+def _calibrating(rows: DataFrame) -> DataFrame:
+    """Of (tag, part, ord, id, n_pos, n_neg): the positives, and as many of the first negatives, at most one for each."""
+    many = (F.col("part") != "pos") & (F.col("n_neg") > F.col("n_pos"))
+    order = [F.col("part") == "rand", F.col("ord"), F.col("id")]
+    first = I.positions(rows.where(many), ["tag"], order, "_at").where(F.col("_at") <= F.col("n_pos")).drop("_at")
+    return rows.where(~many).unionByName(first.select(*rows.columns))
+
+
+def _sums(packed: DataFrame, state: dict, fn) -> dict:
+    """Sums over all rows of ``fn(x, y, used, *state[tag])``, an array, for every tag of ``state``; tasks add up their own blocks."""
+    dims = {tag: x[0] for tag, x in state.items()}
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                tag = batch.column(0)[i].as_py()
+                if tag not in state:
+                    continue
+                x, y, used = (np.asarray(batch.column(k)[i].values) for k in (2, 3, 4))
+                part = fn(x.reshape(-1, dims[tag]), y, used > 0, *state[tag][1:])
+                first, so_far = total.get(tag, (batch.column(1)[i].as_py(), 0.0))
+                total[tag] = (first, so_far + part)
+        yield pa.record_batch({
+            "tag": pa.array(list(total), pa.string()), "block": pa.array([b for b, _ in total.values()], pa.int32()),
+            "value": pa.array([v for _, v in total.values()], pa.list_(pa.float64())),
+        })
+
+    def together(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        value, _ = V.to_matrix(table.column("value"))
+        return pa.table({"tag": table.column("tag").slice(0, 1), "value": pa.array([value.sum(axis=0)], pa.list_(pa.float64()))})
+
+    parts = packed.mapInArrow(own, "tag string, block int, value array<double>")
+    rows = parts.groupBy("tag").applyInArrow(together, "tag string, value array<double>").collect()
+    return {r["tag"]: np.asarray(r["value"]) for r in rows}
+
+
+def _hinge_sums(x, y, used, z, smooth, cost) -> np.ndarray:
+    """(smoothed loss, loss, sum of duals, duals times signed rows, curvature) at ``z``, weights and bias."""
+    signed = y[:, None] * np.hstack([x, np.full((len(x), 1), -1.0)])
+    c = np.where(y > 0, cost, 1.0)
+    t = 1.0 - signed @ z
+    share = np.clip(t / smooth, 0.0, 1.0)
+    dual = c * share
+    loss = c * np.where(share < 1.0, np.maximum(t, 0.0) ** 2 / (2 * smooth), t - smooth / 2)
+    band = signed[(t > 0) & (t < smooth)] * np.sqrt(c[(t > 0) & (t < smooth)])[:, None]
+    return np.concatenate([
+        [loss.sum(), c @ np.maximum(t, 0.0), dual.sum()], dual @ signed, (band.T @ band / smooth).ravel(),
+    ])
+
+
+def _platt_sums(x, y, used, w, bias, a, b, high, low) -> np.ndarray:
+    """(loss, slopes, curvature) of the sigmoid over the rows that it is fitted on."""
+    score = x[used] @ w - bias
+    target = np.where(y[used] > 0, high, low)
+    f = a * score + b
+    p = np.exp(-np.logaddexp(0.0, f))
+    slope, weight = target - p, p * (1 - p)
+    return np.array([
+        np.sum(target * f + np.logaddexp(0.0, -f)), slope @ score, slope.sum(),
+        weight @ score**2, weight @ score, weight.sum(),
+    ])
 
-    The rows of a tag, at most twice :data:`MAX_FIT_ROWS`, share its totals through one window.
+
+@dataclass
+class _Descent:
+    """Damped Newton steps towards a minimum, one trial point a pass."""
+
+    at: np.ndarray
+    step: np.ndarray | None = None
+    value: float = np.inf
+    slope: float = 0.0
+    rate: float = 1.0
+    stuck: bool = False
+
+    def trial(self) -> np.ndarray:
+        return self.at if self.step is None else self.at + self.rate * self.step
+
+    def take(self, value: float, gradient: np.ndarray, curvature: np.ndarray) -> bool:
+        """Judge the trial point; whether it was taken."""
+        if self.step is not None and not value < self.value + 1e-4 * self.rate * self.slope:
+            # To the lowest point of the parabola through what is known, at most half the way.
+            bend = value - self.value - self.rate * self.slope
+            self.rate = float(np.clip(-self.slope * self.rate**2 / (2 * bend), self.rate / 20, self.rate / 2)) if bend > 0 else self.rate / 2
+            self.stuck = self.rate < 1e-10
+            return False
+        self.at, self.value, self.rate = self.trial(), value, 1.0
+        self.step = -np.linalg.solve(curvature + 1e-12 * np.eye(len(gradient)), gradient)
+        self.slope = float(gradient @ self.step)
+        self.stuck = -self.slope < 1e-15 * (1.0 + abs(value))
+        return True
+
+    def anew(self) -> None:
+        """Another function from here on."""
+        self.step, self.value, self.rate, self.stuck = None, np.inf, 1.0, False
+
+
+def _train_wide(training: DataFrame, sizes: dict, max_rows: int, most: int = 1000) -> list[tuple]:
+    """Models of tags with more rows than one task fits, over all of their rows.
+
+    The same problem as :func:`solve_dual`: Newton steps on a hinge rounded off over a shrinking width, whose
+    minimum gives dual variables, until the duality gap of the unrounded problem is below :data:`WIDE_GAP`.
+    Rows lie in blocks of about ``max_rows``; a pass sends weights to the blocks and brings sums back.
     """
-    whole = Window.partitionBy("tag")
-    part = F.when(F.col("part") == "pos", 0).when(F.col("part") == "rand", 2).otherwise(1)
-    order = whole.orderBy(part, "ord", "id")
-    score = V.dot(V.l2_normalize(F.col("embedding")), F.col("weights")) - F.col("bias")
-    return fit_sample(training).join(models.drop("dual"), "tag").select(
-        "tag", (F.col("part") == "pos").alias("pos"), F.row_number().over(order).alias("row"), score.alias("score"),
-        F.count_if(F.col("part") == "pos").over(whole).alias("n_pos"), F.count_if(F.col("part") != "pos").over(whole).alias("n_neg"),
-        "platt_a", "platt_b",
+    spark = training.sparkSession
+    counts = spark.createDataFrame([(t, r["n_pos"], r["n_neg"]) for t, r in sizes.items()], "tag string, n_pos long, n_neg long")
+    rows = durable(training.join(F.broadcast(counts), "tag"))
+    key = ["tag", "part", "ord", "id"]
+    used = _calibrating(rows.select(*key, "n_pos", "n_neg")).select(*key).distinct().withColumn("used", F.lit(True))
+    blocks = F.ceil((F.col("n_pos") + F.col("n_neg")) / F.lit(max_rows))
+    dims = {t: r["dim"] for t, r in sizes.items()}
+
+    def pack(table: pa.Table) -> pa.Table:
+        part = np.asarray(table.column("part").to_pylist(), dtype=object)
+        order = np.lexsort([table.column("ord").to_numpy(), part == "rand", part != "pos", table.column("id").to_numpy()])
+        tag = table.column("tag")[0].as_py()
+        x = V.unit_rows(V.to_matrix(table.column("embedding"), dims[tag])[0])[order]
+        kind = pa.list_(pa.float64())
+        return pa.table({
+            "tag": [tag], "block": pa.array([table.column("block")[0].as_py()], pa.int32()), "x": pa.array([x.ravel()], kind),
+            "y": pa.array([np.where(part[order] == "pos", 1.0, -1.0)], kind),
+            "used": pa.array([np.asarray(table.column("used").fill_null(False))[order].astype(np.float64)], kind),
+        })
+
+    packed = durable(
+        rows.join(used, key, "left").withColumn("block", F.pmod(F.xxhash64("id", F.lit(31)), blocks).cast("int"))
+        .groupBy("tag", "block").applyInArrow(pack, "tag string, block int, x array<double>, y array<double>, used array<double>")
     )
+    cost = {t: r["n_neg"] / r["n_pos"] for t, r in sizes.items()}
+    walk = {t: _Descent(np.zeros(d + 1)) for t, d in dims.items()}
+    smooth = dict.fromkeys(walk, 1.0)
+    dual: dict[str, float] = {}
+    for _ in range(most):
+        if len(dual) == len(walk):
+            break
+        sums = _sums(packed, {t: (dims[t], w.trial(), smooth[t], cost[t]) for t, w in walk.items() if t not in dual}, _hinge_sums)
+        for t, got in sums.items():
+            d, w, z = dims[t], walk[t], walk[t].trial()
+            pulled, curve = got[3 : d + 4], got[d + 4 :].reshape(d + 1, d + 1)
+            weights = np.append(z[:d], 0.0)
+            gradient = weights - pulled
+            # Where no row bends the loss, half the slope of the bias keeps its step at two or less.
+            curve += np.diag(np.append(np.ones(d), abs(gradient[d]) / 2))
+            if not w.take(0.5 * weights @ weights + got[0], gradient, curve) and not w.stuck:
+                continue
+            if np.abs(gradient).max() < 1e-8 * (1.0 + got[2]) or w.stuck:
+                primal = 0.5 * weights @ weights + got[1]
+                value = got[2] - 0.5 * pulled[:d] @ pulled[:d]
+                if abs(primal - value) <= WIDE_GAP * primal and abs(pulled[d]) < 1e-6 * (1.0 + got[2]):
+                    dual[t] = float(value)
+                else:
+                    smooth[t] /= 2
+                    w.anew()
+    if len(dual) < len(walk):
+        raise RuntimeError("the solver did not converge")
+    models = {t: (w.at[:-1], float(w.at[-1])) for t, w in walk.items()}
+
+    goal = {t: ((r["n_pos"] + 1) / (r["n_pos"] + 2), 1 / (min(r["n_pos"], r["n_neg"]) + 2)) for t, r in sizes.items()}
+    few = {t: min(r["n_pos"], r["n_neg"]) for t, r in sizes.items()}
+    platt = {t: _Descent(np.array([0.0, np.log((few[t] + 1.0) / (r["n_pos"] + 1.0))])) for t, r in sizes.items()}
+    done: set = set()
+    for _ in range(most):
+        if len(done) == len(platt):
+            break
+        sums = _sums(packed, {t: (dims[t], *models[t], *p.trial(), *goal[t]) for t, p in platt.items() if t not in done}, _platt_sums)
+        for t, (value, g1, g2, h11, h12, h22) in sums.items():
+            if platt[t].take(value, np.array([g1, g2]), np.array([[h11, h12], [h12, h22]])) and max(abs(g1), abs(g2)) < 1e-5 or platt[t].stuck:
+                done.add(t)
+    return [
+        (t, [float(v) for v in models[t][0]], models[t][1], float(platt[t].at[0]), float(platt[t].at[1]), dual[t]) for t in sorted(models)
+    ]
+
+
+def _scored(models: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` of the tags that have a model, with their score under it; rows meet the models, never each other."""
+    score = V.dot(V.l2_normalize(F.col("embedding")), F.col("weights")) - F.col("bias")
+    return rows.join(models.select("tag", "weights", "bias", "platt_a", "platt_b"), "tag").withColumn("score", score)
 
 
 def duality_gaps(models: DataFrame, training: DataFrame) -> DataFrame:
@@ -435,17 +620,18 @@ def duality_gaps(models: DataFrame, training: DataFrame) -> DataFrame:
     ``gap``, relative to it, proves the weights near-optimal whatever the solver did. ``n_margin``
     counts rows on or inside the margin.
     """
-    truth = F.when(F.col("pos"), 1.0).otherwise(-1.0)
-    cost = F.when(F.col("pos"), F.col("n_neg") / F.col("n_pos")).otherwise(1.0)
+    pos = F.col("part") == "pos"
+    truth = F.when(pos, 1.0).otherwise(-1.0)
     slack = F.greatest(1 - truth * F.col("score"), F.lit(0.0))
-    losses = _margins(models, training).groupBy("tag").agg(
-        F.first("n_pos").alias("n_pos"), F.first("n_neg").alias("n_neg"),
-        F.count_if(slack > 0).alias("n_margin"), F.sum(cost * slack).alias("_loss"),
+    losses = _scored(models, training).groupBy("tag").agg(
+        F.count_if(pos).alias("n_pos"), F.count_if(~pos).alias("n_neg"), F.count_if(slack > 0).alias("n_margin"),
+        F.sum(F.when(pos, slack).otherwise(0.0)).alias("_pos"), F.sum(F.when(pos, 0.0).otherwise(slack)).alias("_neg"),
     )
     norm = V.dot(F.col("weights"), F.col("weights"))
+    loss = F.col("n_neg") / F.col("n_pos") * F.col("_pos") + F.col("_neg")
     return losses.join(models.select("tag", "dual", norm.alias("_norm")), "tag").withColumn(
-        "primal", 0.5 * F.col("_norm") + F.col("_loss")
-    ).withColumn("gap", (F.col("primal") - F.col("dual")) / F.col("primal")).drop("_norm", "_loss")
+        "primal", 0.5 * F.col("_norm") + loss
+    ).withColumn("gap", (F.col("primal") - F.col("dual")) / F.col("primal")).drop("_norm", "_pos", "_neg")
 
 
 def platt_slopes(models: DataFrame, training: DataFrame) -> DataFrame:
@@ -454,8 +640,9 @@ def platt_slopes(models: DataFrame, training: DataFrame) -> DataFrame:
     Fitted are the positives and as many of the first negatives, at most one for each positive.
     """
     few = F.least("n_pos", "n_neg")
-    rows = _margins(models, training).where(F.col("row") <= F.col("n_pos") + few)
-    target = F.when(F.col("pos"), (F.col("n_pos") + 1) / (F.col("n_pos") + 2)).otherwise(1 / (few + 2))
+    sized = training.join(F.broadcast(_kinds(training).drop("dim")), "tag")
+    rows = _scored(models, _calibrating(sized))
+    target = F.when(F.col("part") == "pos", (F.col("n_pos") + 1) / (F.col("n_pos") + 2)).otherwise(1 / (few + 2))
     off = target - platt_probability(F.col("score"), F.col("platt_a"), F.col("platt_b"))
     return rows.groupBy("tag").agg(
         F.count("*").alias("n_fit"), F.sum(off * F.col("score")).alias("slope_a"), F.sum(off).alias("slope_b")

@@ -195,3 +195,26 @@ def test_models_score_in_slices_and_by_length(spark):
     assert len(rows[0]) == len(rows[1]) == 300
     assert all(a[:2] == b[:2] and a[2:] == pytest.approx(b[2:]) for a, b in zip(*rows))
     assert {(r[2], round(r[3], 6)) for r in rows[0] if r[1] == "odd"} == {(-999.0, 0.0)}
+
+
+def test_large_tags_are_fitted_on_all_of_their_rows(spark):
+    """Over many tasks: the optimum of all rows is proved by gap and slopes, and is that of the solver of one task."""
+    rng = np.random.default_rng(13)
+    m = rng.normal(size=(700, 12))
+    m[:400, 0] += 1.0
+    parts = ["pos"] * 400 + ["hard"] * 20 + ["rand"] * 80 + ["pos"] * 60 + ["rand"] * 140
+    training = spark.createDataFrame(
+        [("many" if i < 500 else "few", p, i % 100, i, unit(m[i : i + 1])[0].tolist()) for i, p in enumerate(parts)],
+        "tag string, part string, ord long, id long, embedding array<double>",
+    )
+    wide, narrow = (J.train_models(training, n, with_dual=True).persist() for n in (50, 4000))
+    gaps = {r["tag"]: r for r in J.duality_gaps(wide, training).collect()}
+    assert {t: (r["n_pos"], r["n_neg"]) for t, r in gaps.items()} == {"many": (400, 100), "few": (60, 140)}
+    assert all(-1e-6 <= r["gap"] < 2e-3 for r in gaps.values())
+    slopes = {r["tag"]: r for r in J.platt_slopes(wide, training).collect()}
+    assert {t: r["n_fit"] for t, r in slopes.items()} == {"many": 500, "few": 120}
+    assert all(abs(r["slope_a"]) < 1e-3 and abs(r["slope_b"]) < 1e-3 for r in slopes.values())
+    one = {r["tag"]: r for r in narrow.collect()}
+    for r in wide.collect():
+        assert r["dual"] == pytest.approx(one[r["tag"]]["dual"], rel=0.02)
+        assert np.allclose(r["weights"], one[r["tag"]]["weights"], atol=0.1)
