@@ -7,7 +7,8 @@ around it as hold k vectors: the k-th best distance found there is a true bound.
 second pass it visits only leaves that the bound cannot exclude, by rings (least and greatest
 distance of a leaf's vectors to its pivot) and by bisectors between siblings; whole tops
 are excluded before their leaves are looked at. Crowded leaves are cut into blocks.
-Vectors travel as they are stored and are scaled to length one where they are compared.
+Where a sample of the queries shows that the bounds exclude too little to pay for the copies, the second pass is one
+grid of tiles over all vectors instead. Vectors travel as they are stored and are scaled to length one where they are compared.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lightbox.functions.vectors import to_matrix, unit_rows
-from lightbox.plans.cells import BLOCK_ROWS, EMIT_ROWS, SLACK, STRIP_ROWS, by_length, slices
+from lightbox.plans.cells import BLOCK_ROWS, COPY_COST, EMIT_ROWS, SLACK, STRIP_COLUMNS, STRIP_ROWS, _tiles_of, by_length, slices
 from lightbox.session import durable
 
 TREE_BYTES = 32 << 20  # of all pivots; beyond that many leaves, leaves hold more than one block
 TIE, PAIRS = 1e-12, 65_536  # distances that may be equal, and pairs compared at once
+PROBED = 64  # one query of so many tells how far the bounds reach
 FOUND = "query_id long, id long, distance double"
 
 
@@ -218,7 +220,8 @@ def further_visits(asked: DataFrame, bounds: DataFrame, tree: Tree, dim: int) ->
 
 def _answers(visits: DataFrame, settled: DataFrame, visitors: np.ndarray, size: np.ndarray, k: int, skip_same_id: bool, block_rows: int, dim: int) -> DataFrame:
     """The k best of every visit, block by block of queries and corpus vectors of a leaf."""
-    own, others = -(-visitors // block_rows), -(-size // block_rows)
+    # Sides of the grid grow with the root of a leaf, so that a row is copied about sqrt(blocks) times.
+    own, others = (np.array([_tiles_of(n, block_rows, dim) if n else 0 for n in rows], np.int64) for rows in (visitors, size))
     used = np.flatnonzero((own > 0) & (others > 0))
     # At most one row per leaf.
     cut = visits.sparkSession.createDataFrame(
@@ -244,18 +247,27 @@ def _answers(visits: DataFrame, settled: DataFrame, visitors: np.ndarray, size:
                 barred = (np.repeat(np.arange(len(cid)), sizes), lists.flatten().to_numpy(zero_copy_only=False))
             for start in range(0, len(qid), STRIP_ROWS):
                 q = qid[start : start + STRIP_ROWS]
-                dist = np.maximum(1.0 - qm[start : start + STRIP_ROWS] @ cm.T, 0.0)
-                if skip_same_id:
-                    dist[q[:, None] == cid[None, :]] = np.inf
-                if barred is not None:
-                    by_id = q.argsort()
-                    rows = by_id[np.minimum(np.searchsorted(q[by_id], barred[1]), len(q) - 1)]
-                    hit = q[rows] == barred[1]
-                    dist[rows[hit], barred[0][hit]] = np.inf
+                least, met = np.full(len(q), np.inf), []
+                for c0 in range(0, len(cid), STRIP_COLUMNS):
+                    c1 = min(c0 + STRIP_COLUMNS, len(cid))
+                    dist = np.maximum(1.0 - qm[start : start + STRIP_ROWS] @ cm[c0:c1].T, 0.0)
+                    if skip_same_id:
+                        dist[q[:, None] == cid[None, c0:c1]] = np.inf
+                    if barred is not None:
+                        by_id = q.argsort()
+                        mine = (barred[0] >= c0) & (barred[0] < c1)
+                        column, asker = barred[0][mine] - c0, barred[1][mine]
+                        rows = by_id[np.minimum(np.searchsorted(q[by_id], asker), len(q) - 1)]
+                        hit = q[rows] == asker
+                        dist[rows[hit], column[hit]] = np.inf
+                    # The k-th best of any columns is no nearer than that of all.
+                    if c0 == 0 and dist.shape[1] > k:
+                        least = np.partition(dist, k - 1, axis=1)[:, k - 1]
+                    i, j = np.nonzero(np.isfinite(dist) & (dist <= least[:, None] + TIE))
+                    met.append((i, j + c0))
                 # A product's last digits depend on its shape. What may be among the k best is computed again
                 # pair by pair, so equal vectors are equally far and their ids decide.
-                least = np.partition(dist, k - 1, axis=1)[:, k - 1] if dist.shape[1] > k else np.full(len(q), np.inf)
-                i, j = np.nonzero(np.isfinite(dist) & (dist <= least[:, None] + TIE))
+                i, j = (np.concatenate(c) for c in zip(*met))
                 far = np.concatenate([
                     1.0 - np.einsum("ij,ij->i", qm[start + i[a : a + PAIRS]], cm[j[a : a + PAIRS]]) for a in range(0, len(i), PAIRS)
                 ] or [np.empty(0)])
@@ -305,6 +317,15 @@ def _of_length(queries, corpus, n: int, dim: int, k: int, skip_same_id: bool, bl
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     kept = durable(at_home.withColumn("rank", rank).where(F.col("rank") <= k))
     bounds = kept.where(F.col("rank") == k).select("query_id", F.col("distance").alias("bound"))
+    few = asked.where(F.pmod(F.xxhash64("id", F.lit(37)), F.lit(PROBED)) == 0)
+    probed, n_asked = few.count(), asked.count()
+    each = further_visits(few, bounds, tree, dim).count() / max(probed, 1)
+    # Work per query: pairs compared, and copies of vectors, of the query and of the corpus, at their cost in pairs.
+    by_leaf = each * (n / cells + COPY_COST)
+    copies = _tiles_of(n, block_rows, dim) + _tiles_of(n_asked, block_rows, dim) * n / max(n_asked, 1)
+    if probed and by_leaf > n + COPY_COST * copies:
+        everywhere = asked.select("id", F.lit(0).alias("cell"), "embedding")
+        return _answers(everywhere, settled.withColumn("cell", F.lit(0)), np.array([n_asked]), np.array([n]), *rest)
     more = durable(further_visits(asked, bounds, tree, dim))
     return kept.select("query_id", "id", "distance").unionByName(
         _answers(more, settled, visitors(more.select("cell")), tree.size, *rest)

@@ -298,3 +298,18 @@ def test_tiles_emit_no_pair_lists_and_count_crowds(spark):
         assert got == {i: 2 * 1299 if i == 5 else 1300 for i in range(1300)}
         edges = cells.pairs_within(df, 0.1, "forest", block_rows)
         assert edges.count() < 1301 * 4 and connected_components(edges).select("component").distinct().count() == 1
+
+
+def test_knn_join_of_spread_vectors_is_one_grid(spark, monkeypatch):
+    """Where bounds exclude nothing, queries go to the tiles of one grid, not to every leaf."""
+    rng = np.random.default_rng(12)
+    spread = rng.normal(size=(1200, 24)).astype(np.float32)
+    asked = []
+    answers = nearest._answers
+    monkeypatch.setattr(nearest, "_answers", lambda *a: asked.append((a[2], a[3])) or answers(*a))
+    got = I.knn_join(frame(spark, spread), frame(spark, spread), 5, block_rows=32).select("query_id", "id").collect()
+    assert len(asked[-1][0]) == len(asked[-1][1]) == 1
+    dots, _ = cosine(spread)
+    np.fill_diagonal(dots, -2)
+    want = {(q, int(i)) for q, row in enumerate(dots) for i in row.argsort()[-5:]}
+    assert {tuple(r) for r in got} == want
