@@ -508,22 +508,32 @@ class _Descent:
     slope: float = 0.0
     rate: float = 1.0
     stuck: bool = False
+    steep: float = np.inf
 
     def trial(self) -> np.ndarray:
         return self.at if self.step is None else self.at + self.rate * self.step
 
-    def take(self, value: float, gradient: np.ndarray, curvature: np.ndarray) -> bool:
-        """Judge the trial point; whether it was taken."""
-        if self.step is not None and not value < self.value + 1e-4 * self.rate * self.slope:
+    def take(self, value: float, gradient: np.ndarray, curvature: np.ndarray, smooth: bool = False) -> bool:
+        """Judge the trial point; whether it was taken.
+
+        The rounding of a sum over many rows hides the last decreases. Of a ``smooth`` function the gradient tells them:
+        its steps go on until it falls no further.
+        """
+        steep = float(np.abs(gradient).max())
+        hidden = smooth and self.step is not None and -self.slope < 1e-9 * (1.0 + abs(value))
+        if hidden and not steep < self.steep:
+            self.stuck = True
+            return False
+        if self.step is not None and not hidden and not value < self.value + 1e-4 * self.rate * self.slope:
             # To the lowest point of the parabola through what is known, at most half the way.
             bend = value - self.value - self.rate * self.slope
             self.rate = float(np.clip(-self.slope * self.rate**2 / (2 * bend), self.rate / 20, self.rate / 2)) if bend > 0 else self.rate / 2
             self.stuck = self.rate < 1e-10
             return False
-        self.at, self.value, self.rate = self.trial(), value, 1.0
+        self.at, self.value, self.rate, self.steep = self.trial(), value, 1.0, steep
         self.step = -np.linalg.solve(curvature + 1e-12 * np.eye(len(gradient)), gradient)
         self.slope = float(gradient @ self.step)
-        self.stuck = -self.slope < 1e-15 * (1.0 + abs(value))
+        self.stuck = not smooth and -self.slope < 1e-15 * (1.0 + abs(value))
         return True
 
     def anew(self) -> None:
@@ -600,8 +610,11 @@ def _train_wide(training: DataFrame, sizes: dict, max_rows: int, most: int = 100
             break
         sums = _sums(packed, {t: (dims[t], *models[t], *p.trial(), *goal[t]) for t, p in platt.items() if t not in done}, _platt_sums)
         for t, (value, g1, g2, h11, h12, h22) in sums.items():
-            if platt[t].take(value, np.array([g1, g2]), np.array([[h11, h12], [h12, h22]])) and max(abs(g1), abs(g2)) < 1e-5 or platt[t].stuck:
+            p = platt[t]
+            if p.take(value, np.array([g1, g2]), np.array([[h11, h12], [h12, h22]]), smooth=True) and p.steep < 1e-5 or p.stuck:
                 done.add(t)
+    if len(done) < len(platt):
+        raise RuntimeError("the calibration did not converge")
     return [
         (t, [float(v) for v in models[t][0]], models[t][1], float(platt[t].at[0]), float(platt[t].at[1]), dual[t]) for t in sorted(models)
     ]

@@ -218,3 +218,21 @@ def test_large_tags_are_fitted_on_all_of_their_rows(spark):
     for r in wide.collect():
         assert r["dual"] == pytest.approx(one[r["tag"]]["dual"], rel=0.02)
         assert np.allclose(r["weights"], one[r["tag"]]["weights"], atol=0.1)
+
+
+def test_calibration_of_many_rows_goes_on_until_its_slopes_vanish():
+    """The sum over many rows rounds away the last decreases of the loss; steps must not end there."""
+    rng = np.random.default_rng(1)
+    n, m = 150_000, 50_000
+    x = np.concatenate([rng.normal(0.9, 1.0, n), rng.normal(0.0, 1.0, m)])[:, None]
+    y = np.where(np.arange(n + m) < n, 1.0, -1.0)
+    walk = J._Descent(np.array([0.0, np.log((m + 1.0) / (n + 1.0))]))
+    for _ in range(100):
+        value, g1, g2, h11, h12, h22 = J._platt_sums(
+            x, y, y != 0, np.ones(1), 0.0, *walk.trial(), (n + 1) / (n + 2), 1 / (m + 2)
+        )
+        taken = walk.take(value, np.array([g1, g2]), np.array([[h11, h12], [h12, h22]]), smooth=True)
+        if taken and walk.steep < 1e-5 or walk.stuck:
+            break
+    slopes = J._platt_sums(x, y, y != 0, np.ones(1), 0.0, *walk.at, (n + 1) / (n + 2), 1 / (m + 2))[1:3]
+    assert np.abs(slopes).max() < 1e-5
