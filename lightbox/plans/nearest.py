@@ -7,8 +7,8 @@ around it as hold k vectors: the k-th best distance found there is a true bound.
 second pass it visits only leaves that the bound cannot exclude, by rings (least and greatest
 distance of a leaf's vectors to its pivot) and by bisectors between siblings; whole tops
 are excluded before their leaves are looked at. Crowded leaves are cut into blocks.
-Where a sample of the queries shows that the bounds exclude too little to pay for the copies, the second pass is one
-grid of tiles over all vectors instead. Vectors travel as they are stored and are scaled to length one where they are compared.
+Where a sample of the queries shows that the bounds exclude too little to pay for the copies, one grid of tiles over all
+vectors takes the place of both passes. Vectors travel as they are stored and are scaled to length one where they are compared.
 """
 
 from __future__ import annotations
@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lightbox.functions.vectors import to_matrix, unit_rows
-from lightbox.plans.cells import BLOCK_ROWS, COPY_COST, EMIT_ROWS, SLACK, STRIP_COLUMNS, STRIP_ROWS, _tiles_of, by_length, slices
+from lightbox.plans.cells import BLOCK_ROWS, COPY_COST, EMIT_ROWS, SLACK, STRIP_COLUMNS, STRIP_ROWS, by_length, slices
 from lightbox.session import durable
 
 TREE_BYTES = 32 << 20  # of all pivots; beyond that many leaves, leaves hold more than one block
 TIE, PAIRS = 1e-12, 65_536  # distances that may be equal, and pairs compared at once
 PROBED = 64  # one query of so many tells how far the bounds reach
+SIDE_BYTES = 96 << 20  # of the corpus vectors that one tile holds in double precision
 FOUND = "query_id long, id long, distance double"
 
 
@@ -218,10 +219,17 @@ def further_visits(asked: DataFrame, bounds: DataFrame, tree: Tree, dim: int) ->
     return rows.mapInArrow(run, _schema(asked, ("cell", T.IntegerType())))
 
 
+def _sides(rows: float, block_rows: int, dim: int, cores: int) -> int:
+    """Parts of one side of a grid: blocks up to what keeps all cores busy, more only where a part would outgrow a task.
+    A vector goes to as many tiles as the other side has parts, so copies stay few as the tables grow."""
+    busy = min(np.ceil(np.sqrt(np.ceil(rows / block_rows))), np.ceil(np.sqrt(4 * cores)))
+    return int(max(1, busy, np.ceil(rows * 8 * dim / SIDE_BYTES)))
+
+
 def _answers(visits: DataFrame, settled: DataFrame, visitors: np.ndarray, size: np.ndarray, k: int, skip_same_id: bool, block_rows: int, dim: int) -> DataFrame:
     """The k best of every visit, block by block of queries and corpus vectors of a leaf."""
-    # Sides of the grid grow with the root of a leaf, so that a row is copied about sqrt(blocks) times.
-    own, others = (np.array([_tiles_of(n, block_rows, dim) if n else 0 for n in rows], np.int64) for rows in (visitors, size))
+    cores = visits.sparkSession.sparkContext.defaultParallelism
+    own, others = (np.array([_sides(n, block_rows, dim, cores) if n else 0 for n in rows], np.int64) for rows in (visitors, size))
     used = np.flatnonzero((own > 0) & (others > 0))
     # At most one row per leaf.
     cut = visits.sparkSession.createDataFrame(
@@ -239,7 +247,7 @@ def _answers(visits: DataFrame, settled: DataFrame, visitors: np.ndarray, size:
         out = []
         if lt.num_rows and rt.num_rows:
             qid, cid = lt.column("id").to_numpy(), rt.column("id").to_numpy()
-            qm, cm = (unit_rows(to_matrix(t.column("embedding"), dim)[0]) for t in (lt, rt))
+            cm = unit_rows(to_matrix(rt.column("embedding"), dim)[0])
             barred = None
             if skips:
                 lists = rt.column("skip").combine_chunks()
@@ -247,10 +255,11 @@ def _answers(visits: DataFrame, settled: DataFrame, visitors: np.ndarray, size:
                 barred = (np.repeat(np.arange(len(cid)), sizes), lists.flatten().to_numpy(zero_copy_only=False))
             for start in range(0, len(qid), STRIP_ROWS):
                 q = qid[start : start + STRIP_ROWS]
+                qm = unit_rows(to_matrix(lt.column("embedding").slice(start, STRIP_ROWS), dim)[0])
                 least, met = np.full(len(q), np.inf), []
                 for c0 in range(0, len(cid), STRIP_COLUMNS):
                     c1 = min(c0 + STRIP_COLUMNS, len(cid))
-                    dist = np.maximum(1.0 - qm[start : start + STRIP_ROWS] @ cm[c0:c1].T, 0.0)
+                    dist = np.maximum(1.0 - qm @ cm[c0:c1].T, 0.0)
                     if skip_same_id:
                         dist[q[:, None] == cid[None, c0:c1]] = np.inf
                     if barred is not None:
@@ -269,7 +278,7 @@ def _answers(visits: DataFrame, settled: DataFrame, visitors: np.ndarray, size:
                 # pair by pair, so equal vectors are equally far and their ids decide.
                 i, j = (np.concatenate(c) for c in zip(*met))
                 far = np.concatenate([
-                    1.0 - np.einsum("ij,ij->i", qm[start + i[a : a + PAIRS]], cm[j[a : a + PAIRS]]) for a in range(0, len(i), PAIRS)
+                    1.0 - np.einsum("ij,ij->i", qm[i[a : a + PAIRS]], cm[j[a : a + PAIRS]]) for a in range(0, len(i), PAIRS)
                 ] or [np.empty(0)])
                 far = np.maximum(far, 0.0)
                 order = np.lexsort((cid[j], far, i))
@@ -312,20 +321,26 @@ def _of_length(queries, corpus, n: int, dim: int, k: int, skip_same_id: bool, bl
         out[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
         return out
 
-    first = asked.select("id", F.explode("homes").alias("cell"), "embedding")
-    at_home = durable(_answers(first, settled, visitors(first.select("cell")), tree.size, *rest))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    kept = durable(at_home.withColumn("rank", rank).where(F.col("rank") <= k))
-    bounds = kept.where(F.col("rank") == k).select("query_id", F.col("distance").alias("bound"))
+    def within_home(some: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The k best of the first pass, and the bounds that they give."""
+        first = some.select("id", F.explode("homes").alias("cell"), "embedding")
+        at_home = durable(_answers(first, settled, visitors(first.select("cell")), tree.size, *rest))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+        kept = durable(at_home.withColumn("rank", rank).where(F.col("rank") <= k))
+        return kept, kept.where(F.col("rank") == k).select("query_id", F.col("distance").alias("bound"))
+
+    # A few queries go first: where their bounds exclude too little, the others need none.
     few = asked.where(F.pmod(F.xxhash64("id", F.lit(37)), F.lit(PROBED)) == 0)
     probed, n_asked = few.count(), asked.count()
-    each = further_visits(few, bounds, tree, dim).count() / max(probed, 1)
+    each = further_visits(few, within_home(few)[1], tree, dim).count() / max(probed, 1)
     # Work per query: pairs compared, and copies of vectors, of the query and of the corpus, at their cost in pairs.
     by_leaf = each * (n / cells + COPY_COST)
-    copies = _tiles_of(n, block_rows, dim) + _tiles_of(n_asked, block_rows, dim) * n / max(n_asked, 1)
+    cores = asked.sparkSession.sparkContext.defaultParallelism
+    copies = _sides(n, block_rows, dim, cores) + _sides(n_asked, block_rows, dim, cores) * n / max(n_asked, 1)
     if probed and by_leaf > n + COPY_COST * copies:
         everywhere = asked.select("id", F.lit(0).alias("cell"), "embedding")
         return _answers(everywhere, settled.withColumn("cell", F.lit(0)), np.array([n_asked]), np.array([n]), *rest)
+    kept, bounds = within_home(asked)
     more = durable(further_visits(asked, bounds, tree, dim))
     return kept.select("query_id", "id", "distance").unionByName(
         _answers(more, settled, visitors(more.select("cell")), tree.size, *rest)

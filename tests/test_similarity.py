@@ -313,3 +313,9 @@ def test_knn_join_of_spread_vectors_is_one_grid(spark, monkeypatch):
     np.fill_diagonal(dots, -2)
     want = {(q, int(i)) for q, row in enumerate(dots) for i in row.argsort()[-5:]}
     assert {tuple(r) for r in got} == want
+
+
+def test_knn_grid_has_as_many_parts_as_cores_or_memory_ask_for():
+    """Copies of a vector do not grow with the table while a part fits a task."""
+    assert [nearest._sides(n, 4096, 64, 12) for n in (4_000, 120_000, 720_000, 1_200_000)] == [1, 6, 7, 7]
+    assert nearest._sides(10_000_000, 4096, 64, 12) == 51
