@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -67,28 +68,37 @@ def sums_of(words: list[bytes], powers: np.ndarray | None = None) -> np.ndarray:
     return np.cumsum(terms, out=terms)
 
 
-def _range_hash(sums: np.ndarray, begin: int, end: int) -> int:
-    """Hash of words[begin:end], the same wherever they stand."""
-    if not begin:
-        return int(sums[end])
-    return (int(sums[end]) - int(sums[begin])) * pow(INVERSE, begin, 1 << 64) % (1 << 64)
+def line_keys(lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of words, hash, halves, which of these hold) of lines given as words, all at once.
 
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def half_keys(sums: np.ndarray) -> list[int]:
-    """Keys of the halves that two lines within the bound share: for each number L of
-    words that the shorter of them can have, its first L // 2 words and the rest."""
-    n = len(sums) - 1
-    out = []
-    for length in (n, n - 1):
-        if length >= MIN_WORDS:
-            half = length // 2
-            for side, (a, b) in enumerate(((0, half), (n - (length - half), n))):
-                out.append(_signed(xxhash.xxh64_intdigest(f"{length}:{side}:{_range_hash(sums, a, b)}")))
-    return out
+    Halves are keys that two lines within the bound share: for each number L of words that the shorter of
+    them can have, its first L // 2 words and the rest.
+    """
+    n = np.fromiter(map(len, lines), np.int64, len(lines))
+    end = np.cumsum(n)
+    start = end - n
+    place = np.arange(int(n.sum())) - np.repeat(start, n)
+    longest = int(n.max(initial=0)) + 1
+    back = np.full(longest, INVERSE, np.uint64)
+    back[:1] = 1
+    back = np.cumprod(back, dtype=np.uint64)
+    sums = np.zeros(len(place) + 1, np.uint64)
+    np.cumsum(_hashes(list(chain.from_iterable(lines))) * _powers(longest)[place], out=sums[1:])
+    keys, held = np.zeros((len(n), 4), np.uint64), np.zeros((len(n), 4), bool)
+    for at, length in ((0, n), (2, n - 1)):
+        some = np.flatnonzero(length >= MIN_WORDS)
+        size, s, e = length[some], start[some], end[some]
+        half = size // 2
+        begin = n[some] - (size - half)
+        salt = size.astype(np.uint64) * np.uint64(2)
+        keys[some, at] = _salted(sums[s + half] - sums[s], salt)
+        keys[some, at + 1] = _salted((sums[e] - sums[s + begin]) * back[begin], salt + np.uint64(1))
+        held[some, at : at + 2] = True
+    return n, _salted(sums[end] - sums[start], n.astype(np.uint64)).view(np.int64), keys.view(np.int64), held
+
+
+def _salted(x: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    return _scramble(x ^ salt * np.uint64(0xA24BAED4963EE407), 1)
 
 
 def variant_keys(words: list[bytes], powers: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -127,20 +137,20 @@ def _split(docs: DataFrame, id: str, text: str) -> DataFrame:
     """Every line of every row, written once; zstd keeps the copy of the texts small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = _powers(1 << 12)
-        for batch, texts in pieces(batches, "text"):
-            out: list[list] = [[] for _ in range(7)]
-            for doc, row, raw in zip(batch.column("doc_id").to_pylist(), batch.column("row_no").to_pylist(), texts):
-                for i, line in enumerate((raw or b"").split(b"\n")):
-                    words = line.split()
-                    sums = sums_of(words, powers)
-                    values = (
-                        doc, row, i, len(words), _signed(xxhash.xxh64_intdigest(f"{len(words)}={int(sums[-1])}")),
-                        half_keys(sums) if len(words) >= MIN_WORDS else [], line,
-                    )
-                    for column, value in zip(out, values):
-                        column.append(value)
-            yield _lines(out)
+        for batch, texts in pieces(batches, "text", 1_000_000):
+            split = [(raw or b"").split(b"\n") for raw in texts]
+            lines = list(chain.from_iterable(split))
+            n, hashed, keys, held = line_keys([line.split() for line in lines])
+            each = np.fromiter(map(len, split), np.int64, len(split))
+            at = pa.array(np.repeat(np.arange(len(split)), each))
+            numbers = np.arange(len(lines)) - np.repeat(np.cumsum(each) - each, each)
+            offsets = np.concatenate([[0], np.cumsum(held.sum(axis=1))])
+            yield pa.record_batch({
+                "doc_id": batch.column("doc_id").take(at), "row_no": batch.column("row_no").take(at),
+                "line_no": pa.array(numbers, pa.int32()), "n_words": pa.array(n, pa.int32()), "hash": pa.array(hashed),
+                "halves": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[held])),
+                "line": pa.array(lines, pa.binary()).cast(pa.string()),
+            })
 
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), F.col(text).alias("text"))
     spark = docs.sparkSession
@@ -150,12 +160,6 @@ def _split(docs: DataFrame, id: str, text: str) -> DataFrame:
     return spark.read.schema(lines.schema).parquet(path)
 
 
-def _lines(out: list[list]) -> pa.RecordBatch:
-    names = ("doc_id", "row_no", "line_no", "n_words", "hash", "halves", "line")
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.string())
-    return pa.record_batch({n: pa.array(c, k) for n, c, k in zip(names, out, kinds)})
-
-
 FIRST = "struct(isnull(doc_id) as unnamed, doc_id, row_no, line_no)"
 
 

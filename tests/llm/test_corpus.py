@@ -585,6 +585,18 @@ def test_url_trees_do_not_trust_their_own_labels(spark):
     assert out.where((F.col("verdict") == "block") == (F.col("page_id") % 2 == 1)).count() == 150
 
 
+def test_keys_of_lines_taken_together():
+    """Lines hashed in one piece get the keys that each gets alone, and share halves where they may be partners."""
+    lines = [line.split() for line in (b"a b c d e f", b"", b"x", b"a b c d e g", b"a b c d e", b"z b c d e f", b"a b c d e f")]
+    n, hashed, keys, held = line_dedup.line_keys(lines)
+    alone = [line_dedup.line_keys([line]) for line in lines]
+    assert n.tolist() == [6, 0, 1, 6, 5, 6, 6] and held.sum(axis=1).tolist() == [4, 0, 0, 4, 2, 4, 4]
+    assert all((hashed[i], keys[i].tolist()) == (a[1][0], a[2][0].tolist()) for i, a in enumerate(alone))
+    assert len(set(hashed.tolist())) == 6 and hashed[0] == hashed[6]
+    halves = [set(k[h].tolist()) for k, h in zip(keys, held)]
+    assert all(halves[0] & halves[i] for i in (3, 4, 5, 6))
+
+
 def test_line_dedup(spark, rows):
     rng = np.random.default_rng(7)
     texts = []
