@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BASE_TABLES = (
     "documents", "labels", "embeddings", "events", "orders", "part", "pages", "conversations",
@@ -133,14 +134,24 @@ class Library:
         if name not in self._cache:
             if name in BASE_TABLES:
                 self._cache[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            elif name == "media":
+                self._cache[name] = self._media()
             elif name in VIEWS:
                 self._cache[name] = self.sql(VIEWS[name])
             else:
                 raise AttributeError(name)
         return self._cache[name]
 
-    def sql(self, text: str) -> DataFrame:
-        """Run ``text`` with the tables it names bound to this library.
+    def _media(self) -> DataFrame:
+        """The view ``media``, with texts hashed where they are read.
+
+        As the statement stands, Spark hashes after the joins and shuffles every whole text for it.
+        """
+        hashed = self.documents.select("doc_id", "n_chars", F.md5("text").alias("text_md5"))
+        return self.sql(VIEWS["media"].replace("md5(d.text)", "d.text_md5"), documents=hashed)
+
+    def sql(self, text: str, **frames: DataFrame) -> DataFrame:
+        """Run ``text`` with the tables it names bound to this library, or to ``frames`` of their names.
 
         Braces of JSON text in the statement are doubled, because the statement
         passes through Python formatting to bind the tables.
@@ -149,4 +160,4 @@ class Library:
         bound = text.replace("{", "{{").replace("}", "}}")
         for table in used:
             bound = re.sub(rf"\b(from|join)\s+{table}\b", rf"\1 {{{table}}}", bound)
-        return self.spark.sql(bound, **{t: getattr(self, t) for t in used})
+        return self.spark.sql(bound, **{t: frames[t] if t in frames else getattr(self, t) for t in used})

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lightbox.functions import images as O
 from lightbox.functions import vectors as V
 from lightbox.operators import catalog as C
-from lightbox.session import shared_folder
+from lightbox.session import durable, shared_folder, temporary_tables
 from lightbox.sources import files, tables
 from lightbox.workload.registry import query
 from lightbox.workload.scalars import CATALOG_VIEWS, ts_text
@@ -111,11 +111,13 @@ def _(lib):
 )
 def _(lib):
     root = scratch(lib)
-    media = stored_media(lib)
     vectors = lib.embeddings.select(F.col("vec_id").cast("string").alias("id"), "embedding")
-    for kind in ("image", "video"):
-        rows = C.filter_media_type(media, kind)
-        tables.append_media(rows, rows.select("id").join(vectors, "id", "left"), root)
+    with temporary_tables(lib.spark):
+        # Four writes read the items; their joins run once.
+        media = durable(stored_media(lib))
+        for kind in ("image", "video"):
+            rows = C.filter_media_type(media, kind)
+            tables.append_media(rows, rows.select("id").join(vectors, "id", "left"), root)
     return (
         tables.load_table(lib.spark, root, "media").select(F.lit("media").alias("part"), "id")
         .unionByName(tables.load_table(lib.spark, root, "vectors").select(F.lit("vectors").alias("part"), "id"))
